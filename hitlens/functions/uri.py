@@ -37,35 +37,60 @@ def decode_uri(uri: Column) -> Column:
     return F.when(F.contains(uri, F.lit("%")), _percent_decode(kept_plus)).otherwise(uri)
 
 
-def _without_controls(uri: Column) -> Column:
+def without_controls(uri: Column) -> Column:
     """Leading blanks and controls, and any tab, CR or LF, are not part of a URL."""
     stripped = F.translate(F.regexp_replace(uri, r"^[\x00-\x20]+", ""), "\t\r\n", "")
     return F.when(uri.rlike(r"[\x00-\x20]"), stripped).otherwise(uri)
 
 
-def uri_path(uri: Column) -> Column:
-    """Path of a (decoded) URI, without ``;params`` on its last segment."""
-    clean = _without_controls(uri)
-    path = F.regexp_extract(clean, PATH, 1)
-    has_params = F.contains(path, F.lit(";")) & clean.rlike(TAKES_PARAMS)
+# Parts of a URI that has passed ``without_controls``. They are small steps so
+# that a caller can keep each one in a column and evaluate it once.
+
+
+def path_part(uri: Column) -> Column:
+    return F.regexp_extract(uri, PATH, 1)
+
+
+def query_part(uri: Column) -> Column:
+    return F.regexp_extract(uri, QUERY, 1)
+
+
+def netloc_part(uri: Column) -> Column:
+    return F.regexp_extract(uri, NETLOC, 1)
+
+
+def strip_params(path: Column, uri: Column) -> Column:
+    has_params = F.contains(path, F.lit(";")) & uri.rlike(TAKES_PARAMS)
     return F.when(has_params, F.regexp_replace(path, r";[^/]*\z", "")).otherwise(path)
 
 
-def uri_query_pairs(uri: Column) -> Column:
-    """``k=v`` pairs of the query part: blank values dropped, both sides decoded."""
-    query = F.regexp_extract(_without_controls(uri), QUERY, 1)
+def split_query(query: Column) -> Column:
     pairs = F.regexp_extract_all(query, F.lit(PAIR_WITH_VALUE), F.lit(1))
     # "+" means a space here, so url_decode applies as it is. Decoding each
     # pair after the split keeps a decoded "&" or "=" inside its value.
     decoded = F.transform(pairs, _percent_decode)
     return (
-        F.when(~F.contains(uri, F.lit("?")) | uri.isNull(), F.array().cast("array<string>"))
+        F.when(query.isNull() | (query == ""), F.array().cast("array<string>"))
         .when(query.rlike("[%+]"), decoded)
         .otherwise(pairs)
     )
 
 
+def name_domain(netloc: Column) -> Column:
+    return F.when(netloc.isin("", "-") | netloc.isNull(), UNKNOWN_DOMAIN).otherwise(netloc)
+
+
+def uri_path(uri: Column) -> Column:
+    """Path of a (decoded) URI, without ``;params`` on its last segment."""
+    clean = without_controls(uri)
+    return strip_params(path_part(clean), clean)
+
+
+def uri_query_pairs(uri: Column) -> Column:
+    """``k=v`` pairs of the query part: blank values dropped, both sides decoded."""
+    return split_query(query_part(without_controls(uri)))
+
+
 def referer_domain(referer: Column) -> Column:
     """Network location of the referer, case, port and user kept, else ``Unknown``."""
-    netloc = F.regexp_extract(_without_controls(referer), NETLOC, 1)
-    return F.when(netloc.isin("", "-") | netloc.isNull(), UNKNOWN_DOMAIN).otherwise(netloc)
+    return name_domain(netloc_part(without_controls(referer)))

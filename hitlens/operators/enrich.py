@@ -14,14 +14,31 @@ UNKNOWN = uri.UNKNOWN_DOMAIN
 
 
 def add_uri_columns(requests: DataFrame) -> DataFrame:
+    """Decoded URI, path, query pairs and referer domain.
+
+    Each step is a column of its own: Spark keeps such projections apart when a
+    column is used more than once, so no regular expression runs twice per row.
+    """
     decoded = requests.withColumn("dec_req_uri", uri.decode_uri(F.col("req_uri")))
-    return decoded.withColumns(
+    cleaned = decoded.withColumns(
+        {
+            "_uri": uri.without_controls(F.col("dec_req_uri")),
+            "_referer": uri.without_controls(F.col("http_referer")),
+        }
+    )
+    parts = cleaned.withColumns(
         {
-            "clean_path": uri.uri_path(F.col("dec_req_uri")),
-            "clean_query_list": uri.uri_query_pairs(F.col("dec_req_uri")),
-            "domain": uri.referer_domain(F.col("http_referer")),
+            "_path": uri.path_part(F.col("_uri")),
+            "_query": uri.query_part(F.col("_uri")),
+            "_netloc": uri.netloc_part(F.col("_referer")),
         }
     )
+    return parts.select(
+        *decoded.columns,
+        uri.strip_params(F.col("_path"), F.col("_uri")).alias("clean_path"),
+        uri.split_query(F.col("_query")).alias("clean_query_list"),
+        uri.name_domain(F.col("_netloc")).alias("domain"),
+    )
 
 
 def add_time_columns(requests: DataFrame) -> DataFrame:

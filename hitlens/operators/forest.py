@@ -25,7 +25,7 @@ from hitlens.session import broadcast_if_small, store_small
 # Executors get the array code with the function, whether or not they have the package.
 cloudpickle.register_pickle_by_value(tree_kernels)
 
-TREES_PER_CHUNK = 10
+TREES_PER_CHUNK = 20
 NODE_BYTES = 40
 BROADCAST_BYTES = 256 * 1024 * 1024
 UNIT = 2.0**-53
@@ -69,23 +69,26 @@ def draw_samples(
     max_samples: int,
     seed: int,
 ) -> DataFrame:
-    """Rows with the trees that drew them, one row per (group, chunk of trees, row).
-
-    A tree needs ``max_samples`` of a group's N rows, so a row joins it with
-    probability q, slightly above max_samples / N. Trees are taken in strides of
-    1/q: within a stride a row's hash assigns it to at most one tree. A large
-    group needs a single stride, hence one hash per row; a small group needs
-    many, but then has few rows. The hash is of the row's own ``key`` values, so
-    the draw is the same under any partitioning and after any retry.
+    """Rows that each chunk of trees draws from: one row per (group, chunk, row).
+
+    A chunk needs a pool of ``TREES_PER_CHUNK * max_samples`` of a group's N
+    rows, so a row joins it with probability q, slightly above that share.
+    Chunks are taken in strides of 1/q: within a stride a row's hash assigns it
+    to at most one chunk. A large group needs a single stride, hence one hash per
+    row; a small group needs many, but then has few rows. The hash is of the
+    row's own ``key`` values, so the draw is the same under any partitioning and
+    after any retry. What leaves the scan is bounded by trees times samples.
     """
-    overdraw = max_samples + 6 * math.sqrt(max_samples) + 10
+    wanted = TREES_PER_CHUNK * max_samples
+    overdraw = wanted + 6 * math.sqrt(wanted) + 10
+    chunks = math.ceil(num_trees / TREES_PER_CHUNK)
     sizes = (
         df.groupBy(F.col(group).alias("forest_group"))
         .count()
         .filter("forest_group IS NOT NULL")
         .select("forest_group", F.least(F.lit(1.0), overdraw / F.col("count")).alias("q"))
-        .withColumn("stride", F.greatest(F.lit(1), F.floor(1 / F.col("q"))).cast("int"))
-        .withColumn("strides", F.ceil(num_trees / F.col("stride")).cast("int"))
+        .withColumn("stride", F.floor(1 / F.col("q")).cast("int"))
+        .withColumn("strides", F.ceil(chunks / F.col("stride")).cast("int"))
     )
     sizes = broadcast_if_small(store_small(sizes))
     indices, values = feature_columns(features)
@@ -95,23 +98,14 @@ def draw_samples(
         indices.alias("indices"),
         values.alias("values"),
     )
-
-    def tree_of(stride_no: Column) -> Column:
-        slot = F.floor(_unit(F.xxhash64("sample_key", stride_no)) / F.col("q")).cast("int")
-        tree = stride_no * F.col("stride") + slot
-        return F.when((slot < F.col("stride")) & (tree < num_trees), tree)
-
-    every_stride = F.sequence(F.lit(0), F.col("strides") - 1)
-    drawn = (
+    slot = F.floor(_unit(F.xxhash64("sample_key", "stride_no")) / F.col("q")).cast("int")
+    placed = (
         rows.join(sizes, "forest_group")
-        .withColumn("trees", F.array_compact(F.transform(every_stride, tree_of)))
-        .filter(F.size("trees") > 0)
-        .drop("q", "stride", "strides")
-    )
-    chunk_of = lambda tree: F.floor(tree / TREES_PER_CHUNK).cast("int")
-    chunks = F.array_distinct(F.transform("trees", chunk_of))
-    placed = drawn.withColumn("chunk", F.explode(chunks)).withColumn(
-        "trees", F.filter("trees", lambda tree: chunk_of(tree) == F.col("chunk"))
+        .withColumn("stride_no", F.explode(F.sequence(F.lit(0), F.col("strides") - 1)))
+        .withColumn("slot", slot)
+        .withColumn("chunk", F.col("stride_no") * F.col("stride") + F.col("slot"))
+        .filter((F.col("slot") < F.col("stride")) & (F.col("chunk") < chunks))
+        .select("forest_group", "chunk", "sample_key", "indices", "values")
     )
     # Copies of one row share a key and count once, so no copied row can fill a chunk.
     return placed.dropDuplicates(["forest_group", "chunk", "sample_key"])
@@ -131,8 +125,10 @@ def fit_forest(
     schema = NODES
 
     def grow(table: pa.Table) -> pa.Table:
-        name = table["forest_group"][0].as_py()
-        grown = grow_trees(table, zlib.crc32(name.encode()), max_samples, seed)
+        name, chunk = table["forest_group"][0].as_py(), table["chunk"][0].as_py()
+        first = chunk * TREES_PER_CHUNK
+        trees = range(first, min(first + TREES_PER_CHUNK, num_trees))
+        grown = grow_trees(table, trees, zlib.crc32(name.encode()), max_samples, seed)
         grown["forest_group"] = [name] * len(grown["node"])
         return pa.table({field.name: grown[field.name] for field in schema})
 

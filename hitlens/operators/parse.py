@@ -40,7 +40,7 @@ def split_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     return (
         lines.select(F.explode(F.array(fields)).alias("field"))
         .filter(F.size("field") == len(FIELDS))
-        .select(*[F.col("field")[i].alias(name) for i, name in enumerate(FIELDS)])
+        .select(*[F.get("field", i).alias(name) for i, name in enumerate(FIELDS)])
     )
 
 

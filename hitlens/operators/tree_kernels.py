@@ -115,20 +115,19 @@ def grow_tree(sample: np.ndarray, max_depth: int, rng: np.random.Generator) -> d
     }
 
 
-def grow_trees(table: pa.Table, group_hash: int, max_samples: int, seed: int) -> dict:
-    """All trees of one (group, chunk); rows say which trees drew them."""
+def grow_trees(
+    table: pa.Table, trees: range, group_hash: int, max_samples: int, seed: int
+) -> dict:
+    """The trees of one chunk; each draws its own sample, without repeats, from the pool."""
     keys = table["sample_key"].to_numpy()
-    lengths, members = flat_list(table["trees"])
-    member_rows = np.repeat(np.arange(len(keys)), lengths)
     used = np.unique(flat_list(table["indices"])[1])
     matrix = dense(table["indices"], table["values"], used)
     parts = []
-    for tree in np.unique(members):
-        drawn = member_rows[members == tree]
-        order = mix(keys[drawn], seed * 1_000_003 + int(tree))
-        drawn = drawn[np.lexsort((keys[drawn], order))][:max_samples]
+    for tree in trees:
+        order = mix(keys, seed * 1_000_003 + tree)
+        drawn = np.lexsort((keys, order))[:max_samples]
         depth = int(np.ceil(np.log2(max(len(drawn), 2))))
-        rng = np.random.default_rng([seed, group_hash, int(tree)])
+        rng = np.random.default_rng([seed, group_hash, tree])
         grown = grow_tree(matrix[drawn], depth, rng)
         splits = grown["feature"] >= 0
         grown["feature"][splits] = used[grown["feature"][splits]]

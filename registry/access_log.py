@@ -30,6 +30,10 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = pages.count()
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     paired = events.withColumn("page_id", F.col("event_id") % count).join(pages, "page_id")
+    cores = spark.sparkContext.defaultParallelism
+    if events.rdd.getNumPartitions() < cores:
+        # Only a table of a few small files: its rows would all stay in one task.
+        paired = paired.repartition(cores)
     line, number = F.col("line"), F.col("event_id")
     variants = F.array(
         line,

@@ -57,14 +57,14 @@ WITH base AS (
   SELECT *,
     regexp_replace(regexp_extract(dec_req_uri, '^([^?#]*)', 1), ';[^/]*$', '') AS clean_path,
     list_filter(string_split(regexp_extract(dec_req_uri, '^[^?#]*\\?([^#]*)', 1), '&'),
-                x -> regexp_matches(x, {_PAIR})) AS raw_pairs,
+                lambda x: regexp_matches(x, {_PAIR})) AS raw_pairs,
     coalesce(nullif(nullif(regexp_extract(http_referer,
       '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1), ''), '-'), 'Unknown') AS domain,
     strptime(date_time, '%d/%b/%Y:%H:%M:%S +0000') AS fdate_time
   FROM decoded
 ), requests AS (
   SELECT * EXCLUDE (raw_pairs),
-    list_transform(raw_pairs, x -> {_unplus("split_part(x, '=', 1)")} || '=' ||
+    list_transform(raw_pairs, lambda x: {_unplus("split_part(x, '=', 1)")} || '=' ||
       {_unplus("substr(x, instr(x, '=') + 1)")}) AS clean_query_list,
     cast(epoch(fdate_time) AS bigint) AS dateunixtimest,
     hour(fdate_time) + minute(fdate_time) / 60.0::double AS fabstime,
@@ -115,15 +115,15 @@ def _list(expression: str) -> str:
     return f"array_to_string({expression}, ' | ')"
 
 
-_KEYS = "list_transform(clean_query_list, x -> split_part(x, '=', 1))"
+_KEYS = "list_transform(clean_query_list, lambda x: split_part(x, '=', 1))"
 _TOKENS = f"list_concat(string_split(clean_path, '/'), {_KEYS})"
 _CLASSES = (
-    f"list_transform({_TOKENS}, x -> CASE WHEN regexp_matches(x, '^[a-fA-F0-9]{{24}}$') THEN "
+    f"list_transform({_TOKENS}, lambda x: CASE WHEN regexp_matches(x, '^[a-fA-F0-9]{{24}}$') THEN "
     "'MONGOID' WHEN regexp_matches(x, '^[0-9]+$') THEN 'DIGIT' ELSE x END)"
 )
 _GRAMS = (
     "list_transform(range(1, greatest(length(clean_path) - 7, 1)), "
-    "i -> array_to_string(string_split(substr(clean_path, i, 9), ''), ' '))"
+    "lambda i: array_to_string(string_split(substr(clean_path, i, 9), ''), ' '))"
 )
 _EXTRACT = ", ".join(
     f"{_list(c)} AS {c}" if c == "clean_query_list" else c
@@ -183,8 +183,8 @@ oracle("query_keys", f"SELECT date_time, remote_addr, {_list(_KEYS)} AS keys FRO
 oracle(
     "query_values",
     f"""SELECT date_time, remote_addr,
-      {_list("list_transform(clean_query_list, x -> substr(x, instr(x, '=') + 1))")} AS values,
-      {_list("list_transform(clean_query_list, x -> split_part(x, '=', 2))")} AS cut_values
+      {_list("list_transform(clean_query_list, lambda x: substr(x, instr(x, '=') + 1))")} AS values,
+      {_list("list_transform(clean_query_list, lambda x: split_part(x, '=', 2))")} AS cut_values
     FROM requests""",
 )
 oracle(
@@ -219,9 +219,9 @@ oracle(
 )
 oracle(
     "union_sparse",
-    """SELECT date_time, remote_addr, status, NULL::varchar AS clean_path FROM requests
+    """SELECT date_time, remote_addr, status::varchar AS error, NULL::varchar AS clean_path FROM requests
          WHERE status >= 500
-       UNION ALL SELECT date_time, remote_addr, NULL::integer, clean_path FROM requests
+       UNION ALL SELECT date_time, remote_addr, NULL::varchar, clean_path FROM requests
          WHERE status = 404""",
 )
 oracle("volume_by_date", "SELECT date, count(*) AS requests FROM requests GROUP BY date")

@@ -124,8 +124,8 @@ def log_time(spark, sf):
 
 @query
 def log_features(spark, sf):
-    sites = top_sites(log_requests(spark, sf))
-    table = enrich.add_domain_category(log_requests(spark, sf), sites)
+    stored = land(log_requests(spark, sf), "requests")
+    table = enrich.add_domain_category(stored, top_sites(stored))
     return table.drop("fdate_time").withColumn("clean_query_list", joined("clean_query_list"))
 
 
@@ -206,8 +206,8 @@ def token_counts(spark, sf):
 
 @query
 def domain_category(spark, sf):
-    table = log_requests(spark, sf)
-    return enrich.add_domain_category(table, top_sites(log_requests(spark, sf))).select(
+    stored = land(log_requests(spark, sf).select("date_time", "remote_addr", "domain"), "domains")
+    return enrich.add_domain_category(stored, top_sites(stored)).select(
         "date_time", "remote_addr", "domain", "domain_category"
     )
 
@@ -231,7 +231,8 @@ def row_slice(spark, sf):
 @query
 def union_sparse(spark, sf):
     table = log_requests(spark, sf)
-    errors = table.filter("status >= 500").select("date_time", "remote_addr", "status")
+    error = F.col("status").cast("string").alias("error")
+    errors = table.filter("status >= 500").select("date_time", "remote_addr", error)
     missing = table.filter("status = 404").select("date_time", "remote_addr", "clean_path")
     return clean.union_sparse(errors, missing)
 
