@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from hitlens.operators import tree_kernels
 from hitlens.operators.tree_kernels import Forest, grow_trees
-from hitlens.session import broadcast_if_small, store_small
+from hitlens.session import broadcast_if_small, size_checked, store_small
 
 # Executors get the array code with the function, whether or not they have the package.
 cloudpickle.register_pickle_by_value(tree_kernels)
@@ -248,13 +248,16 @@ def score_thresholds(
     state = store_small(state)
     is_open = (F.col("_lo") < F.col("_hi")) & (F.col("_inside") > error * F.col("_n"))
     upto = W.partitionBy("forest_group").orderBy("_step")
-    while not state.filter(is_open).isEmpty():
+    while True:
+        open_groups, some = size_checked(state.filter(is_open))
+        if not some:
+            break
         step = F.least(
             F.lit(buckets - 1),
             F.floor((F.col("_s") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets),
         )
         histogram = (
-            rows.join(broadcast_if_small(state.filter(is_open)), "forest_group")
+            rows.join(open_groups, "forest_group")
             .filter("_s BETWEEN _lo AND _hi")
             .groupBy("forest_group", "_n", "_rank", step.alias("_step"))
             .agg(F.count("*").alias("_c"), F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))

@@ -64,10 +64,19 @@ def store_small(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint when a count shows at most ``max_rows`` narrow rows.
+MAX_BROADCAST_ROWS = 100_000
 
-    Beyond that Spark joins by shuffle, with adaptive skew handling. ``df``
+
+def size_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """``df`` for a join, and whether it has rows at all.
+
+    It gets a broadcast hint when a count shows at most ``max_rows`` (narrow)
+    rows. Beyond that Spark joins by shuffle, with adaptive skew handling. ``df``
     should be stored, so that counting it costs next to nothing.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    count = df.limit(max_rows + 1).count()
+    return (F.broadcast(df) if count <= max_rows else df), count > 0
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    return size_checked(df, max_rows)[0]
