@@ -25,7 +25,7 @@ from hitlens.session import broadcast_if_small, size_checked, store_small
 # Executors get the array code with the function, whether or not they have the package.
 cloudpickle.register_pickle_by_value(tree_kernels)
 
-TREES_PER_CHUNK = 20
+TREES_PER_CHUNK = 50
 NODE_BYTES = 40
 BROADCAST_BYTES = 256 * 1024 * 1024
 UNIT = 2.0**-53
@@ -99,16 +99,27 @@ def draw_samples(
         values.alias("values"),
     )
     slot = F.floor(_unit(F.xxhash64("sample_key", "stride_no")) / F.col("q")).cast("int")
-    placed = (
-        rows.join(sizes, "forest_group")
-        .withColumn("stride_no", F.explode(F.sequence(F.lit(0), F.col("strides") - 1)))
-        .withColumn("slot", slot)
-        .withColumn("chunk", F.col("stride_no") * F.col("stride") + F.col("slot"))
-        .filter((F.col("slot") < F.col("stride")) & (F.col("chunk") < chunks))
+    in_stride = (F.col("slot") < F.col("stride")) & (F.col("chunk") < chunks)
+
+    def with_chunk(df: DataFrame) -> DataFrame:
+        placed = df.withColumn("slot", slot)
+        return placed.withColumn("chunk", F.col("stride_no") * F.col("stride") + F.col("slot"))
+
+    # Of a group with a single stride only the rows drawn go on. Copies of a row
+    # share its key and count once, so that no copied row can fill a chunk; they
+    # collapse before the shuffle and before a small group's rows are multiplied.
+    chosen = (
+        with_chunk(rows.join(sizes, "forest_group").withColumn("stride_no", F.lit(0)))
+        .filter((F.col("strides") > 1) | in_stride)
+        .drop("slot", "chunk", "stride_no")
+        .dropDuplicates(["forest_group", "sample_key"])
+    )
+    every_stride = F.sequence(F.lit(0), F.col("strides") - 1)
+    return (
+        with_chunk(chosen.withColumn("stride_no", F.explode(every_stride)))
+        .filter(in_stride)
         .select("forest_group", "chunk", "sample_key", "indices", "values")
     )
-    # Copies of one row share a key and count once, so no copied row can fill a chunk.
-    return placed.dropDuplicates(["forest_group", "chunk", "sample_key"])
 
 
 def fit_forest(

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+TRAIN_TENTHS = 8
+
 
 def split_bucket(key: Sequence[str], seed: int) -> Column:
     """Bucket 0..9 from the row's own values, whatever the partitioning."""
@@ -16,7 +18,7 @@ def split_bucket(key: Sequence[str], seed: int) -> Column:
 
 
 def holdout_split(
-    df: DataFrame, key: Sequence[str], seed: int = 123, train_tenths: int = 8
+    df: DataFrame, key: Sequence[str], seed: int = 123, train_tenths: int = TRAIN_TENTHS
 ) -> tuple[DataFrame, DataFrame]:
     bucket = split_bucket(key, seed)
     return df.filter(bucket < train_tenths), df.filter(bucket >= train_tenths)

@@ -11,6 +11,7 @@ import pyarrow as pa
 
 EULER_GAMMA = 0.5772156649015329
 TREES_PER_STEP = 64
+ROWS_PER_STEP = 512
 
 
 def mean_path(size):
@@ -38,25 +39,49 @@ def flat_list(column) -> tuple[np.ndarray, np.ndarray]:
     return lengths, column.flatten().to_numpy(zero_copy_only=False)
 
 
-def dense(indices, values, used: np.ndarray) -> np.ndarray:
-    """Rows of sparse features as a matrix over the ``used`` (sorted) features."""
-    lengths, cols = flat_list(indices)
-    _, vals = flat_list(values)
-    rows = np.repeat(np.arange(len(lengths)), lengths)
-    matrix = np.zeros((len(lengths), max(len(used), 1)))
-    if len(used):
-        at = np.searchsorted(used, cols)
-        at[at == len(used)] = 0
-        hit = used[at] == cols
-        matrix[rows[hit], at[hit]] = vals[hit]
-    return matrix
+class SparseRows:
+    """Rows of sparse features, as two list columns hold them."""
+
+    def __init__(self, indices, values):
+        lengths, self.cols = flat_list(indices)
+        _, self.vals = flat_list(values)
+        self.starts = np.concatenate(([0], np.cumsum(lengths)))
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row number (within ``rows``), feature and value of every stored entry."""
+        lengths = self.starts[rows + 1] - self.starts[rows]
+        owner = np.repeat(np.arange(len(rows)), lengths)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        at = np.repeat(self.starts[rows], lengths) + within
+        return owner, self.cols[at], self.vals[at]
+
+    def dense(self, rows: np.ndarray, used: np.ndarray | None = None):
+        """Matrix of ``rows`` over the sorted features ``used`` (those present by default)."""
+        owner, cols, vals = self.take(rows)
+        if used is None:
+            used = np.unique(cols)
+        matrix = np.zeros((len(rows), max(len(used), 1)))
+        if len(used):
+            at = np.minimum(np.searchsorted(used, cols), len(used) - 1)
+            hit = used[at] == cols
+            matrix[owner[hit], at[hit]] = vals[hit]
+        return matrix, used
 
 
 def grow_tree(sample: np.ndarray, max_depth: int, rng: np.random.Generator) -> dict:
     """One tree, grown level by level; every level splits all its nodes at once."""
     count = len(sample)
-    feature, threshold, left = [-1], [np.inf], [0]
-    size, depth = [count], [0]
+    room = max(2 * count - 1, 1)
+    feature = np.full(room, -1, dtype=np.int32)
+    threshold = np.full(room, np.inf)
+    left = np.arange(room, dtype=np.int32)
+    size = np.zeros(room, dtype=np.int32)
+    depth = np.zeros(room, dtype=np.int32)
+    size[0], nodes = count, 1
+    # ``active`` nodes own consecutive runs of ``rows``, of ``counts`` rows each.
     rows = np.arange(count)
     active, counts = np.array([0]), np.array([count])
     if count < 2:
@@ -64,7 +89,7 @@ def grow_tree(sample: np.ndarray, max_depth: int, rng: np.random.Generator) -> d
     for level in range(max_depth):
         if not len(active):
             break
-        starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
+        starts = np.cumsum(counts) - counts
         part = sample[rows]
         low = np.minimum.reduceat(part, starts, axis=0)
         high = np.maximum.reduceat(part, starts, axis=0)
@@ -79,11 +104,12 @@ def grow_tree(sample: np.ndarray, max_depth: int, rng: np.random.Generator) -> d
         cut = lo + where * (hi - lo)
         cut = np.where(cut <= lo, np.nextafter(lo, hi), cut)
 
-        child = np.full(len(active), -1)
-        child[splits] = len(feature) + 2 * np.arange(splits.sum())
-        for i in np.flatnonzero(splits):
-            at = active[i]
-            feature[at], threshold[at], left[at] = int(chosen[i]), float(cut[i]), int(child[i])
+        born = nodes
+        child = np.zeros(len(active), dtype=np.int64)
+        child[splits] = born + 2 * np.arange(splits.sum())
+        parents = active[splits]
+        feature[parents], threshold[parents] = chosen[splits], cut[splits]
+        left[parents] = child[splits]
 
         owner = np.repeat(node, counts)
         right = part[np.arange(len(rows)), chosen[owner]] >= cut[owner]
@@ -92,26 +118,19 @@ def grow_tree(sample: np.ndarray, max_depth: int, rng: np.random.Generator) -> d
         rows = rows[moves]
         order = np.argsort(target, kind="stable")
         rows, target = rows[order], target[order]
-        born = len(feature)
-        sizes = np.bincount(target - born, minlength=2 * int(splits.sum()))
-        for i, s in enumerate(sizes):
-            feature.append(-1)
-            threshold.append(np.inf)
-            left.append(born + i)
-            size.append(int(s))
-            depth.append(level + 1)
+        sizes = np.bincount(target - born, minlength=2 * len(parents))
+        nodes = born + len(sizes)
+        size[born:nodes], depth[born:nodes] = sizes, level + 1
         grows = sizes > 1
         rows = rows[grows[target - born]]
-        active = born + np.flatnonzero(grows)
-        counts = sizes[grows]
-    size, depth = np.array(size), np.array(depth)
+        active, counts = born + np.flatnonzero(grows), sizes[grows]
     return {
-        "node": np.arange(len(feature), dtype=np.int32),
-        "feature": np.array(feature, dtype=np.int32),
-        "threshold": np.array(threshold),
-        "left": np.array(left, dtype=np.int32),
-        "size": size.astype(np.int32),
-        "path_length": depth + mean_path(size),
+        "node": np.arange(nodes, dtype=np.int32),
+        "feature": feature[:nodes],
+        "threshold": threshold[:nodes],
+        "left": left[:nodes],
+        "size": size[:nodes],
+        "path_length": depth[:nodes] + mean_path(size[:nodes]),
     }
 
 
@@ -120,15 +139,17 @@ def grow_trees(
 ) -> dict:
     """The trees of one chunk; each draws its own sample, without repeats, from the pool."""
     keys = table["sample_key"].to_numpy()
-    used = np.unique(flat_list(table["indices"])[1])
-    matrix = dense(table["indices"], table["values"], used)
+    pool = SparseRows(table["indices"], table["values"])
     parts = []
     for tree in trees:
         order = mix(keys, seed * 1_000_003 + tree)
         drawn = np.lexsort((keys, order))[:max_samples]
+        sample, used = pool.dense(drawn)
+        varies = sample.max(axis=0) > sample.min(axis=0)
+        if varies.any():
+            sample, used = np.ascontiguousarray(sample[:, varies]), used[varies]
         depth = int(np.ceil(np.log2(max(len(drawn), 2))))
-        rng = np.random.default_rng([seed, group_hash, tree])
-        grown = grow_tree(matrix[drawn], depth, rng)
+        grown = grow_tree(sample, depth, np.random.default_rng([seed, group_hash, tree]))
         splits = grown["feature"] >= 0
         grown["feature"][splits] = used[grown["feature"][splits]]
         grown["tree"] = np.full(len(splits), tree, dtype=np.int32)
@@ -157,22 +178,30 @@ class Forest:
 
     def score(self, indices, values) -> np.ndarray:
         """``2 ** (-mean path / expected path)`` for every row."""
-        matrix = dense(indices, values, self.used)
-        width = matrix.shape[1]
+        rows = SparseRows(indices, values)
+        if self.scale == 0:
+            return np.ones(len(rows))
+        scores = [
+            self._score_block(rows, np.arange(start, min(start + ROWS_PER_STEP, len(rows))))
+            for start in range(0, len(rows), ROWS_PER_STEP)
+        ]
+        return np.concatenate(scores) if scores else np.zeros(0)
+
+    def _score_block(self, rows: SparseRows, block: np.ndarray) -> np.ndarray:
+        # Few rows and trees at a time, so that the matrices stay in the cache.
+        matrix, _ = rows.dense(block, self.used)
         flat = matrix.ravel()
-        base = (np.arange(len(matrix), dtype=np.int64) * width)[:, None]
-        total = np.zeros(len(matrix))
+        base = (np.arange(len(block), dtype=np.int32) * matrix.shape[1])[:, None]
+        total = np.zeros(len(block))
         for start in range(0, len(self.roots), TREES_PER_STEP):
             roots = self.roots[start : start + TREES_PER_STEP]
-            node = np.repeat(roots[None, :], len(matrix), axis=0)
+            node = np.repeat(roots[None, :], len(block), axis=0)
             while True:
                 # A leaf points at itself and its threshold is infinite.
-                values_at = flat[base + self.feature[node]]
-                step = self.left[node] + (values_at >= self.threshold[node])
+                seen = flat.take(base + self.feature.take(node))
+                step = self.left.take(node) + (seen >= self.threshold.take(node))
                 if np.array_equal(step, node):
                     break
-                node = step.astype(np.int32)
-            total += self.path_length[node].sum(axis=1)
-        if self.scale == 0:
-            return np.ones(len(matrix))
+                node = step
+            total += self.path_length.take(node).sum(axis=1)
         return np.exp2(-(total / len(self.roots)) / self.scale)

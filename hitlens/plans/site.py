@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegressionModel
@@ -13,7 +14,12 @@ from hitlens.operators.clean import union_strict
 from hitlens.operators.classify import fit_classifier, predict_site
 from hitlens.operators.enrich import OTHER
 from hitlens.operators.features import SITE_BUCKETS, site_features
-from hitlens.operators.metrics import classifier_metrics, confusion_matrix, holdout_split
+from hitlens.operators.metrics import (
+    TRAIN_TENTHS,
+    classifier_metrics,
+    confusion_matrix,
+    split_bucket,
+)
 from hitlens.operators.parse import REQUEST_KEY
 from hitlens.operators.runlog import now_text, observe_rows, run_log, volume_text
 from hitlens.session import land
@@ -26,6 +32,7 @@ from hitlens.sources.readers import (
     read_table,
 )
 
+ROWS_PER_TASK = 50_000
 TRAIN_COLUMNS = (
     "fabstime day_of_week body_bytes_sent clean_path clean_query_list domain_category method domain"
 ).split()
@@ -50,7 +57,7 @@ class SiteModels:
 def labelled_features(
     requests: DataFrame, models: SiteModels, buckets: int = SITE_BUCKETS
 ) -> DataFrame:
-    """Features and class of registered traffic, with the key the split hashes."""
+    """Features and class of registered traffic, with the request key."""
     known = requests.filter(F.col("domain_category") != OTHER)
     columns = list(dict.fromkeys(TRAIN_COLUMNS + REQUEST_KEY))
     classes = models.classes.setInputCol("domain_category").setOutputCol("domain_index")
@@ -70,9 +77,15 @@ def train(
 
     The features are stored once, because every iteration of the fit reads them.
     """
-    featured = land(labelled_features(requests, models, buckets), "site-features")
-    training, test = holdout_split(featured, REQUEST_KEY, seed)
-    classifier = fit_classifier(training.select("domain_index", "features"), max_iter=max_iter)
+    featured = labelled_features(requests, models, buckets).select(
+        "domain_index", "features", split_bucket(REQUEST_KEY, seed).alias("bucket")
+    )
+    stored = land(featured, "site-features")
+    # Every iteration sums a dense gradient per task: small data wants few tasks.
+    tasks = max(1, math.ceil(stored.count() / ROWS_PER_TASK))
+    training = stored.filter(F.col("bucket") < TRAIN_TENTHS).drop("bucket").coalesce(tasks)
+    test = stored.filter(F.col("bucket") >= TRAIN_TENTHS)
+    classifier = fit_classifier(training, max_iter=max_iter)
     return classifier, classifier.transform(test).select("domain_index", "prediction")
 
 
