@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from hitlens.operators.runlog import now_text
 from hitlens.plans import detect, extract, profile, site
-from hitlens.session import use_utc
+from hitlens.session import temporary_work, use_utc
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -44,6 +44,11 @@ def main(argv: list[str] | None = None) -> None:
     args = arguments().parse_args(argv)
     spark = SparkSession.builder.appName(f"hitlens-{args.job}").getOrCreate()
     use_utc(spark)
+    with temporary_work(spark):
+        run(spark, args)
+
+
+def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.job == "extract":
         extract.run(spark, args.logs, args.output, args.metadata, args.report, args.domains)
     elif args.job == "train":

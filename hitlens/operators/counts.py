@@ -15,8 +15,21 @@ def volume_by(df: DataFrame, *keys: str) -> DataFrame:
 def explode_path_words(df: DataFrame, path: str = "clean_path") -> DataFrame:
     """One row per path token, with the number of tokens in its path."""
     words = df.select(tokens.path_tokens(F.col(path)).alias("path_words"))
+    # A split has at least one part. The outer form spares the "not empty" filter that
+    # Spark would otherwise push down, evaluating the path a second time below a shuffle.
     return words.select(
-        F.explode("path_words").alias("word"), F.size("path_words").alias("array_length")
+        F.explode_outer("path_words").alias("word"), F.size("path_words").alias("array_length")
+    )
+
+
+def explode_pairs(df: DataFrame, pairs: str = "clean_query_list") -> DataFrame:
+    """One row per query pair with its key and value; requests without query give none."""
+    exploded = df.select(F.explode_outer(pairs).alias("query_param"))
+    return exploded.filter("query_param IS NOT NULL").withColumns(
+        {
+            "query_key": tokens.pair_key(F.col("query_param")),
+            "query_value": tokens.pair_value(F.col("query_param")),
+        }
     )
 
 

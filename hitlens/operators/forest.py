@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -68,6 +68,7 @@ def draw_samples(
     num_trees: int,
     max_samples: int,
     seed: int,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Rows that each chunk of trees draws from: one row per (group, chunk, row).
 
@@ -78,6 +79,9 @@ def draw_samples(
     row; a small group needs many, but then has few rows. The hash is of the
     row's own ``key`` values, so the draw is the same under any partitioning and
     after any retry. What leaves the scan is bounded by trees times samples.
+
+    ``prepare`` adds the feature columns to the rows drawn, so that they are not
+    computed for all others.
     """
     wanted = TREES_PER_CHUNK * max_samples
     overdraw = wanted + 6 * math.sqrt(wanted) + 10
@@ -90,13 +94,12 @@ def draw_samples(
         .withColumn("stride", F.floor(1 / F.col("q")).cast("int"))
         .withColumn("strides", F.ceil(chunks / F.col("stride")).cast("int"))
     )
-    sizes = broadcast_if_small(store_small(sizes))
-    indices, values = feature_columns(features)
-    rows = df.select(
-        F.col(group).alias("forest_group"),
-        F.xxhash64(F.lit(seed), *[F.col(c) for c in key]).alias("sample_key"),
-        indices.alias("indices"),
-        values.alias("values"),
+    sizes, groups = size_checked(store_small(sizes))
+    rows = df.withColumns(
+        {
+            "forest_group": F.col(group),
+            "sample_key": F.xxhash64(F.lit(seed), *[F.col(c) for c in key]),
+        }
     )
     slot = F.floor(_unit(F.xxhash64("sample_key", "stride_no")) / F.col("q")).cast("int")
     in_stride = (F.col("slot") < F.col("stride")) & (F.col("chunk") < chunks)
@@ -114,11 +117,25 @@ def draw_samples(
         .drop("slot", "chunk", "stride_no")
         .dropDuplicates(["forest_group", "sample_key"])
     )
+    indices, values = feature_columns(features)
+    prepared = (prepare(chosen) if prepare else chosen).select(
+        "forest_group",
+        "sample_key",
+        "q",
+        "stride",
+        "strides",
+        indices.alias("indices"),
+        values.alias("values"),
+    )
     every_stride = F.sequence(F.lit(0), F.col("strides") - 1)
+    # Growing trees is work per chunk, not per byte: the number of tasks is set here.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(groups * chunks, 4 * cores))
     return (
-        with_chunk(chosen.withColumn("stride_no", F.explode(every_stride)))
+        with_chunk(prepared.withColumn("stride_no", F.explode(every_stride)))
         .filter(in_stride)
         .select("forest_group", "chunk", "sample_key", "indices", "values")
+        .repartition(tasks, "forest_group", "chunk")
     )
 
 
@@ -130,9 +147,10 @@ def fit_forest(
     num_trees: int = 100,
     max_samples: int = 256,
     seed: int = 1,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Node table of all trees of all groups. ``key`` columns tell rows apart."""
-    samples = draw_samples(df, group, key, features, num_trees, max_samples, seed)
+    samples = draw_samples(df, group, key, features, num_trees, max_samples, seed, prepare)
     schema = NODES
 
     def grow(table: pa.Table) -> pa.Table:
@@ -260,8 +278,8 @@ def score_thresholds(
     is_open = (F.col("_lo") < F.col("_hi")) & (F.col("_inside") > error * F.col("_n"))
     upto = W.partitionBy("forest_group").orderBy("_step")
     while True:
-        open_groups, some = size_checked(state.filter(is_open))
-        if not some:
+        open_groups, left = size_checked(state.filter(is_open))
+        if left == 0:
             break
         step = F.least(
             F.lit(buckets - 1),

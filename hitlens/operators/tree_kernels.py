@@ -143,7 +143,10 @@ def grow_trees(
     parts = []
     for tree in trees:
         order = mix(keys, seed * 1_000_003 + tree)
-        drawn = np.lexsort((keys, order))[:max_samples]
+        drawn = np.arange(len(keys))
+        if len(keys) > max_samples:
+            drawn = np.argpartition(order, max_samples)[:max_samples]
+        drawn = drawn[np.argsort(order[drawn])]
         sample, used = pool.dense(drawn)
         varies = sample.max(axis=0) > sample.min(axis=0)
         if varies.any():
@@ -168,12 +171,12 @@ class Forest:
         offset = np.repeat(roots, np.diff(roots, append=len(tree)))
         feature = nodes["feature"][order]
         self.used = np.unique(feature[feature >= 0])
-        self.feature = np.searchsorted(self.used, np.maximum(feature, 0)).astype(np.int32)
+        self.feature = np.searchsorted(self.used, np.maximum(feature, 0)).astype(np.intp)
         self.feature[feature < 0] = 0
         self.threshold = nodes["threshold"][order]
-        self.left = (nodes["left"][order] + offset).astype(np.int32)
+        self.left = (nodes["left"][order] + offset).astype(np.intp)
         self.path_length = nodes["path_length"][order]
-        self.roots = roots.astype(np.int32)
+        self.roots = roots.astype(np.intp)
         self.scale = mean_path(nodes["sample_size"][order][roots]).mean()
 
     def score(self, indices, values) -> np.ndarray:
@@ -191,15 +194,16 @@ class Forest:
         # Few rows and trees at a time, so that the matrices stay in the cache.
         matrix, _ = rows.dense(block, self.used)
         flat = matrix.ravel()
-        base = (np.arange(len(block), dtype=np.int32) * matrix.shape[1])[:, None]
+        base = (np.arange(len(block)) * matrix.shape[1])[:, None]
         total = np.zeros(len(block))
         for start in range(0, len(self.roots), TREES_PER_STEP):
             roots = self.roots[start : start + TREES_PER_STEP]
             node = np.repeat(roots[None, :], len(block), axis=0)
             while True:
                 # A leaf points at itself and its threshold is infinite.
-                seen = flat.take(base + self.feature.take(node))
-                step = self.left.take(node) + (seen >= self.threshold.take(node))
+                seen = flat.take(base + self.feature.take(node, mode="clip"), mode="clip")
+                step = self.left.take(node, mode="clip")
+                step += seen >= self.threshold.take(node, mode="clip")
                 if np.array_equal(step, node):
                     break
                 node = step

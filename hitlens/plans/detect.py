@@ -41,24 +41,28 @@ FINAL = Detector()
 FIRST = Detector(100, 256, 2040, 0.02, 0.0, classify_tokens=False)
 
 
-def score(requests: DataFrame, detector: Detector = FINAL) -> tuple[DataFrame, DataFrame]:
-    """Scored requests (features dropped) and the forest, both stored."""
+def _features(requests: DataFrame, detector: Detector) -> DataFrame:
+    return detect_features(requests, detector.buckets, detector.classify_tokens)
+
+
+def fit(requests: DataFrame, detector: Detector = FINAL) -> DataFrame:
+    """Forest of every site; features are computed for the drawn rows only."""
     require_utc(requests.sparkSession)
-    columns = list(dict.fromkeys(INPUT_COLUMNS + REQUEST_KEY))
-    featured = detect_features(
-        requests.select(columns), detector.buckets, detector.classify_tokens
-    )
-    forest = land(
-        fit_forest(
-            featured,
-            SITE,
-            REQUEST_KEY,
-            num_trees=detector.trees,
-            max_samples=detector.samples,
-            seed=detector.seed,
-        ),
-        "forest",
+    return fit_forest(
+        requests,
+        SITE,
+        REQUEST_KEY,
+        num_trees=detector.trees,
+        max_samples=detector.samples,
+        seed=detector.seed,
+        prepare=lambda rows: _features(rows, detector),
     )
+
+
+def score(requests: DataFrame, detector: Detector = FINAL) -> tuple[DataFrame, DataFrame]:
+    """Scored requests (features dropped) and the forest, both stored."""
+    forest = land(fit(requests, detector), "forest")
+    featured = _features(requests.select(INPUT_COLUMNS), detector)
     return land(score_forest(featured, forest, SITE).drop("features"), "scores"), forest
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,10 +42,28 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+_given_out: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; never an existing one."""
     app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/hitlens/{app}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/hitlens/{app}/{name}-{uuid.uuid4().hex}"
+    _given_out.append(path)
+    return path
+
+
+@contextmanager
+def temporary_work(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the work paths given out inside the block."""
+    start = len(_given_out)
+    try:
+        yield
+    finally:
+        for path in _given_out[start:]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        del _given_out[start:]
 
 
 def land(df: DataFrame, name: str) -> DataFrame:
@@ -67,15 +87,15 @@ def store_small(df: DataFrame) -> DataFrame:
 MAX_BROADCAST_ROWS = 100_000
 
 
-def size_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` for a join, and whether it has rows at all.
+def size_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, int]:
+    """``df`` for a join, and its number of rows (counted up to one past ``max_rows``).
 
     It gets a broadcast hint when a count shows at most ``max_rows`` (narrow)
     rows. Beyond that Spark joins by shuffle, with adaptive skew handling. ``df``
     should be stored, so that counting it costs next to nothing.
     """
     count = df.limit(max_rows + 1).count()
-    return (F.broadcast(df) if count <= max_rows else df), count > 0
+    return (F.broadcast(df) if count <= max_rows else df), count
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:

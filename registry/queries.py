@@ -10,7 +10,7 @@ from hitlens.functions import times, tokens, uri
 from hitlens.operators import categories, clean, counts, enrich, features, forest, metrics
 from hitlens.operators import embed, parse, runlog, similar
 from hitlens.plans import detect, site
-from hitlens.session import land, use_utc, work_path
+from hitlens.session import broadcast_if_small, land, use_utc, work_path
 from hitlens.sinks import writers
 from hitlens.sources import readers
 from registry.access_log import log_lines, log_requests, stored_extract, top_sites
@@ -160,13 +160,8 @@ def query_values(spark, sf):
 
 @query
 def query_pairs(spark, sf):
-    table = log_requests(spark, sf).select(F.explode("clean_query_list").alias("query_param"))
-    return (
-        table.withColumn("query_key", tokens.pair_key(F.col("query_param")))
-        .withColumn("query_value", tokens.pair_value(F.col("query_param")))
-        .groupBy("query_key", "query_value")
-        .agg(F.count("*").alias("requests"))
-    )
+    pairs = counts.explode_pairs(log_requests(spark, sf))
+    return pairs.groupBy("query_key", "query_value").agg(F.count("*").alias("requests"))
 
 
 @query
@@ -424,6 +419,8 @@ def _votes(table, sites):
         .withColumn("total", F.aggregate("votes", F.lit(0).cast("bigint"), lambda a, b: a + b))
         .select("start", F.transform("votes", lambda v: v / F.col("total")).alias("probability"))
     )
+    # One short row per path start: broadcast when a count shows it is small.
+    tally = broadcast_if_small(land(tally, "votes"))
     nobody = F.array(*[F.lit(0.0) for _ in sites])
     return (
         table.withColumn("start", start)
@@ -555,8 +552,7 @@ def predict_domain(spark, sf):
 @query
 def forest_fit(spark, sf):
     table, _ = stored_extract(spark, sf)
-    featured = features.detect_features(table, buckets=2040, classify=False)
-    return forest.fit_forest(featured, "domain_category", parse.REQUEST_KEY)
+    return detect.fit(table, detect.FIRST)
 
 
 @query

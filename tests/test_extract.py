@@ -1,5 +1,6 @@
 """Parsing, cleaning and the extract plan."""
 
+import os
 import re
 
 import pytest
@@ -9,6 +10,7 @@ from conftest import SMALL, plan_of
 from hitlens.functions import tokens
 from hitlens.operators import categories, clean, counts, enrich, parse, runlog
 from hitlens.plans.extract import extract, requests
+from hitlens.session import land, shared_folder, temporary_work
 from hitlens.sinks.writers import write_partitioned
 from hitlens.sources.readers import local_table, object_store_conf, read_log_text, read_partition
 from registry.access_log import log_lines
@@ -197,6 +199,30 @@ def test_session_zone_is_checked(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def test_temporary_work_deletes_only_its_own(spark):
+    outer = land(spark.range(3), "outer")
+    with temporary_work(spark):
+        inner = land(spark.range(4), "inner")
+        assert inner.count() == 4
+    assert outer.count() == 3
+    assert not os.path.exists(inner.inputFiles()[0].removeprefix("file://"))
+
+
+def test_missing_shared_folder_is_an_error_on_a_cluster():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+
+
 def test_object_store_settings():
     conf = object_store_conf("http://store:9000", "key", "secret")
     assert conf["spark.hadoop.fs.s3a.path.style.access"] == "true" and len(conf) == 4

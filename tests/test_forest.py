@@ -101,6 +101,17 @@ def test_large_group_rows_join_at_most_one_chunk_each(spark):
     assert frame.groupby("chunk").size().between(wanted, wanted + 20 * math.sqrt(wanted)).all()
 
 
+def test_features_are_computed_for_drawn_rows_only(spark):
+    def prepare(rows):
+        return rows.withColumn("sum", F.col("x") + F.col("y"))
+
+    table = points(spark)
+    nodes = forest.fit_forest(table, "site", ["site", "id"], ["sum"], 5, 32, prepare=prepare)
+    whole = forest.fit_forest(prepare(table), "site", ["site", "id"], ["sum"], 5, 32)
+    order = ["forest_group", "tree", "node"]
+    assert nodes.orderBy(order).toPandas().equals(whole.orderBy(order).toPandas())
+
+
 def test_planted_outlier_ranks_first(spark):
     rows = [
         (1, 3.0, 2.0, 5.0, 10.0, 100.0),
