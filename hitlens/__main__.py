@@ -8,7 +8,10 @@ from pyspark.sql import SparkSession
 
 from hitlens.operators.runlog import now_text
 from hitlens.plans import detect, extract, profile, site
-from hitlens.session import temporary_work, use_utc
+from hitlens.session import size_shuffles, temporary_work, use_utc
+
+# Stored tables are compressed and dictionary-encoded; rows in a shuffle are not.
+STORED_EXPANSION = 6.0
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -44,6 +47,9 @@ def main(argv: list[str] | None = None) -> None:
     args = arguments().parse_args(argv)
     spark = SparkSession.builder.appName(f"hitlens-{args.job}").getOrCreate()
     use_utc(spark)
+    given = vars(args)
+    source = next(given[p] for p in ("logs", "extracted", "ground_truth", "detected") if p in given)
+    size_shuffles(spark, source, 1.0 if args.job == "extract" else STORED_EXPANSION)
     with temporary_work(spark):
         run(spark, args)
 

@@ -8,11 +8,7 @@ from pyspark.sql import functions as F
 from hitlens.functions import times
 
 # The line format and the names of its groups, in order.
-LINE = (
-    r"^((?:\d{1,3}\.){3}\d{1,3}|[0-9a-fA-F:]+) - (-|[^\s]+) \[([^\]]+)\] "
-    r"\"([A-Z]+) ([^ ]+) (HTTP/\d\.\d)\" (\d{3}) (\d+) "
-    r"\"([^\"]*)\" \"([^\"]*)\"(?:\s+(\d+))?"
-)
+LINE = r"^((?:\d{1,3}\.){3}\d{1,3}|[0-9a-fA-F:]+) - (-|[^\s]+) \[([^\]]+)\] \"([A-Z]+) ([^ ]+) (HTTP/\d\.\d)\" (\d{3}) (\d+) \"([^\"]*)\" \"([^\"]*)\"(?:\s+(\d+))?"  # noqa: E501
 FIELDS = (
     "remote_addr remote_usr date_time method req_uri http_ver "
     "status body_bytes_sent http_referer user_agent gzip_ratio"

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitlens.operators.features import detect_features
+from hitlens.operators.features import assemble, detect_columns, detect_features
 from hitlens.operators.forest import fit_forest, label_anomalies, score_forest, score_thresholds
 from hitlens.operators.parse import REQUEST_KEY
 from hitlens.operators.runlog import now_text, observe_rows, run_log, volume_text
@@ -17,10 +18,13 @@ from hitlens.sinks.writers import publish, write_partitioned, write_report
 from hitlens.sources.readers import read_table
 
 SITE = "domain_category"
+
+# The columns read and written.
 INPUT_COLUMNS = (
     "method status body_bytes_sent http_referer user_agent dec_req_uri clean_path "
     "clean_query_list domain fdate_time fabstime day_of_week domain_category"
 ).split()
+EMBEDDED_FEATURES = ["fabstime", "status", "body_bytes_sent", "url_embedding"]
 OUTPUT_COLUMNS = INPUT_COLUMNS + ["es_time", "query_len", "outlierScore", "anomaly_bool"]
 
 
@@ -37,15 +41,33 @@ class Detector:
     seed: int = 1
 
 
+# Trees, samples, hash buckets, contamination and its error.
 FINAL = Detector()
 FIRST = Detector(100, 256, 2040, 0.02, 0.0, classify_tokens=False)
 
 
-def _features(requests: DataFrame, detector: Detector) -> DataFrame:
-    return detect_features(requests, detector.buckets, detector.classify_tokens)
+def token_features(detector: Detector) -> Callable[[DataFrame], DataFrame]:
+    """Adds the detector's ``features``: scalars and hashed URL tokens."""
+    return lambda requests: detect_features(
+        requests, detector.buckets, detector.classify_tokens
+    )
+
+
+def embedding_features(model: Word2VecModel) -> Callable[[DataFrame], DataFrame]:
+    """Adds ``features`` of scalars and the mean word vector of the URL tokens."""
+
+    def prepare(requests: DataFrame) -> DataFrame:
+        embedded = model.transform(detect_columns(requests))
+        return assemble(embedded, EMBEDDED_FEATURES).drop("url_features", model.getOutputCol())
 
+    return prepare
 
-def fit(requests: DataFrame, detector: Detector = FINAL) -> DataFrame:
+
+def fit(
+    requests: DataFrame,
+    detector: Detector = FINAL,
+    features: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Forest of every site; features are computed for the drawn rows only."""
     require_utc(requests.sparkSession)
     return fit_forest(
@@ -55,20 +77,29 @@ def fit(requests: DataFrame, detector: Detector = FINAL) -> DataFrame:
         num_trees=detector.trees,
         max_samples=detector.samples,
         seed=detector.seed,
-        prepare=lambda rows: _features(rows, detector),
+        prepare=features or token_features(detector),
     )
 
 
-def score(requests: DataFrame, detector: Detector = FINAL) -> tuple[DataFrame, DataFrame]:
+def score(
+    requests: DataFrame,
+    detector: Detector = FINAL,
+    features: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Scored requests (features dropped) and the forest, both stored."""
-    forest = land(fit(requests, detector), "forest")
-    featured = _features(requests.select(INPUT_COLUMNS), detector)
+    features = features or token_features(detector)
+    forest = land(fit(requests, detector, features), "forest")
+    featured = features(requests.select(INPUT_COLUMNS))
     return land(score_forest(featured, forest, SITE).drop("features"), "scores"), forest
 
 
-def detect(requests: DataFrame, detector: Detector = FINAL) -> tuple[DataFrame, DataFrame]:
+def detect(
+    requests: DataFrame,
+    detector: Detector = FINAL,
+    features: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """The 17-column detection table and the forest behind it."""
-    scored, forest = score(requests, detector)
+    scored, forest = score(requests, detector, features)
     limits = score_thresholds(
         scored, SITE, contamination=detector.contamination, error=detector.error
     )

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hitlens.operators.categories import encode, fit_encoder, fit_indexer
+from hitlens.operators.categories import fit_encoder, fit_indexer
 from hitlens.operators.clean import complete_rows, distinct_requests
-from hitlens.operators.enrich import add_domain_category, add_time_columns, add_uri_columns
+from hitlens.operators.enrich import OTHER, add_domain_category, add_time_columns, add_uri_columns
 from hitlens.operators.parse import add_date_parts, split_lines, type_fields
 from hitlens.operators.runlog import now_text, observe_rows, run_log, volume_text
 from hitlens.session import require_utc
@@ -47,14 +48,13 @@ def run(
     stored = read_table(spark, output, table.schema)
 
     methods = fit_indexer(stored, "method")
-    save_category_models(methods, fit_encoder(methods.transform(stored), "method"), metadata, "method")
-    categories = fit_indexer(stored, "domain_category")
-    save_category_models(
-        categories,
-        fit_encoder(categories.transform(stored), "domain_category"),
-        metadata,
-        "domain_category",
-    )
+    methods_onehot = fit_encoder(methods.transform(stored), "method")
+    save_category_models(methods, methods_onehot, metadata, "method")
+    # Classes are the registered sites: traffic of no known site has no class.
+    registered = stored.filter(F.col("domain_category") != OTHER)
+    sites = fit_indexer(registered, "domain_category")
+    sites_onehot = fit_encoder(sites.transform(registered), "domain_category")
+    save_category_models(sites, sites_onehot, metadata, "domain_category")
     entries = [
         ("Start", start),
         ("End", now_text()),

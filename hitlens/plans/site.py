@@ -33,6 +33,8 @@ from hitlens.sources.readers import (
 )
 
 ROWS_PER_TASK = 50_000
+
+# The columns of each stored table.
 TRAIN_COLUMNS = (
     "fabstime day_of_week body_bytes_sent clean_path clean_query_list domain_category method domain"
 ).split()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 TIME_ZONE_CONF = "spark.sql.session.timeZone"
+SHUFFLE_CONF = "spark.sql.shuffle.partitions"
 
 
 def use_utc(spark: SparkSession) -> None:
@@ -84,6 +86,25 @@ def store_small(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def size_shuffles(
+    spark: SparkSession, path: str, expansion: float = 1.0, partition_bytes: int = 128 * 1024**2
+) -> int:
+    """Raise the number of shuffle partitions until one holds ``partition_bytes`` of the input.
+
+    ``expansion`` is how much larger the rows are than their files. Adaptive
+    execution merges partitions that turn out small, but it cannot split those of
+    an aggregate, so the number has to follow the data. It is never lowered.
+    """
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(pattern) or []
+    size = sum(files.getContentSummary(entry.getPath()).getLength() for entry in found)
+    needed = math.ceil(size * expansion / partition_bytes)
+    if needed > int(spark.conf.get(SHUFFLE_CONF)):
+        spark.conf.set(SHUFFLE_CONF, str(needed))
+    return int(spark.conf.get(SHUFFLE_CONF))
+
+
 MAX_BROADCAST_ROWS = 100_000
 
 

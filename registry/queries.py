@@ -598,3 +598,12 @@ def path_embedding(spark, sf):
     worded = land(embed.add_path_tokens(table), "path-tokens")
     embedded = embed.fit_path_embedding(worded).transform(worded)
     return embedded.select("clean_path", vector_to_array("url_embedding").alias("embedding"))
+
+
+@query
+def forest_embedding(spark, sf):
+    """First detector on embedded paths instead of hashed tokens."""
+    table, _ = stored_extract(spark, sf)
+    model = embed.fit_path_embedding(land(embed.add_path_tokens(table), "path-tokens"))
+    found, _ = detect.detect(table, detect.FIRST, detect.embedding_features(model))
+    return found.select("clean_path", "domain_category", "outlierScore", "anomaly_bool")

@@ -10,7 +10,7 @@ from conftest import SMALL, plan_of
 from hitlens.functions import tokens
 from hitlens.operators import categories, clean, counts, enrich, parse, runlog
 from hitlens.plans.extract import extract, requests
-from hitlens.session import land, shared_folder, temporary_work
+from hitlens.session import land, shared_folder, size_shuffles, temporary_work
 from hitlens.sinks.writers import write_partitioned
 from hitlens.sources.readers import local_table, object_store_conf, read_log_text, read_partition
 from registry.access_log import log_lines
@@ -208,6 +208,18 @@ def test_temporary_work_deletes_only_its_own(spark):
     assert not os.path.exists(inner.inputFiles()[0].removeprefix("file://"))
 
 
+def test_shuffle_partitions_follow_the_input(spark, tmp_path):
+    (tmp_path / "day").mkdir()
+    (tmp_path / "day" / "x.log").write_text("x" * 10_000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffles(spark, str(tmp_path)) == int(before)
+        assert size_shuffles(spark, str(tmp_path / "*"), 2.0, partition_bytes=1000) == 20
+        assert size_shuffles(spark, str(tmp_path)) == 20
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_missing_shared_folder_is_an_error_on_a_cluster():
     class Context:
         master = "spark://somewhere:7077"

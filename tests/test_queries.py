@@ -19,6 +19,7 @@ ROWS_ONLY = {
     "forest_score",
     "forest_by_domain",
     "forest_one_feature",
+    "forest_embedding",
     "path_minhash",
     "path_embedding",
 }
