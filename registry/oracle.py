@@ -41,10 +41,10 @@ WITH base AS (
   UNION ALL SELECT value FROM base WHERE eid % 13 = 0
   UNION ALL SELECT concat(value, ' 5') FROM base WHERE eid % 26 = 0
   UNION ALL SELECT replace(value, '"', '') FROM base WHERE eid % 19 = 0
-), matched AS (
+), matched AS MATERIALIZED (
   SELECT regexp_extract(value, '{_pattern}', {_names}) AS f
   FROM lines WHERE regexp_matches(value, '{_pattern}')
-), parsed AS (
+), parsed AS MATERIALIZED (
   SELECT f.remote_addr, f.remote_usr, f.date_time,
     substr(f.date_time, 1, 11) AS date, substr(f.date_time, 13, 8) AS time,
     f.method, f.req_uri, f.http_ver, try_cast(f.status AS integer) AS status,
@@ -62,7 +62,7 @@ WITH base AS (
       '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1), ''), '-'), 'Unknown') AS domain,
     strptime(date_time, '%d/%b/%Y:%H:%M:%S +0000') AS fdate_time
   FROM decoded
-), requests AS (
+), requests AS MATERIALIZED (
   SELECT * EXCLUDE (raw_pairs),
     list_transform(raw_pairs, lambda x: {_unplus("split_part(x, '=', 1)")} || '=' ||
       {_unplus("substr(x, instr(x, '=') + 1)")}) AS clean_query_list,
