@@ -103,8 +103,8 @@ def windows(
     rows = rows.withColumn("span", cell * 2 + crosses.cast("long"))
 
     spans = rows.groupBy("conv_id", "span").agg(F.min("begin").alias("first"), F.min("at").alias("first_at"))
-    after = cell + F.floor((F.col("tokens") + history) / stride) + 1
-    may = rows.withColumn("later", F.explode(F.sequence(F.col("span") + 1, after * 2 + 1)))
+    # History is at most a stride long, so a turn can be history of spans up to the next cut only.
+    may = rows.withColumn("later", F.explode(F.sequence(F.col("span") + 1, cell * 2 + 3)))
     heads = spans.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "first", "first_at")
     repeated = (
         may.join(heads, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("later") == F.col("s")))
