@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitlens.llm import chat, exact, mixing
+from hitlens.llm import chat, codes, decontaminate, exact, mixing, quality, render, secrets
 from hitlens.llm.common import table
 
 QUERIES = {}
@@ -17,11 +17,46 @@ def query(function):
     return function
 
 
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    """A vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.words_taken(table(spark, sf_dir, "documents")).drop("row")
 
 
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encoded(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 # A conversation that holds control strings of the template.
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
