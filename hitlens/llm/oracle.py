@@ -44,3 +44,89 @@ SELECT doc_id, size, source_size, target,
     + greatest(0, least(size, quota % source_size - start)) END::BIGINT AS taken
 FROM placed
 """
+
+ORACLE["op6_near"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b USING (s)
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * shared.n >= 75 * (x.n + y.n - shared.n)
+), reach AS (
+  SELECT doc_id, doc_id AS label FROM documents
+  UNION
+  SELECT b, label FROM reach JOIN links ON a = doc_id
+)
+SELECT doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(label) AS component_id, doc_id = min(label) AS kept
+FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+ORACLE["op7_substrings"] = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i : i + 19], ' ')) AS h
+  FROM words, unnest(range(1, len(w) - 18)) AS t(i)
+), numbered AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM windows
+), removed AS (
+  SELECT DISTINCT doc_id, i + j AS i FROM numbered, unnest(range(0, 20)) AS t(j) WHERE k > 1
+), singles AS (
+  SELECT doc_id, i, w[i] AS word, r.i IS NOT NULL AS gone
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words) s LEFT JOIN removed r USING (doc_id, i)
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS k, count_if(gone) AS n
+  FROM singles GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+# Turns as they are written and read; windows as the prefix sums cut them.
+ORACLE["op9_chat"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), written AS (
+  SELECT *, '### ' || replace(replace(replace(replace(role, '\', '\b'), '<', '\l'), '#', '\h'), chr(10), '\n')
+    || chr(10) || replace(replace(replace(text, '\', '\b'), '<', '\l'), '#', '\h') || '</turn>' || chr(10) AS piece
+  FROM rows
+), counted AS (
+  SELECT *, len(regexp_extract_all(piece, '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM written
+), placed AS (
+  SELECT *, row_number() OVER c - 1 AS place,
+    (sum(tokens) OVER (c ROWS UNBOUNDED PRECEDING) - tokens)::BIGINT AS start
+  FROM counted WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text)
+), spanned AS (
+  SELECT *, start // 512 * 2 + CASE WHEN (start + tokens - 1) // 512 > start // 512 THEN 1 ELSE 0 END AS span
+  FROM placed
+), spans AS (
+  SELECT conv_id, span, min(start) AS head, min(place) AS head_place FROM spanned GROUP BY ALL
+), parts AS (
+  SELECT conv_id, length(piece) AS n FROM spanned
+  UNION ALL
+  SELECT r.conv_id, length(piece) FROM spanned r JOIN spans s ON s.conv_id = r.conv_id AND start < head
+    AND start >= head - 256
+  UNION ALL
+  SELECT r.conv_id, length(piece) FROM spanned r JOIN spans s ON s.conv_id = r.conv_id
+    AND place = 0 AND role = 'system' AND tokens <= 256 AND head_place > 0 AND head > 256
+), sizes AS (
+  SELECT conv_id, sum(n)::BIGINT AS formatted_chars FROM parts GROUP BY conv_id
+), said AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY place) AS turns,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY place), '') AS targets
+  FROM placed GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(targets)::BIGINT AS loss_chars,
+  sha256(targets) AS loss_sha256, formatted_chars
+FROM said JOIN sizes USING (conv_id)
+"""

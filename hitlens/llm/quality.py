@@ -1,6 +1,6 @@
 """Quality by a regularised quadratic discriminant.
 
-Every text gives a vector of transformed statistics (shares as square roots, sizes as logarithms). The two
+Every text gives a vector of transformed statistics (shares as square roots, ratios as logarithms). The two
 classes' means and covariances come from sums over all labelled training rows. A covariance is shrunk to the
 pooled one, the more the fewer rows its class has, and gets a small ridge. The score of a text is the logistic
 value of the difference of the two log densities (Mahalanobis distance and log determinant, both from the inverse
@@ -23,7 +23,6 @@ from hitlens.llm.common import WORD_PATTERN, text_of
 from hitlens.session import land
 
 FEATURES = [
-    "log_words",
     "log_word_length",
     "upper",
     "punctuation",
@@ -70,23 +69,24 @@ def statistics(text: str) -> list[float]:
     lines = [line for line in text.split("\n") if line]
     n, chars = max(1, len(words)), max(1, len(text))
     counts = Counter(words)
-    root = lambda part, whole: (part / whole) ** 0.5
+    # Usual values stand for the first 300 characters, 50 words or 10 lines, so that short texts are not outliers.
+    letters = upper + lower
+    share = lambda part, whole, usual, more: ((part + usual * more) / (whole + more)) ** 0.5
     return [
-        np.log1p(len(words)),
-        np.log(chars / n),
-        root(upper, max(1.0, upper + lower)),
-        root(marks, chars),
-        root(symbols, chars),
-        root(shouts, chars),
-        root(digits, chars),
-        root(pipes, n),
-        root(beyond, chars),
-        np.log(n / max(1, len(lines))),
-        root(len(lines) - len(set(lines)), max(1, len(lines))),
-        np.log1p(len(counts)) / np.log1p(n),
-        root(max(counts.values(), default=0), n),
-        root(sum(len(word) < 4 for word in counts), max(1, len(counts))),
-        root(raw.count(b".") + raw.count(b"?"), n),
+        np.log((chars + 300) / (n + 50)),
+        share(upper, letters, 0.03, 300),
+        share(marks, chars, 0.02, 300),
+        share(symbols, chars, 0.0, 300),
+        share(shouts, chars, 0.0, 300),
+        share(digits, chars, 0.001, 300),
+        share(pipes, n, 0.0, 50),
+        share(beyond, chars, 0.01, 300),
+        np.log((n + 50) / (len(lines) + 3)),
+        share(len(lines) - len(set(lines)), len(lines), 0.0, 10),
+        np.log1p(len(counts) + 10) / np.log1p(len(words) + 10),
+        share(max(counts.values(), default=0), n, 0.05, 50),
+        share(sum(len(word) < 4 for word in counts), len(counts), 0.3, 50),
+        share(raw.count(b".") + raw.count(b"?"), n, 0.08, 50),
     ]
 
 

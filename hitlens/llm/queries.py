@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitlens.llm import chat, codes, decontaminate, exact, mixing, quality, render, secrets
+from hitlens.llm import chat, codes, decontaminate, exact, mixing, near, quality, render, secrets, substrings
 from hitlens.llm.common import table
 
 QUERIES = {}
@@ -52,6 +52,17 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.duplicates(table(spark, sf_dir, "documents")).drop("n_links")
+
+
+@query
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op8_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.encoded(table(spark, sf_dir, "documents"), vocabulary_path())
