@@ -24,19 +24,22 @@ def arguments() -> argparse.ArgumentParser:
             sub.add_argument(f"--{path}", required=True)
         return sub
 
-    job("extract", "logs", "output", "metadata", "report").add_argument(
-        "--domains", nargs="+", required=True
-    )
+    def mode(sub: argparse.ArgumentParser) -> argparse.ArgumentParser:
+        sub.add_argument("--mode", choices=["error", "append", "overwrite"], default="error")
+        return sub
+
+    extracting = mode(job("extract", "logs", "output", "metadata", "report"))
+    extracting.add_argument("--domains", nargs="+", required=True)
     job("train", "extracted", "metadata", "output", "report").add_argument(
         "--run-id", default=now_text()
     )
-    job("predict", "extracted", "metadata", "classifier", "output", "report").add_argument(
-        "--threshold", type=float, default=0.70
-    )
-    job("merge", "extracted", "predicted", "output", "report")
+    predicting = mode(job("predict", "extracted", "metadata", "classifier", "output", "report"))
+    predicting.add_argument("--threshold", type=float, default=0.70)
+    mode(job("merge", "extracted", "predicted", "output", "report"))
     detecting = job("detect", "ground-truth", "output", "model", "report")
     detecting.add_argument("--sites", nargs="*")
     detecting.add_argument("--detector", choices=["final", "first"], default="final")
+    detecting.add_argument("--use-model", action="store_true", help="apply the forests stored under --model")
     job("publish", "detected", "target").add_argument("--format", default="json")
     job("profile", "ground-truth", "report")
     return parser
@@ -56,7 +59,9 @@ def main(argv: list[str] | None = None) -> None:
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.job == "extract":
-        extract.run(spark, args.logs, args.output, args.metadata, args.report, args.domains)
+        extract.run(
+            spark, args.logs, args.output, args.metadata, args.report, args.domains, args.mode
+        )
     elif args.job == "train":
         site.run_train(
             spark, args.extracted, args.metadata, args.output, args.report, args.run_id
@@ -70,13 +75,23 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             args.output,
             args.report,
             args.threshold,
+            args.mode,
         )
     elif args.job == "merge":
-        site.run_merge(spark, args.extracted, args.predicted, args.output, args.report)
+        site.run_merge(
+            spark, args.extracted, args.predicted, args.output, args.report, args.mode
+        )
     elif args.job == "detect":
         detector = detect.FINAL if args.detector == "final" else detect.FIRST
         detect.run(
-            spark, args.ground_truth, args.output, args.model, args.report, args.sites, detector
+            spark,
+            args.ground_truth,
+            args.output,
+            args.model,
+            args.report,
+            args.sites,
+            detector,
+            args.use_model,
         )
     elif args.job == "publish":
         detect.run_publish(spark, args.detected, args.target, args.format)

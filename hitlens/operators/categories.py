@@ -7,9 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hitlens.session import shared_folder
-
-MAX_LABELS = 100_000
+from hitlens.session import land
 
 
 def number_rows(df: DataFrame, *order, name: str) -> DataFrame:
@@ -18,14 +16,13 @@ def number_rows(df: DataFrame, *order, name: str) -> DataFrame:
     Rows are range-sorted and stored once; only one count per partition is
     summed up in a single task.
     """
-    shared_folder(df.sparkSession)
     placed = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_offset", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-        .checkpoint()
     )
+    placed = land(placed, "numbered")
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         placed.groupBy("_part")
@@ -43,12 +40,14 @@ def category_index(df: DataFrame, column: str) -> DataFrame:
     return number_rows(counted, F.desc("count"), F.asc("label"), name="index")
 
 
-def fit_indexer(df: DataFrame, column: str, max_labels: int = MAX_LABELS) -> StringIndexerModel:
+def fit_indexer(
+    df: DataFrame, column: str, max_labels: int | None = None
+) -> StringIndexerModel:
     """Indexer model for a column of few distinct values.
 
-    The labels are part of the model and so live on the driver. They are read
-    only after their number is known to be within ``max_labels``; a column with
-    more belongs in ``category_index``, which stays a table.
+    The labels are part of the model and so live on the driver; a column with very
+    many belongs in ``category_index``, which stays a table. With ``max_labels``
+    more labels are an error, found before they are read.
     """
     ranked = (
         df.groupBy(F.col(column).alias("label"))
@@ -56,10 +55,9 @@ def fit_indexer(df: DataFrame, column: str, max_labels: int = MAX_LABELS) -> Str
         .filter("label IS NOT NULL")
         .orderBy(F.desc("count"), F.asc("label"))
         .select("label")
-        .limit(max_labels + 1)
-        .collect()
     )
-    if len(ranked) > max_labels:
+    ranked = (ranked if max_labels is None else ranked.limit(max_labels + 1)).collect()
+    if max_labels is not None and len(ranked) > max_labels:
         raise ValueError(f"{column} has more than {max_labels} values; use category_index")
     return StringIndexerModel.from_labels(
         [row.label for row in ranked],
@@ -79,4 +77,4 @@ def encode(
     df: DataFrame, indexer: StringIndexerModel, encoder: OneHotEncoderModel, unseen: str = "error"
 ) -> DataFrame:
     """Index and one-hot columns; ``unseen="skip"`` leaves out rows of unknown category."""
-    return encoder.transform(indexer.setHandleInvalid(unseen).transform(df))
+    return encoder.transform(indexer.copy().setHandleInvalid(unseen).transform(df))

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 NAN_TEXT = r"^[\x00-\x20]*(?:(?i:nan)|[+-]NaN)[\x00-\x20]*$"
 
 
-def _is_missing(field: T.StructField) -> Column:
+def is_missing(field: T.StructField) -> Column:
+    """NULL, blank, NaN or NaN text."""
     column = F.col(field.name)
     missing = column.isNull()
     if isinstance(field.dataType, T.StringType):
@@ -26,7 +27,7 @@ def _is_missing(field: T.StructField) -> Column:
 def blank_to_null(df: DataFrame) -> DataFrame:
     """Blank text, NaN and NaN text become NULL in every column."""
     return df.select(
-        *[F.when(~_is_missing(f), F.col(f.name)).alias(f.name) for f in df.schema.fields]
+        *[F.when(~is_missing(f), F.col(f.name)).alias(f.name) for f in df.schema.fields]
     )
 
 
@@ -37,7 +38,7 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
 
 def complete_rows(df: DataFrame) -> DataFrame:
     """``drop_incomplete(blank_to_null(df))`` as one filter."""
-    return df.filter(~reduce(or_, [_is_missing(f) for f in df.schema.fields]))
+    return df.filter(~reduce(or_, [is_missing(f) for f in df.schema.fields]))
 
 
 def distinct_requests(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +24,20 @@ def explode_path_words(df: DataFrame, path: str = "clean_path") -> DataFrame:
     )
 
 
-def explode_pairs(df: DataFrame, pairs: str = "clean_query_list") -> DataFrame:
-    """One row per query pair with its key and value; requests without query give none."""
-    exploded = df.select(F.explode_outer(pairs).alias("query_param"))
-    return exploded.filter("query_param IS NOT NULL").withColumns(
+def explode_pairs(
+    df: DataFrame,
+    pairs: str = "clean_query_list",
+    keep: Sequence[str] = (),
+    keep_empty: bool = False,
+) -> DataFrame:
+    """One row per query pair with its key and value, beside the columns ``keep``.
+
+    Requests without query give none; with ``keep_empty`` one row whose pair is NULL.
+    """
+    exploded = df.select(*keep, F.explode_outer(pairs).alias("query_param"))
+    if not keep_empty:
+        exploded = exploded.filter("query_param IS NOT NULL")
+    return exploded.withColumns(
         {
             "query_key": tokens.pair_key(F.col("query_param")),
             "query_value": tokens.pair_value(F.col("query_param")),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hitlens.functions import tokens
 
-MAX_MODEL_BYTES = 1024**3
+TASKS = 4
 
 
 def add_path_tokens(requests: DataFrame, output: str = "url_features") -> DataFrame:
@@ -16,32 +16,26 @@ def add_path_tokens(requests: DataFrame, output: str = "url_features") -> DataFr
     return requests.withColumn(output, tokens.classify_tokens(url))
 
 
-def vocabulary_size(df: DataFrame, terms: str, min_count: int) -> int:
-    counts = df.select(F.explode(terms).alias("term")).groupBy("term").count()
-    return counts.filter(F.col("count") >= min_count).count()
-
-
 def fit_path_embedding(
     df: DataFrame,
     terms: str = "url_features",
     size: int = 100,
     min_count: int = 5,
-    partitions: int | None = None,
+    partitions: int = TASKS,
     seed: int = 1,
 ) -> Word2VecModel:
-    """Word vectors trained in ``partitions`` tasks (the session's parallelism by default).
+    """Word vectors trained in ``partitions`` tasks, a fixed number because the vectors depend on it.
 
-    MLlib holds the vocabulary and its vectors on the driver, so their size is
-    checked first; a larger vocabulary needs a higher ``min_count``.
+    Rows are dealt to the tasks by their own terms and in their order, so the same
+    rows give the same vectors on any machine. MLlib holds the vocabulary and its
+    vectors on the driver: ``min_count`` decides how many there are.
     """
-    words = vocabulary_size(df, terms, min_count)
-    if words * size * 4 > MAX_MODEL_BYTES:
-        raise ValueError(f"{words} terms of {size} floats are too many; raise min_count")
+    dealt = df.select(terms).repartition(partitions, F.xxhash64(terms)).sortWithinPartitions(terms)
     return Word2Vec(
         vectorSize=size,
         minCount=min_count,
-        numPartitions=partitions or df.sparkSession.sparkContext.defaultParallelism,
+        numPartitions=partitions,
         seed=seed,
         inputCol=terms,
         outputCol="url_embedding",
-    ).fit(df.select(terms))
+    ).fit(dealt)

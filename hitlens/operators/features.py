@@ -18,6 +18,7 @@ from hitlens.functions import times, tokens
 from hitlens.operators.categories import encode
 
 PATH_GRAM = 9
+AGENT_GRAM = 7
 SITE_BUCKETS = 16384
 SITE_FEATURES = ["fabstime", "day_of_week", "method_onehot", "body_bytes_sent", "hash_url_features"]
 DETECT_FEATURES = ["fabstime", "status", "body_bytes_sent", "query_len", "url_hashes"]
@@ -29,6 +30,12 @@ def add_path_ngrams(df: DataFrame, n: int = PATH_GRAM, output: str = "path_ngram
     return NGram(n=n, inputCol="path_characters", outputCol=output).transform(spelled)
 
 
+def add_agent_ngrams(df: DataFrame, n: int = AGENT_GRAM, output: str = "agent_ngrams") -> DataFrame:
+    """N-grams of the words of the user agent; none where there are fewer words."""
+    worded = df.withColumn("agent", tokens.agent_tokens(F.col("user_agent")))
+    return NGram(n=n, inputCol="agent", outputCol=output).transform(worded)
+
+
 def hash_terms(df: DataFrame, column: str, output: str, buckets: int) -> DataFrame:
     """Sparse term counts by hash bucket."""
     return HashingTF(inputCol=column, outputCol=output, numFeatures=buckets).transform(df)

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from hitlens.operators import tree_kernels
 from hitlens.operators.tree_kernels import Forest, grow_trees
-from hitlens.session import broadcast_if_small, size_checked, store_small
+from hitlens.session import broadcast_if_small, land, size_checked, work_path
 
 # Executors get the array code with the function, whether or not they have the package.
 cloudpickle.register_pickle_by_value(tree_kernels)
@@ -94,7 +94,7 @@ def draw_samples(
         .withColumn("stride", F.floor(1 / F.col("q")).cast("int"))
         .withColumn("strides", F.ceil(chunks / F.col("stride")).cast("int"))
     )
-    sizes, groups = size_checked(store_small(sizes))
+    sizes, groups = size_checked(land(sizes, "forest-sizes"))
     rows = df.withColumns(
         {
             "forest_group": F.col(group),
@@ -185,6 +185,7 @@ def _score_with(nodes: pa.Table, spark, group: str, indices: Column, values: Col
         mine = names == name
         arrays[name] = {c: v[mine] for c, v in columns.items()}
     shared = spark.sparkContext.broadcast(arrays)
+    del arrays
     packed: dict[str, Forest] = {}
 
     @F.arrow_udf(T.DoubleType())
@@ -203,7 +204,7 @@ def _score_with(nodes: pa.Table, spark, group: str, indices: Column, values: Col
             out[rows] = packed[name].score(idx.take(pa.array(rows)), val.take(pa.array(rows)))
         return pa.array(out, mask=np.isnan(out))
 
-    return score(F.col(group), indices, values)
+    return score(F.col(group), indices, values), shared
 
 
 def score_forest(
@@ -213,20 +214,24 @@ def score_forest(
     features: str | Sequence[str] = "features",
     output: str = "outlierScore",
     broadcast_bytes: int = BROADCAST_BYTES,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Outlier score of every row by its own group's trees; NULL without trees.
+    """Outlier score of every row by its own group's trees; NULL without trees. Stored.
 
     The trees of a group are of bounded size (trees times samples). Groups are
-    packed into waves that fit the broadcast limit; each wave scores only its own
-    groups, which a table partitioned by group turns into a partition filter.
-    ``forest`` is read several times and should be a stored table.
+    packed into waves that fit the broadcast limit. A wave is broadcast, its rows
+    are scored and appended to the result, and it is destroyed before the next, so
+    the driver and the executors hold one wave at a time. Each wave reads only its
+    own groups, which a table partitioned by group turns into a partition filter.
+    ``forest`` is read several times and should be a stored table. ``keep`` names
+    the columns to store beside the score, all of them by default.
     """
     spark = df.sparkSession
     indices, values = feature_columns(features)
     waves = _waves(forest, broadcast_bytes)
     if not waves:
         return df.withColumn(output, F.lit(None).cast("double"))
-    scored, done = None, []
+    path, done, schema = work_path(spark, "scores"), [], None
     for i, wave in enumerate(waves):
         rows = df
         if len(waves) > 1:
@@ -235,10 +240,15 @@ def score_forest(
             rest = F.col(group).isNull() | ~F.col(group).isin(*done) if last else mine
             rows = df.filter(rest)
         nodes = forest.filter(F.col("forest_group").isin(*wave)).drop("size").toArrow()
-        part = rows.withColumn(output, _score_with(nodes, spark, group, indices, values))
-        scored = part if scored is None else scored.unionByName(part)
+        scores, shared = _score_with(nodes, spark, group, indices, values)
+        part = rows.withColumn(output, scores)
+        if keep is not None:
+            part = part.select(*keep, output)
+        part.write.mode("append").parquet(path)
+        schema = part.schema
+        shared.destroy()
         done += wave
-    return scored
+    return spark.read.schema(schema).parquet(path)
 
 
 def score_thresholds(
@@ -274,7 +284,7 @@ def score_thresholds(
         )
         .withColumn("_rank", F.greatest(F.lit(1), F.col("_rank")))
     )
-    state = store_small(state)
+    state = land(state, "thresholds")
     is_open = (F.col("_lo") < F.col("_hi")) & (F.col("_inside") > error * F.col("_n"))
     upto = W.partitionBy("forest_group").orderBy("_step")
     while True:
@@ -303,7 +313,7 @@ def score_thresholds(
                 F.col("_c").alias("_inside"),
             )
         )
-        state = store_small(state.filter(~is_open).unionByName(narrowed))
+        state = land(state.filter(~is_open).unionByName(narrowed), "thresholds")
     return state.select("forest_group", F.col("_lo").alias("threshold"))
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitlens.functions import times
+from hitlens.operators.clean import is_missing
 
 # The line format and the names of its groups, in order.
 LINE = r"^((?:\d{1,3}\.){3}\d{1,3}|[0-9a-fA-F:]+) - (-|[^\s]+) \[([^\]]+)\] \"([A-Z]+) ([^ ]+) (HTTP/\d\.\d)\" (\d{3}) (\d+) \"([^\"]*)\" \"([^\"]*)\"(?:\s+(\d+))?"  # noqa: E501
@@ -63,5 +67,26 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     return add_date_parts(type_fields(split_lines(lines, value)))
 
 
+def line_outcome(lines: DataFrame, value: str = "value") -> DataFrame:
+    """``outcome`` of every line: rejected, incomplete, bad date or accepted.
+
+    The first that applies. A rejected line does not have the format, an incomplete
+    one misses a field, a bad date is not a time. Copies are counted each.
+    """
+    whole = F.regexp_replace(F.col(value), LINE + r"[\s\S]*", "\n".join(f"${i}" for i in range(1, len(FIELDS) + 1)))
+    parts = lines.select(F.explode(F.array(F.split(whole, "\n"))).alias("field"))
+    fields = type_fields(
+        parts.select("field", *[F.get("field", i).alias(name) for i, name in enumerate(FIELDS)])
+    )
+    missing = reduce(or_, [is_missing(f) for f in fields.schema.fields if f.name != "field"])
+    outcome = (
+        F.when(F.size("field") != len(FIELDS), "rejected")
+        .when(missing, "incomplete")
+        .when(times.log_timestamp(F.col("date_time")).isNull(), "bad date")
+        .otherwise("accepted")
+    )
+    return fields.select(outcome.alias("outcome"))
+
+
 def rejected_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.filter(~is_request(F.col(value)))

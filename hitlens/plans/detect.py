@@ -10,9 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitlens.operators.features import assemble, detect_columns, detect_features
-from hitlens.operators.forest import fit_forest, label_anomalies, score_forest, score_thresholds
+from hitlens.operators.forest import (
+    NODES,
+    fit_forest,
+    label_anomalies,
+    score_forest,
+    score_thresholds,
+)
 from hitlens.operators.parse import REQUEST_KEY
-from hitlens.operators.runlog import now_text, observe_rows, run_log, volume_text
+from hitlens.operators.runlog import now_text, run_log, volume_text
 from hitlens.session import land, require_utc
 from hitlens.sinks.writers import publish, write_partitioned, write_report
 from hitlens.sources.readers import read_table
@@ -85,21 +91,28 @@ def score(
     requests: DataFrame,
     detector: Detector = FINAL,
     features: Callable[[DataFrame], DataFrame] | None = None,
+    forest: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Scored requests (features dropped) and the forest, both stored."""
+    """Scored requests (features dropped) and the forest, both stored.
+
+    With ``forest``, a stored node table, nothing is fitted.
+    """
     features = features or token_features(detector)
-    forest = land(fit(requests, detector, features), "forest")
+    if forest is None:
+        forest = land(fit(requests, detector, features), "forest")
     featured = features(requests.select(INPUT_COLUMNS))
-    return land(score_forest(featured, forest, SITE).drop("features"), "scores"), forest
+    keep = [name for name in featured.columns if name != "features"]
+    return score_forest(featured, forest, SITE, keep=keep), forest
 
 
 def detect(
     requests: DataFrame,
     detector: Detector = FINAL,
     features: Callable[[DataFrame], DataFrame] | None = None,
+    forest: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The 17-column detection table and the forest behind it."""
-    scored, forest = score(requests, detector, features)
+    """The 17-column detection table and the forest behind it, a new one unless one is given."""
+    scored, forest = score(requests, detector, features, forest)
     limits = score_thresholds(
         scored, SITE, contamination=detector.contamination, error=detector.error
     )
@@ -114,22 +127,40 @@ def run(
     report: str,
     sites: Sequence[str] | None = None,
     detector: Detector = FINAL,
+    use_model: bool = False,
 ) -> None:
-    """Detect for the given sites, or for all in one pass."""
+    """Detect for the given sites, or for all in one pass.
+
+    The forests are stored under ``model``; with ``use_model`` those stored there are
+    applied. Requests of a site without a forest get no score; they are counted.
+    """
     start = now_text()
     requests = read_table(spark, ground_truth)
     if sites:
         requests = requests.filter(F.col(SITE).isin(*sites))
-    table, forest = detect(requests, detector)
-    write_partitioned(forest.withColumnRenamed("forest_group", SITE), model, SITE, keep_others=True)
-    table, seen = observe_rows(table, anomalies=F.col("anomaly_bool"))
+    stored = None
+    if use_model:
+        stored = read_table(spark, model).withColumnRenamed(SITE, "forest_group").select(*NODES.names)
+        if sites:
+            stored = stored.filter(F.col("forest_group").isin(*sites))
+    table, forest = detect(requests, detector, forest=stored)
+    if not use_model:
+        write_partitioned(forest.withColumnRenamed("forest_group", SITE), model, SITE, keep_others=True)
+    # Counts of the run come from one stored result, not from tasks that may run twice.
+    table = land(table, "detected")
     write_partitioned(table, output, SITE, keep_others=True)
+    found = table.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if("anomaly_bool").alias("anomalies"),
+        F.count_if(F.col("outlierScore").isNull()).alias("unscored"),
+    ).first()
     entries = [
         ("Start", start),
         ("End", now_text()),
         (SITE, ", ".join(sites) if sites else "all"),
-        ("Volume", volume_text(seen.get["rows"], len(INPUT_COLUMNS))),
-        ("Anomalies", seen.get["anomalies"]),
+        ("Volume", volume_text(found["rows"], len(INPUT_COLUMNS))),
+        ("Anomalies", found["anomalies"]),
+        ("No forest", found["unscored"]),
     ]
     write_report(run_log(spark, entries), report)
 

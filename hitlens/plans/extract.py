@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from hitlens.operators.categories import fit_encoder, fit_indexer
 from hitlens.operators.clean import complete_rows, distinct_requests
 from hitlens.operators.enrich import OTHER, add_domain_category, add_time_columns, add_uri_columns
-from hitlens.operators.parse import add_date_parts, split_lines, type_fields
-from hitlens.operators.runlog import now_text, observe_rows, run_log, volume_text
+from hitlens.operators.parse import add_date_parts, line_outcome, split_lines, type_fields
+from hitlens.operators.runlog import now_text, run_log, stored_rows, volume_text
 from hitlens.session import require_utc
 from hitlens.sinks.writers import save_category_models, write_partitioned, write_report
 from hitlens.sources.readers import read_log_text, read_table
@@ -21,11 +21,13 @@ def requests(lines: DataFrame) -> DataFrame:
     """Typed, complete, distinct requests with URI and time columns (20 columns).
 
     Incomplete rows go before the distinct and derived columns come after it, so
-    the one shuffle of the job carries nothing but the ten request fields.
+    the one shuffle of the job carries nothing but the ten request fields. A row
+    whose date is none is incomplete too.
     """
     require_utc(lines.sparkSession)
     fields = complete_rows(type_fields(split_lines(lines)))
-    return add_time_columns(add_uri_columns(add_date_parts(distinct_requests(fields))))
+    timed = add_time_columns(add_uri_columns(add_date_parts(distinct_requests(fields))))
+    return timed.filter(F.col("fdate_time").isNotNull())
 
 
 def extract(lines: DataFrame, domains: Sequence[str] | DataFrame) -> DataFrame:
@@ -40,12 +42,21 @@ def run(
     metadata: str,
     report: str,
     domains: Sequence[str],
+    mode: str = "error",
 ) -> DataFrame:
-    """Store the request table once; models and counts come from the stored table."""
-    start = now_text()
-    table, seen = observe_rows(extract(read_log_text(spark, logs), domains))
-    write_partitioned(table, output, "domain_category")
+    """Store the request table once; models and counts come from the stored table.
+
+    Logs of one day after the other are added with ``mode="append"``: equal requests
+    have equal times, so copies are within a day's logs, and each run's shuffle is a
+    day's. The category models are those of everything stored.
+    """
+    start, before = now_text(), stored_rows(spark, output)
+    lines = read_log_text(spark, logs)
+    table = extract(lines, domains)
+    write_partitioned(table, output, "domain_category", mode)
     stored = read_table(spark, output, table.schema)
+    rows = stored_rows(spark, output) - (before if mode == "append" else 0)
+    outcomes = {r.outcome: r["count"] for r in line_outcome(lines).groupBy("outcome").count().collect()}
 
     methods = fit_indexer(stored, "method")
     methods_onehot = fit_encoder(methods.transform(stored), "method")
@@ -58,7 +69,10 @@ def run(
     entries = [
         ("Start", start),
         ("End", now_text()),
-        ("Volume", volume_text(seen.get["rows"], len(table.columns))),
+        ("Volume", volume_text(rows, len(table.columns))),
+        ("Rejected", outcomes.get("rejected", 0)),
+        ("Incomplete", outcomes.get("incomplete", 0)),
+        ("Bad dates", outcomes.get("bad date", 0)),
     ]
     write_report(run_log(spark, entries), report)
     return stored

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegressionModel
@@ -18,10 +17,11 @@ from hitlens.operators.metrics import (
     TRAIN_TENTHS,
     classifier_metrics,
     confusion_matrix,
+    confusion_pivot,
     split_bucket,
 )
 from hitlens.operators.parse import REQUEST_KEY
-from hitlens.operators.runlog import now_text, observe_rows, run_log, volume_text
+from hitlens.operators.runlog import now_text, run_log, stored_rows, volume_text
 from hitlens.session import land
 from hitlens.sinks.writers import save_model, write_partitioned, write_report
 from hitlens.sources.readers import (
@@ -32,8 +32,6 @@ from hitlens.sources.readers import (
     read_table,
 )
 
-ROWS_PER_TASK = 50_000
-
 # The columns of each stored table.
 TRAIN_COLUMNS = (
     "fabstime day_of_week body_bytes_sent clean_path clean_query_list domain_category method domain"
@@ -74,18 +72,21 @@ def train(
     seed: int = 123,
     max_iter: int = 100,
     buckets: int = SITE_BUCKETS,
+    tasks: int | None = None,
 ) -> tuple[LogisticRegressionModel, DataFrame]:
     """Classifier and its predictions on the hold-out rows.
 
     The features are stored once, because every iteration of the fit reads them.
+    Every iteration sums a dense gradient per task; ``tasks`` merges the stored
+    partitions into so many, for small data that has more partitions than it needs.
     """
     featured = labelled_features(requests, models, buckets).select(
         "domain_index", "features", split_bucket(REQUEST_KEY, seed).alias("bucket")
     )
     stored = land(featured, "site-features")
-    # Every iteration sums a dense gradient per task: small data wants few tasks.
-    tasks = max(1, math.ceil(stored.count() / ROWS_PER_TASK))
-    training = stored.filter(F.col("bucket") < TRAIN_TENTHS).drop("bucket").coalesce(tasks)
+    training = stored.filter(F.col("bucket") < TRAIN_TENTHS).drop("bucket")
+    if tasks is not None:
+        training = training.coalesce(tasks)
     test = stored.filter(F.col("bucket") >= TRAIN_TENTHS)
     classifier = fit_classifier(training, max_iter=max_iter)
     return classifier, classifier.transform(test).select("domain_index", "prediction")
@@ -122,11 +123,15 @@ def run_train(
     """Train, store the model under ``run_id``, report the confusion matrix and metrics."""
     start = now_text()
     known = read_partition(spark, extracted, "domain_category", OTHER, equal=False)
-    classifier, tested = train(known, _models(metadata))
+    models = _models(metadata)
+    classifier, tested = train(known, models)
     base = f"{output.rstrip('/')}/{run_id}"
     save_model(classifier, f"{base}/model_domain_classifier", overwrite=False)
     matrix = land(confusion_matrix(tested), "confusion")
     write_report(matrix, f"{base}/confusion_matrix_raw")
+    classes = range(len(models.classes.labels))
+    write_report(confusion_pivot(matrix, classes), f"{base}/confusion_matrix_counts")
+    write_report(confusion_pivot(matrix, classes, "percentage"), f"{base}/confusion_matrix_shares")
     quality = classifier_metrics(matrix).first().asDict()
     entries = [("Start", start), ("End", now_text()), *quality.items()]
     write_report(run_log(spark, entries), f"{report.rstrip('/')}/{run_id}")
@@ -141,24 +146,35 @@ def run_predict(
     output: str,
     report: str,
     threshold: float = 0.70,
+    mode: str = "error",
 ) -> None:
-    start = now_text()
+    start, before = now_text(), stored_rows(spark, output)
     unknown = read_partition(spark, extracted, "domain_category", OTHER)
-    table, seen = observe_rows(predict(unknown, _models(metadata, classifier), threshold))
-    write_partitioned(table, output, "prediction_domain")
-    volume = volume_text(seen.get["rows"], len(table.columns))
-    write_report(
-        run_log(spark, [("Start", start), ("End", now_text()), ("Volume", volume)]), report
-    )
-
-
-def run_merge(spark: SparkSession, extracted: str, predicted: str, output: str, report: str) -> None:
-    start = now_text()
-    table, seen = observe_rows(
-        ground_truth(read_table(spark, extracted), read_table(spark, predicted))
-    )
-    write_partitioned(table, output, "domain_category")
-    volume = volume_text(seen.get["rows"], len(table.columns))
+    table = predict(unknown, _models(metadata, classifier), threshold)
+    write_partitioned(table, output, "prediction_domain", mode)
+    rows = stored_rows(spark, output) - (before if mode == "append" else 0)
+    entries = [
+        ("Start", start),
+        ("End", now_text()),
+        ("Volume", volume_text(rows, len(table.columns))),
+        ("Skipped methods", unknown.count() - rows),
+    ]
+    write_report(run_log(spark, entries), report)
+
+
+def run_merge(
+    spark: SparkSession,
+    extracted: str,
+    predicted: str,
+    output: str,
+    report: str,
+    mode: str = "error",
+) -> None:
+    start, before = now_text(), stored_rows(spark, output)
+    table = ground_truth(read_table(spark, extracted), read_table(spark, predicted))
+    write_partitioned(table, output, "domain_category", mode)
+    rows = stored_rows(spark, output) - (before if mode == "append" else 0)
+    volume = volume_text(rows, len(table.columns))
     write_report(
         run_log(spark, [("Start", start), ("End", now_text()), ("Volume", volume)]), report
     )

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,34 +39,38 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.getCheckpointDir():
             context.setCheckpointDir(folder)
         return folder.rstrip("/")
-    if not context.master.startswith("local"):
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="hitlens-"))
     return context.getCheckpointDir().rstrip("/")
 
 
-_given_out: list[str] = []
+_job: ContextVar[str] = ContextVar("job", default="")
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; never an existing one."""
-    app = spark.sparkContext.applicationId
-    path = f"{shared_folder(spark)}/hitlens/{app}/{name}-{uuid.uuid4().hex}"
-    _given_out.append(path)
-    return path
+    folder = f"{shared_folder(spark)}/hitlens/{spark.sparkContext.applicationId}{_job.get()}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 @contextmanager
 def temporary_work(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at the end, the work paths given out inside the block."""
-    start = len(_given_out)
+    """Work paths given out inside the block (in this thread) are in one folder, deleted at the end."""
+    job = f"/job-{uuid.uuid4().hex}"
+    before = _job.set(job)
     try:
         yield
     finally:
-        for path in _given_out[start:]:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        del _given_out[start:]
+        _job.reset(before)
+        app = f"{shared_folder(spark)}/hitlens/{spark.sparkContext.applicationId}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{app}{job}")
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.delete(folder, True)
+        for parent in (folder.getParent(), folder.getParent().getParent()):
+            # Only where nothing else is left in it.
+            if files.exists(parent) and not files.listStatus(parent):
+                files.delete(parent, False)
 
 
 def land(df: DataFrame, name: str) -> DataFrame:
@@ -80,26 +85,26 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def store_small(df: DataFrame) -> DataFrame:
-    """Checkpoint a small result (one row per group) that later jobs read again."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def size_shuffles(
-    spark: SparkSession, path: str, expansion: float = 1.0, partition_bytes: int = 128 * 1024**2
+    spark: SparkSession,
+    path: str,
+    expansion: float = 1.0,
+    partition_bytes: int = 128 * 1024**2,
+    most: int = 4000,
 ) -> int:
     """Raise the number of shuffle partitions until one holds ``partition_bytes`` of the input.
 
     ``expansion`` is how much larger the rows are than their files. Adaptive
     execution merges partitions that turn out small, but it cannot split those of
-    an aggregate, so the number has to follow the data. It is never lowered.
+    an aggregate, so the number has to follow the data. It is never lowered, and
+    raised to ``most`` at most, because every mapper keeps a block per partition;
+    beyond that partitions grow and spill. Extract day by day rather than more.
     """
     pattern = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
     found = files.globStatus(pattern) or []
     size = sum(files.getContentSummary(entry.getPath()).getLength() for entry in found)
-    needed = math.ceil(size * expansion / partition_bytes)
+    needed = min(most, math.ceil(size * expansion / partition_bytes))
     if needed > int(spark.conf.get(SHUFFLE_CONF)):
         spark.conf.set(SHUFFLE_CONF, str(needed))
     return int(spark.conf.get(SHUFFLE_CONF))

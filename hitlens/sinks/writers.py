@@ -12,17 +12,18 @@ PUBLISHED = (
 
 
 def write_partitioned(
-    df: DataFrame, path: str, by: str, mode: str = "overwrite", keep_others: bool = False
+    df: DataFrame, path: str, by: str, mode: str = "error", keep_others: bool = False
 ) -> None:
     """Parquet in one folder per value of ``by``.
 
-    ``keep_others`` overwrites only the values present in ``df``. The rebalance
+    ``mode`` is ``error`` (a target that exists is left alone), ``append`` or
+    ``overwrite``. ``keep_others`` overwrites only the values present in ``df``. The rebalance
     hint shuffles rows by value so that a value has few files, and adaptive
     execution splits the partitions of a hot value by size.
     """
     (
         df.hint("rebalance", by)
-        .write.mode(mode)
+        .write.mode("overwrite" if keep_others else mode)
         .option("partitionOverwriteMode", "dynamic" if keep_others else "static")
         .partitionBy(by)
         .parquet(path)

@@ -16,6 +16,8 @@ _present = " AND ".join(
     if c not in ("status", "body_bytes_sent")
 )
 _PAIR = "'(?s)^[^=]*=.+'"
+_KEYS = "list_transform(clean_query_list, lambda x: split_part(x, '=', 1))"
+_SPLIT = "concat_ws('|', '123', " + ", ".join(f"{c}::varchar" for c in REQUEST_KEY) + ")"
 
 
 def _unplus(text: str) -> str:
@@ -41,6 +43,9 @@ WITH base AS (
   UNION ALL SELECT value FROM base WHERE eid % 13 = 0
   UNION ALL SELECT concat(value, ' 5') FROM base WHERE eid % 26 = 0
   UNION ALL SELECT replace(value, '"', '') FROM base WHERE eid % 19 = 0
+  UNION ALL SELECT regexp_replace(value, '\\[[^\\]]*\\]', '[31/Feb/2024:10:00:00 +0000]') FROM base WHERE eid % 23 = 0
+  UNION ALL SELECT regexp_replace(value, '"Mozilla[^"]*"', '"NaN"') FROM base WHERE eid % 29 = 0
+  UNION ALL SELECT regexp_replace(value, '^[0-9.]+', '2001:db8::1') FROM base WHERE eid % 31 = 0
 ), matched AS MATERIALIZED (
   SELECT regexp_extract(value, '{_pattern}', {_names}) AS f
   FROM lines WHERE regexp_matches(value, '{_pattern}')
@@ -53,6 +58,7 @@ WITH base AS (
 ), decoded AS (
   SELECT DISTINCT *, url_decode(req_uri) AS dec_req_uri FROM parsed
   WHERE {_present} AND status IS NOT NULL AND body_bytes_sent IS NOT NULL
+    AND try_strptime(date_time, '%d/%b/%Y:%H:%M:%S +0000') IS NOT NULL
 ), pieces AS (
   SELECT *,
     regexp_replace(regexp_extract(dec_req_uri, '^([^?#]*)', 1), ';[^/]*$', '') AS clean_path,
@@ -78,22 +84,25 @@ WITH base AS (
 ), extract AS (
   SELECT requests.*, coalesce(site, 'other') AS domain_category
   FROM requests LEFT JOIN sites ON domain = site
+), keyed AS (
+  SELECT *, ('0x' || substr(md5({_SPLIT}), 1, 8))::bigint % 10 < 8 AS training,
+    concat_ws('|', clean_path, coalesce(array_to_string({_KEYS}, '&'), '')) AS page FROM extract
 ), tally AS (
-  SELECT substr(clean_path, 1, 5) AS start, idx, count(*) AS n
-  FROM extract JOIN sites ON domain_category = site GROUP BY ALL
+  SELECT page, idx, count(*) AS n
+  FROM keyed JOIN sites ON domain_category = site WHERE training GROUP BY ALL
 ), shares AS (
-  SELECT start, idx, n / sum(n) OVER (PARTITION BY start) AS p FROM tally
+  SELECT page, idx, n / sum(n) OVER (PARTITION BY page) AS p FROM tally
 ), best AS (
-  SELECT start, p, cast(idx AS double) AS prediction, site AS guess FROM (
-    SELECT *, row_number() OVER (PARTITION BY start ORDER BY p DESC, idx) AS place FROM shares
+  SELECT page, p, cast(idx AS double) AS prediction, site AS guess FROM (
+    SELECT *, row_number() OVER (PARTITION BY page ORDER BY p DESC, idx) AS place FROM shares
   ) JOIN sites USING (idx) WHERE place = 1
 ), voted AS (
-  SELECT extract.*, coalesce(prediction, 0.0) AS prediction,
+  SELECT keyed.*, coalesce(prediction, 0.0) AS prediction,
     CASE WHEN p > 0.70 THEN guess ELSE 'other' END AS prediction_domain
-  FROM extract LEFT JOIN best ON start = substr(clean_path, 1, 5)
+  FROM keyed LEFT JOIN best USING (page)
 ), tested AS (
   SELECT idx AS domain_index, cast(prediction AS integer) AS prediction
-  FROM voted JOIN sites ON domain_category = site
+  FROM voted JOIN sites ON domain_category = site WHERE NOT training
 ), cells AS (
   SELECT domain_index, prediction, count(*) AS requests FROM tested GROUP BY ALL
 ), scored AS (
@@ -115,7 +124,6 @@ def _list(expression: str) -> str:
     return f"array_to_string({expression}, ' | ')"
 
 
-_KEYS = "list_transform(clean_query_list, lambda x: split_part(x, '=', 1))"
 _TOKENS = f"list_concat(string_split(clean_path, '/'), {_KEYS})"
 _CLASSES = (
     f"list_transform({_TOKENS}, lambda x: CASE WHEN regexp_matches(x, '^[a-fA-F0-9]{{24}}$') THEN "
@@ -139,7 +147,6 @@ _GAPS = """
 _WORDS = "SELECT unnest(string_split(clean_path, '/')) AS word FROM requests"
 _SIZES = """SELECT min(s)::integer AS min_array_length, max(s)::integer AS max_array_length,
   round(avg(s), 6) AS avg_array_length, round(stddev_samp(s), 6) AS stddev_array_length"""
-_SPLIT = "concat_ws('|', '123', " + ", ".join(f"{c}::varchar" for c in REQUEST_KEY) + ")"
 
 
 def oracle(name: str, select: str) -> None:
@@ -209,7 +216,8 @@ oracle("token_counts", f"SELECT word, count(*) AS tokens FROM ({_WORDS}) GROUP B
 oracle("domain_category", "SELECT date_time, remote_addr, domain, domain_category FROM extract")
 oracle(
     "path_contains",
-    """SELECT domain, count(*) AS requests FROM requests
+    """SELECT domain, count(*) AS pairs FROM
+         (SELECT domain, clean_path, unnest(clean_query_list) AS query_param FROM requests)
        WHERE contains(clean_path, '/en/') AND domain <> 'Unknown' GROUP BY domain""",
 )
 oracle(
@@ -351,3 +359,83 @@ oracle(
         AS weighted_f1
     FROM rates""",
 )
+oracle(
+    "line_outcomes",
+    f"""SELECT outcome, count(*) AS lines FROM (
+         SELECT 'rejected' AS outcome FROM lines WHERE NOT regexp_matches(value, '{_pattern}')
+         UNION ALL SELECT CASE
+           WHEN NOT ({_present} AND status IS NOT NULL AND body_bytes_sent IS NOT NULL) THEN 'incomplete'
+           WHEN try_strptime(date_time, '%d/%b/%Y:%H:%M:%S +0000') IS NULL THEN 'bad date'
+           ELSE 'accepted' END FROM parsed) GROUP BY outcome""",
+)
+oracle(
+    "confusion_share_pivot",
+    "SELECT domain_index, "
+    + ", ".join(
+        f"round(coalesce(sum(requests) FILTER (prediction = {c}), 0) / any_value(total), 9) AS class_{c}"
+        for c in range(SITES)
+    )
+    + " FROM (SELECT *, sum(requests) OVER () AS total FROM cells) GROUP BY domain_index",
+)
+
+# Models: what holds for them whatever the hashes and random trees are.
+
+_METHODS = """methods AS (
+  SELECT method, row_number() OVER (ORDER BY n DESC, method) AS place, count(*) OVER () AS kinds
+  FROM (SELECT method, count(*) AS n FROM extract GROUP BY method))"""
+oracle(
+    "hashed_terms",
+    f"""SELECT date_time, remote_addr, len({_TOKENS})::double AS url_features_2040,
+         len({_TOKENS})::double AS url_features_512,
+         len(string_split(user_agent, ' '))::double AS agent_32,
+         greatest(len(string_split(user_agent, ' ')) - 6, 0)::double AS agent_ngrams_32
+       FROM requests""",
+)
+oracle(
+    "domain_features",
+    f""", {_METHODS}
+       SELECT date_time, remote_addr, (16384 + 3 + kinds - 1)::integer AS width,
+         round(fabstime + day_of_week + body_bytes_sent + CASE WHEN place < kinds THEN 1 ELSE 0 END
+           + greatest(length(clean_path) - 8, 0) + len(clean_query_list), 6) AS total
+       FROM extract JOIN methods USING (method) WHERE domain_category <> 'other'""",
+)
+oracle(
+    "detect_vector",
+    f"""SELECT date_time, remote_addr, 516 AS width, round(fabstime + status + body_bytes_sent
+         + length(dec_req_uri) - length(clean_path) + len({_TOKENS}), 6) AS total FROM requests""",
+)
+oracle(
+    "forest_fit",
+    """SELECT domain_category AS forest_group, 100::bigint AS trees,
+         least(256, count(*))::integer AS least_sample, least(256, count(*))::integer AS most_sample,
+         100 * least(256, count(*))::bigint AS leaf_rows FROM extract GROUP BY domain_category""",
+)
+_LABELS = "TRUE AS scores_fit, TRUE AS labels_fit FROM extract GROUP BY domain_category"
+for _name in ("forest_score", "forest_by_domain", "forest_one_feature", "forest_embedding"):
+    oracle(_name, f"SELECT domain_category, count(*) AS requests, {_LABELS}")
+oracle(
+    "path_minhash",
+    """SELECT clean_path, count(*) AS requests, 1::bigint AS signatures, length(clean_path) < 9 AS missing
+       FROM requests GROUP BY clean_path""",
+)
+oracle(
+    "path_embedding",
+    f""", worded AS (
+         SELECT date_time, remote_addr, req_uri, clean_path, {_CLASSES} AS words FROM requests
+       ), frequent AS (
+         SELECT word FROM (SELECT unnest(words) AS word FROM worded) GROUP BY word HAVING count(*) >= 5
+       ), common AS (
+         SELECT list(word) AS words FROM frequent
+       )
+       SELECT date_time, remote_addr, clean_path, 100 AS width,
+         NOT list_has_any(w.words, coalesce(c.words, [])) AS is_zero FROM worded w, common c""",
+)
+oracle(
+    "train_domain",
+    """SELECT count(*) AS tested, TRUE AS metrics_fit FROM keyed
+       WHERE domain_category <> 'other' AND NOT training""",
+)
+oracle(
+    "predict_domain",
+    "SELECT method, count(*) AS requests FROM extract WHERE domain_category = 'other' GROUP BY method",
+)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from hitlens.functions import times, tokens, uri
 from hitlens.operators import categories, clean, counts, enrich, features, forest, metrics
 from hitlens.operators import embed, parse, runlog, similar
 from hitlens.plans import detect, site
-from hitlens.session import broadcast_if_small, land, use_utc, work_path
+from hitlens.session import land, use_utc, work_path
 from hitlens.sinks import writers
 from hitlens.sources import readers
 from registry.access_log import log_lines, log_requests, stored_extract, top_sites
@@ -209,12 +212,15 @@ def domain_category(spark, sf):
 
 @query
 def path_contains(spark, sf):
-    chosen = log_requests(spark, sf).filter(
+    pairs = counts.explode_pairs(
+        log_requests(spark, sf), keep=["domain", "clean_path"], keep_empty=True
+    )
+    chosen = pairs.filter(
         F.col("clean_path").contains("/en/")
         & (F.col("domain") != enrich.UNKNOWN)
-        & F.col("http_referer").isNotNull()
+        & F.col("query_param").isNotNull()
     )
-    return counts.volume_by(chosen, "domain").withColumnRenamed("count", "requests")
+    return counts.volume_by(chosen, "domain").withColumnRenamed("count", "pairs")
 
 
 @query
@@ -407,24 +413,28 @@ def holdout_split(spark, sf):
 
 
 def _votes(table, sites):
-    """Share of each site among registered requests whose path starts alike.
+    """Share of each site among registered training requests for the same path and query keys.
 
-    A stand-in for model probabilities that SQL can compute as well.
+    A stand-in for model probabilities that SQL can compute as well. ``training`` says
+    which rows the votes come from; the others are for evaluation.
     """
-    start = F.substring("clean_path", 1, 5)
+    keys = F.array_join(tokens.query_keys(F.col("clean_query_list")), "&")
+    table = table.withColumns(
+        {
+            "page": F.concat_ws("|", "clean_path", keys),
+            "training": metrics.split_bucket(parse.REQUEST_KEY, 123) < metrics.TRAIN_TENTHS,
+        }
+    )
     tally = (
-        table.filter(F.col("domain_category") != enrich.OTHER)
-        .groupBy(start.alias("start"))
+        table.filter((F.col("domain_category") != enrich.OTHER) & F.col("training"))
+        .groupBy("page")
         .agg(F.array(*[F.count_if(F.col("domain_category") == s) for s in sites]).alias("votes"))
         .withColumn("total", F.aggregate("votes", F.lit(0).cast("bigint"), lambda a, b: a + b))
-        .select("start", F.transform("votes", lambda v: v / F.col("total")).alias("probability"))
+        .select("page", F.transform("votes", lambda v: v / F.col("total")).alias("probability"))
     )
-    # One short row per path start: broadcast when a count shows it is small.
-    tally = broadcast_if_small(land(tally, "votes"))
     nobody = F.array(*[F.lit(0.0) for _ in sites])
     return (
-        table.withColumn("start", start)
-        .join(tally, "start", "left")
+        table.join(tally, "page", "left")
         .withColumn("probability", F.coalesce("probability", nobody))
         .withColumn(
             "prediction",
@@ -461,9 +471,11 @@ def ground_truth(spark, sf):
 
 
 def _tested(spark, sf):
-    """Cells of the confusion matrix on registered traffic, and the number of sites."""
+    """Class and vote of registered traffic held out from voting, and the number of sites."""
     table, sites = stored_extract(spark, sf)
-    known = _votes(table, sites).filter(F.col("domain_category") != enrich.OTHER)
+    known = _votes(table, sites).filter(
+        (F.col("domain_category") != enrich.OTHER) & ~F.col("training")
+    )
     names = F.array(*[F.lit(s) for s in sites])
     label = (F.array_position(names, F.col("domain_category")) - 1).cast("double")
     return known.select(label.alias("domain_index"), "prediction"), len(sites)
@@ -481,23 +493,40 @@ def confusion_pivot(spark, sf):
     return pivot.select("domain_index", *[F.col(str(c)).alias(f"class_{c}") for c in range(classes)])
 
 
+@query
+def confusion_share_pivot(spark, sf):
+    tested, classes = _tested(spark, sf)
+    shares = metrics.confusion_matrix(tested)
+    pivot = metrics.confusion_pivot(shares, range(classes), "percentage")
+    named = [F.round(F.col(str(c)), 9).alias(f"class_{c}") for c in range(classes)]
+    return pivot.select("domain_index", *named)
+
+
+@query
+def line_outcomes(spark, sf):
+    """How many lines became requests, and what became of the others."""
+    outcomes = parse.line_outcome(log_lines(spark, sf))
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("lines"))
+
+
 @query
 def classifier_metrics(spark, sf):
     table = metrics.classifier_metrics(metrics.confusion_matrix(_tested(spark, sf)[0]))
     return table.select(*[F.round(c, 9).alias(c) for c in table.columns])
 
 
-# Models: checked by invariants in the tests
+# Models: SQL states what holds whatever the hashes and random trees are; tests check the rest
 
 
 @query
 def hashed_terms(spark, sf):
     """Number of terms per row under every bucket count in use."""
     table = features.detect_columns(log_requests(spark, sf))
-    table = table.withColumn("agent", tokens.agent_tokens(F.col("user_agent")))
-    for terms, buckets in (("url_features", 2040), ("url_features", 512), ("agent", 32)):
+    table = features.add_agent_ngrams(table.drop("agent"))
+    columns = (("url_features", 2040), ("url_features", 512), ("agent", 32), ("agent_ngrams", 32))
+    for terms, buckets in columns:
         table = features.hash_terms(table, terms, f"{terms}_{buckets}", buckets)
-    names = ["url_features_2040", "url_features_512", "agent_32"]
+    names = [f"{terms}_{buckets}" for terms, buckets in columns]
     total = {
         n: F.aggregate(F.unwrap_udt(F.col(n))["values"], F.lit(0.0), lambda a, b: a + b)
         for n in names
@@ -511,7 +540,7 @@ def _feature_summary(df):
         "date_time",
         "remote_addr",
         F.coalesce(values["size"], F.size(values["values"])).alias("width"),
-        F.size(values["values"]).alias("stored"),
+        F.round(F.aggregate(values["values"], F.lit(0.0), lambda a, b: a + b), 6).alias("total"),
     )
 
 
@@ -537,7 +566,11 @@ def detect_vector(spark, sf):
 def train_domain(spark, sf):
     table, _ = stored_extract(spark, sf)
     _, tested = site.train(table, _site_models(table))
-    return metrics.classifier_metrics(metrics.confusion_matrix(tested))
+    matrix = land(metrics.confusion_matrix(tested), "confusion")
+    quality = metrics.classifier_metrics(matrix)
+    fit = reduce(and_, [F.col(name).between(0, 1) for name in quality.columns])
+    tested = matrix.agg(F.sum("count")).first()[0]
+    return quality.select(F.lit(tested).cast("long").alias("tested"), fit.alias("metrics_fit"))
 
 
 @query
@@ -546,33 +579,58 @@ def predict_domain(spark, sf):
     models = _site_models(table)
     models.classifier, _ = site.train(table, models)
     predicted = site.predict(table, models)
-    return counts.volume_by(predicted, "prediction", "prediction_domain")
+    return counts.volume_by(predicted, "method").withColumnRenamed("count", "requests")
 
 
 @query
 def forest_fit(spark, sf):
     table, _ = stored_extract(spark, sf)
-    return detect.fit(table, detect.FIRST)
+    nodes = detect.fit(table, detect.FIRST)
+    return nodes.groupBy("forest_group").agg(
+        F.count_distinct("tree").alias("trees"),
+        F.min("sample_size").alias("least_sample"),
+        F.max("sample_size").alias("most_sample"),
+        F.sum(F.when(F.col("feature") < 0, F.col("size"))).alias("leaf_rows"),
+    )
+
+
+def _labels_fit(found, contamination, error=0.0):
+    """Per site: requests, whether scores lie in (0, 1], and whether the labels are those of a threshold.
+
+    That is, anomalies are the top scores, there are as many as wanted (or up to ``error`` of the rows
+    fewer or more), and beyond that number only ties of the lowest of them.
+    """
+    score, odd = F.col("outlierScore"), F.col("anomaly_bool")
+    lowest = found.groupBy("domain_category").agg(F.min(F.when(odd, score)).alias("lowest"))
+    per_site = found.join(lowest, "domain_category").groupBy("domain_category").agg(
+        F.count("*").alias("requests"),
+        F.every((score > 0) & (score <= 1)).alias("scores_fit"),
+        F.every(odd == (score >= F.col("lowest"))).alias("split"),
+        F.count_if(odd).alias("odd"),
+        F.count_if(score > F.col("lowest")).alias("above"),
+    )
+    rank = F.greatest(F.lit(1), F.ceil((1.0 - contamination) * F.col("requests")))
+    wanted, slack = F.col("requests") - rank + 1, error * F.col("requests")
+    enough = (F.col("odd") >= wanted - slack) & (F.col("above") < wanted + slack)
+    return per_site.select(
+        "domain_category", "requests", "scores_fit", (F.col("split") & enough).alias("labels_fit")
+    )
 
 
 @query
 def forest_score(spark, sf):
     """First detector: 100 trees of 256 rows, 2 % anomalies."""
     table, _ = stored_extract(spark, sf)
-    return detect.detect(table, detect.FIRST)[0].select(
-        "dec_req_uri", "domain_category", "es_time", "outlierScore", "anomaly_bool"
-    )
+    found, _ = detect.detect(table, detect.FIRST)
+    return _labels_fit(found, detect.FIRST.contamination)
 
 
 @query
 def forest_by_domain(spark, sf):
     """Final detector: 1000 trees of 512 rows for every site, 5 % anomalies."""
     table, _ = stored_extract(spark, sf)
-    return detect.detect(table)[0].groupBy("domain_category").agg(
-        F.count("*").alias("requests"),
-        F.count_if("anomaly_bool").alias("anomalies"),
-        F.max("outlierScore").alias("max_score"),
-    )
+    found, _ = detect.detect(table)
+    return _labels_fit(found, detect.FINAL.contamination, detect.FINAL.error)
 
 
 @query
@@ -583,13 +641,20 @@ def forest_one_feature(spark, sf):
         forest.fit_forest(table, "domain_category", parse.REQUEST_KEY, ["body_bytes_sent"]), "forest"
     )
     scored = forest.score_forest(table, nodes, "domain_category", ["body_bytes_sent"])
-    return scored.select("domain_category", "body_bytes_sent", "outlierScore").distinct()
+    limits = forest.score_thresholds(scored, "domain_category", contamination=0.05)
+    return _labels_fit(forest.label_anomalies(scored, limits, "domain_category"), 0.05)
 
 
 @query
 def path_minhash(spark, sf):
     grams = features.add_path_ngrams(log_requests(spark, sf)).select("clean_path", "path_ngrams")
-    return similar.minhash_signatures(grams, "path_ngrams").drop("path_ngrams")
+    signed = similar.minhash_signatures(grams, "path_ngrams")
+    minima = [name for name in signed.columns if name.startswith("min")]
+    return signed.groupBy("clean_path").agg(
+        F.count("*").alias("requests"),
+        F.count_distinct(F.struct(*minima)).alias("signatures"),
+        F.every(reduce(and_, [F.col(name).isNull() for name in minima])).alias("missing"),
+    )
 
 
 @query
@@ -597,7 +662,14 @@ def path_embedding(spark, sf):
     table, _ = stored_extract(spark, sf)
     worded = land(embed.add_path_tokens(table), "path-tokens")
     embedded = embed.fit_path_embedding(worded).transform(worded)
-    return embedded.select("clean_path", vector_to_array("url_embedding").alias("embedding"))
+    vector = vector_to_array("url_embedding")
+    return embedded.select(
+        "date_time",
+        "remote_addr",
+        "clean_path",
+        F.size(vector).alias("width"),
+        F.forall(vector, lambda v: v == 0).alias("is_zero"),
+    )
 
 
 @query
@@ -606,4 +678,4 @@ def forest_embedding(spark, sf):
     table, _ = stored_extract(spark, sf)
     model = embed.fit_path_embedding(land(embed.add_path_tokens(table), "path-tokens"))
     found, _ = detect.detect(table, detect.FIRST, detect.embedding_features(model))
-    return found.select("clean_path", "domain_category", "outlierScore", "anomaly_bool")
+    return _labels_fit(found, detect.FIRST.contamination)
