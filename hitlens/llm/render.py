@@ -300,18 +300,18 @@ def render(root: Node, depth: int = 0) -> str:
             layout.preformatted(node) if pre else layout.text(node)
             continue
         name = node.name
-        gap = 2 if name in SPACED else 1
-        if name in ("ul", "ol", "menu") and layout.indent:
-            gap = 1
         if not entering:
-            if name in BLOCK:
-                layout.start_block(gap)
             if name in ("ul", "ol", "menu", "blockquote", "dd"):
                 layout.indent -= 1
             elif name == "li":
                 layout.mark = ""
             elif name == "pre":
                 pre -= 1
+        # A list within a list is not set apart.
+        gap = 2 if name in SPACED and not (layout.indent and name in ("ul", "ol", "menu")) else 1
+        if not entering:
+            if name in BLOCK:
+                layout.start_block(gap)
             continue
         if hidden(node):
             continue

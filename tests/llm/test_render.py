@@ -6,7 +6,7 @@ from hitlens.llm.render import visible_text
 
 def test_blocks_and_implied_ends():
     page = "<title>t</title><h1>Head</h1><p>One <b>two</b>\n three<p>Next<br>line<div>in</div>after"
-    assert visible_text(page) == "Head\n\nOne two three\n\nNext\nline\nin\nafter"
+    assert visible_text(page) == "Head\n\nOne two three\n\nNext\nline\n\nin\nafter"
 
 
 def test_hidden():
