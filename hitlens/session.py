@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 TIME_ZONE_CONF = "spark.sql.session.timeZone"
 SHUFFLE_CONF = "spark.sql.shuffle.partitions"
+ARCHIVE = "hitlens-package.zip"
 
 
 def use_utc(spark: SparkSession) -> None:
@@ -73,6 +76,22 @@ def temporary_work(spark: SparkSession) -> Iterator[None]:
                 files.delete(parent, False)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Spark hand this package to its Python workers, wherever the driver imported it from.
+
+    Done once per context; the archive is a file that Spark itself distributes.
+    """
+    context = spark.sparkContext
+    if ARCHIVE in context._python_includes:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="hitlens-code-")) / ARCHIVE
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as file:
+        for source in sorted(root.rglob("*.py")):
+            file.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+
+
 def land(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

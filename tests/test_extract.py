@@ -10,6 +10,7 @@ from conftest import SMALL, plan_of
 from hitlens.functions import tokens
 from hitlens.operators import categories, clean, counts, enrich, parse, runlog
 from hitlens.plans.extract import extract, requests
+from hitlens.plans.extract import run as run_extract
 from hitlens.session import land, shared_folder, size_shuffles, temporary_work
 from hitlens.sinks.writers import write_partitioned
 from hitlens.sources.readers import local_table, object_store_conf, read_log_text, read_partition
@@ -127,6 +128,48 @@ def test_partition_filter_and_columns_reach_the_scan(spark, extracted, tmp_path)
     assert spark.read.parquet(path).count() == table.count()
 
 
+def test_write_modes(spark, tmp_path):
+    path = str(tmp_path / "table")
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "id int, site string")
+    write_partitioned(one, path, "site")
+    with pytest.raises(Exception, match="already exists"):
+        write_partitioned(one, path, "site")
+    assert spark.read.parquet(path).count() == 2
+    write_partitioned(one, path, "site", mode="append")
+    assert spark.read.parquet(path).count() == 4
+    write_partitioned(one.filter("id = 1"), path, "site", keep_others=True)
+    assert spark.read.parquet(path).count() == 3
+    write_partitioned(one, path, "site", mode="overwrite")
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_two_days_in_sequence(spark, tmp_path):
+    outcomes = [{}, {}]
+    for day in (1, 2):
+        methods = ("GET", "POST")
+        lines = [
+            line(at=f"0{day}/Jan/2024:10:30:0{k} +0000", method=methods[k % 2], referer=f"http://{"ab"[k % 2]}/x")
+            for k in range(5)
+        ] * 2
+        lines += [line(at="31/Feb/2024:10:30:00 +0000"), line(agent="NaN"), "none"]
+        (tmp_path / str(day)).mkdir()
+        (tmp_path / str(day) / "x.log").write_text("\n".join(lines) + "\n")
+        logs, output = str(tmp_path / str(day)), str(tmp_path / "out")
+        report = str(tmp_path / f"report{day}")
+        run_extract(spark, logs, output, str(tmp_path / "meta"), report, ["a", "b"], "append")
+        log = spark.read.option("header", "true").csv(report).collect()
+        outcomes[day - 1] = {r.Metric: r.Value for r in log}
+    table = spark.read.parquet(output)
+    assert table.count() == 10 and table.filter("fabstime IS NULL").isEmpty()
+    assert sorted(r.date for r in table.select("date").distinct().collect()) == ["01/Jan/2024", "02/Jan/2024"]
+    for log in outcomes:
+        assert log["Volume"] == "5, 21"
+        assert (log["Rejected"], log["Incomplete"], log["Bad dates"]) == ("1", "1", "1")
+    with pytest.raises(Exception, match="already exists"):
+        run_extract(spark, logs, output, str(tmp_path / "meta"), report, ["a", "b"])
+    assert spark.read.parquet(output).count() == 10
+
+
 def test_recursive_text(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "x.log").write_text("one\ntwo\n")
@@ -181,11 +224,11 @@ def test_row_numbers_are_global_under_many_partitions(spark):
     assert numbered.n.tolist() == list(range(5000))
 
 
-def test_run_log_and_observation(spark):
-    table = spark.range(10)
-    watched, seen = runlog.observe_rows(table, even=F.col("id") % 2 == 0)
-    watched.collect()
-    assert seen.get == {"rows": 10, "even": 5}
+def test_run_log_and_stored_rows(spark, tmp_path):
+    path = str(tmp_path / "ten")
+    assert runlog.stored_rows(spark, path) == 0
+    spark.range(10).write.parquet(path)
+    assert runlog.stored_rows(spark, path) == 10
     log = runlog.run_log(spark, [("Volume", runlog.volume_text(10, 1)), ("Accuracy", 0.5)])
     assert [tuple(r) for r in log.collect()] == [("Volume", "10, 1"), ("Accuracy", "0.5")]
 
@@ -216,17 +259,19 @@ def test_shuffle_partitions_follow_the_input(spark, tmp_path):
         assert size_shuffles(spark, str(tmp_path)) == int(before)
         assert size_shuffles(spark, str(tmp_path / "*"), 2.0, partition_bytes=1000) == 20
         assert size_shuffles(spark, str(tmp_path)) == 20
+        assert size_shuffles(spark, str(tmp_path), partition_bytes=1) == 4000
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_missing_shared_folder_is_an_error_on_a_cluster():
+@pytest.mark.parametrize("master", ["spark://somewhere:7077", "local-cluster[3,2,1024]"])
+def test_missing_shared_folder_is_an_error_on_a_cluster(master):
     class Context:
-        master = "spark://somewhere:7077"
-
         def getCheckpointDir(self):
             return None
 
+    Context.master = master
+
     class Session:
         sparkContext = Context()
         conf = {}

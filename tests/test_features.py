@@ -66,3 +66,19 @@ def test_agent_hashes(spark):
     words = table.withColumn("agent", tokens.agent_tokens(F.col("user_agent")))
     row = features.hash_terms(words, "agent", "v", 32).select(vector_to_array("v").alias("v")).first()
     assert len(row.v) == 32 and sum(row.v) == 3
+
+
+def test_word_vectors_do_not_depend_on_partitions(spark):
+    rows = [([f"w{k % 7}", f"w{k % 11}", "the"],) for k in range(400)]
+    table = spark.createDataFrame(rows, "url_features array<string>")
+    vectors = [
+        {r.word: list(r.vector) for r in embed.fit_path_embedding(table.repartition(n), size=5).getVectors().collect()}
+        for n in (1, 8)
+    ]
+    assert vectors[0] == vectors[1]
+
+
+def test_agent_ngrams(spark):
+    table = spark.createDataFrame([("a b c",), ("a",)], "user_agent string")
+    got = [r.agent_ngrams for r in features.add_agent_ngrams(table, n=2).collect()]
+    assert got == [["a b", "b c"], []]

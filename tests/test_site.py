@@ -1,5 +1,7 @@
 """Classifier, metrics and the whole chain of jobs."""
 
+import os
+
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from hitlens.__main__ import arguments, main
 from hitlens.operators import categories, enrich, metrics
 from hitlens.operators.parse import REQUEST_KEY
 from hitlens.plans import site
+from hitlens.session import shared_folder
 from registry.access_log import log_lines
 
 
@@ -119,7 +122,14 @@ def test_all_jobs(spark, extracted, tmp_path):
         main(["detect", "--ground-truth", p["merged"], "--output", p["detect"], "--model",
               p["forest"], "--report", p["report"] + "/5" + one, "--sites", one,
               "--detector", "first"])
+    main(["detect", "--ground-truth", p["merged"], "--output", p["detect"] + "2", "--model",
+          p["forest"], "--report", p["report"] + "/7", "--detector", "first", "--use-model"])
+    reused = spark.read.parquet(p["detect"] + "2")
+    assert reused.count() == merged.count()
+    assert reused.filter(~F.col("domain_category").isin(sites[:2]) & F.col("outlierScore").isNotNull()).isEmpty()
     found = spark.read.parquet(p["detect"])
+    scores = ["dec_req_uri", "es_time", "outlierScore", "anomaly_bool"]
+    assert found.select(scores).exceptAll(reused.select(scores)).isEmpty()
     assert {r[0] for r in found.select("domain_category").distinct().collect()} == set(sites[:2])
     main(["publish", "--detected", p["detect"], "--target", p["index"]])
     assert spark.read.json(p["index"]).count() == found.count()
@@ -129,6 +139,9 @@ def test_all_jobs(spark, extracted, tmp_path):
         for r in spark.read.option("header", "true").csv(p["report"] + "/1").collect()
     }
     assert volume["Volume"] == f"{table.count()}, 21"
+    assert min(int(volume[name]) for name in ("Rejected", "Incomplete", "Bad dates")) > 0
+    left = shared_folder(spark).removeprefix("file:") + "/hitlens/" + spark.sparkContext.applicationId
+    assert not [name for name in os.listdir(left) if name.startswith("job-")]
     by_date = spark.read.option("header", "true").csv(p["report"] + "/6/byDate")
     assert by_date.selectExpr("sum(count)").first()[0] == merged.count()
 
