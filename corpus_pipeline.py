@@ -11,21 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from hitlens.llm import codes, decontaminate, mixing, near, quality
 from hitlens.llm.common import table
 from hitlens.llm.queries import vocabulary_path
-from hitlens.session import land
+from hitlens.session import land, ship_package
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.7 or more; the labels are those of their ids."""
+    ship_package(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near copies."""
+    ship_package(spark)
     return near.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
+    ship_package(spark)
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -36,6 +39,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places and checksums of the documents' token ids, read back from the files."""
+    ship_package(spark)
     return codes.encoded(docs, vocabulary_path())
 
 

@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 
 from hitlens.llm import chat, codes, decontaminate, exact, mixing, near, quality, render, secrets, substrings
 from hitlens.llm.common import table
+from hitlens.session import ship_package
 
 QUERIES = {}
 
 
 def query(function):
     """Register a query under its function name."""
-    QUERIES[function.__name__] = function
-    return function
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return function(spark, sf_dir)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 VOCABULARY = "word_bpe_49k.json"
