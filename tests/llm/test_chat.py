@@ -1,5 +1,7 @@
 import pytest
 
+from llm_fixtures import prose  # noqa: F401
+
 from hitlens.llm import chat
 from hitlens.llm.queries import CONTROL_TEXT
 

@@ -5,6 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from llm_fixtures import documents, edge_rows, prose  # noqa: F401
+
 from hitlens.llm import codes
 from hitlens.llm.queries import vocabulary_path
 from hitlens.session import work_path

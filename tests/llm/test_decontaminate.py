@@ -1,3 +1,5 @@
+from llm_fixtures import documents, prose  # noqa: F401
+
 from hitlens.llm import decontaminate
 
 ITEM = (

@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+from llm_fixtures import documents, edge_rows  # noqa: F401
+
 from hitlens.llm import exact
 
 

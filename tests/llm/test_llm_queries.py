@@ -4,6 +4,8 @@ import pytest
 from check import same_rows, tables
 from conftest import SMALL
 
+from llm_fixtures import documents, edge_rows  # noqa: F401
+
 from hitlens.llm.oracle import ORACLE
 from hitlens.llm.queries import QUERIES
 

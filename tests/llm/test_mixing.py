@@ -2,6 +2,8 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from llm_fixtures import documents, prose  # noqa: F401
+
 from hitlens.llm import mixing
 
 

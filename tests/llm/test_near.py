@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from llm_fixtures import documents, edge_rows, prose  # noqa: F401
+
 from hitlens.llm import near
 from hitlens.llm.grouping import components
 

@@ -1,6 +1,8 @@
 import numpy as np
 from conftest import SMALL
 
+from llm_fixtures import documents  # noqa: F401
+
 from hitlens.llm import quality
 from hitlens.llm.common import table
 

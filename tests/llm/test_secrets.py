@@ -4,6 +4,8 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from llm_fixtures import documents, edge_rows  # noqa: F401
+
 from hitlens.llm import secrets
 
 

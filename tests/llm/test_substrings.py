@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from llm_fixtures import documents, edge_rows, prose  # noqa: F401
+
 from hitlens.llm import substrings
 
 
