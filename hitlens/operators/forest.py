@@ -258,6 +258,7 @@ def score_thresholds(
     contamination: float = 0.02,
     error: float = 0.0,
     buckets: int = 4096,
+    bounds: tuple[float, float] | None = None,
 ) -> DataFrame:
     """Per group, the score at rank ``ceil((1 - contamination) * rows)``.
 
@@ -266,42 +267,16 @@ def score_thresholds(
     the rank, until that step is one value, or with ``error`` until its ranks are
     within ``error * rows`` of the wanted one. A round's result has at most
     ``buckets`` rows per group, whatever the number of rows. ``df`` is read once
-    per round and should be a stored table; two or three rounds are usual.
+    per round and should be a stored table; two or three rounds are usual. With
+    ``bounds`` of all scores the first round needs no pass to find them.
     """
     rows = df.select(F.col(group).alias("forest_group"), F.col(score).alias("_s")).filter(
         "_s IS NOT NULL AND forest_group IS NOT NULL"
     )
-    state = (
-        rows.groupBy("forest_group")
-        .agg(F.count("*").alias("_n"), F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
-        .select(
-            "forest_group",
-            "_n",
-            "_lo",
-            "_hi",
-            F.ceil((1.0 - contamination) * F.col("_n")).alias("_rank"),
-            F.col("_n").alias("_inside"),
-        )
-        .withColumn("_rank", F.greatest(F.lit(1), F.col("_rank")))
-    )
-    state = land(state, "thresholds")
-    is_open = (F.col("_lo") < F.col("_hi")) & (F.col("_inside") > error * F.col("_n"))
     upto = W.partitionBy("forest_group").orderBy("_step")
-    while True:
-        open_groups, left = size_checked(state.filter(is_open))
-        if left == 0:
-            break
-        step = F.least(
-            F.lit(buckets - 1),
-            F.floor((F.col("_s") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets),
-        )
-        histogram = (
-            rows.join(open_groups, "forest_group")
-            .filter("_s BETWEEN _lo AND _hi")
-            .groupBy("forest_group", "_n", "_rank", step.alias("_step"))
-            .agg(F.count("*").alias("_c"), F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
-        )
-        narrowed = (
+
+    def narrowed(histogram: DataFrame) -> DataFrame:
+        return (
             histogram.withColumn("_cum", F.sum("_c").over(upto))
             .filter("_cum >= _rank AND _cum - _c < _rank")
             .select(
@@ -313,7 +288,38 @@ def score_thresholds(
                 F.col("_c").alias("_inside"),
             )
         )
-        state = land(state.filter(~is_open).unionByName(narrowed), "thresholds")
+
+    def counted(source: DataFrame, low, high, *keys: str) -> DataFrame:
+        step = F.floor((F.col("_s") - low) / (high - low) * buckets)
+        step = F.greatest(F.lit(0), F.least(F.lit(buckets - 1), step))
+        return source.groupBy("forest_group", *keys, step.alias("_step")).agg(
+            F.count("*").alias("_c"), F.min("_s").alias("_lo"), F.max("_s").alias("_hi")
+        )
+
+    rank = F.greatest(F.lit(1), F.ceil((1.0 - contamination) * F.col("_n")))
+    if bounds:
+        histogram = counted(rows, F.lit(bounds[0]), F.lit(bounds[1]))
+        whole = F.sum("_c").over(W.partitionBy("forest_group"))
+        state = narrowed(histogram.withColumn("_n", whole).withColumn("_rank", rank))
+    else:
+        state = (
+            rows.groupBy("forest_group")
+            .agg(F.count("*").alias("_n"), F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
+            .select(
+                "forest_group", "_n", "_lo", "_hi", rank.alias("_rank"), F.col("_n").alias("_inside")
+            )
+        )
+    state = land(state, "thresholds")
+    is_open = (F.col("_lo") < F.col("_hi")) & (F.col("_inside") > error * F.col("_n"))
+    while True:
+        open_groups, left = size_checked(state.filter(is_open))
+        if left == 0:
+            break
+        inside = rows.join(
+            open_groups.withColumnsRenamed({"_lo": "_from", "_hi": "_to"}), "forest_group"
+        ).filter("_s BETWEEN _from AND _to")
+        histogram = counted(inside, F.col("_from"), F.col("_to"), "_n", "_rank")
+        state = land(state.filter(~is_open).unionByName(narrowed(histogram)), "thresholds")
     return state.select("forest_group", F.col("_lo").alias("threshold"))
 
 

@@ -114,7 +114,11 @@ def detect(
     """The 17-column detection table and the forest behind it, a new one unless one is given."""
     scored, forest = score(requests, detector, features, forest)
     limits = score_thresholds(
-        scored, SITE, contamination=detector.contamination, error=detector.error
+        scored,
+        SITE,
+        contamination=detector.contamination,
+        error=detector.error,
+        bounds=(0.0, 1.0),
     )
     return label_anomalies(scored, limits, SITE).select(OUTPUT_COLUMNS), forest
 

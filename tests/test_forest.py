@@ -186,6 +186,10 @@ def test_threshold_is_the_exact_order_statistic(spark, buckets):
     for part in (0.02, 0.05, 0.5):
         limits = forest.score_thresholds(table, "site", contamination=part, buckets=buckets)
         got = {r.forest_group: r.threshold for r in limits.collect()}
+        within = forest.score_thresholds(
+            table, "site", contamination=part, buckets=buckets, bounds=(0.0, 1.0)
+        )
+        assert got == {r.forest_group: r.threshold for r in within.collect()}
         wanted = {
             g: float(np.sort(v)[max(1, math.ceil((1.0 - part) * len(v))) - 1])
             for g, v in groups.items()
