@@ -26,9 +26,10 @@ def fit_path_embedding(
 ) -> Word2VecModel:
     """Word vectors trained in ``partitions`` tasks, a fixed number because the vectors depend on it.
 
-    Rows are dealt to the tasks by their own terms and in their order, so the same
-    rows give the same vectors on any machine. MLlib holds the vocabulary and its
-    vectors on the driver: ``min_count`` decides how many there are.
+    Rows are dealt to the tasks by their own terms and in their order. With one task
+    the same rows give the same vectors anywhere; with more, MLlib deals sentences
+    anew in the order they arrive, and vectors vary a little from run to run. MLlib
+    holds the vocabulary and its vectors on the driver: ``min_count`` decides how many.
     """
     dealt = df.select(terms).repartition(partitions, F.xxhash64(terms)).sortWithinPartitions(terms)
     return Word2Vec(
