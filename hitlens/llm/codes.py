@@ -19,6 +19,7 @@ import os
 import re
 import struct
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitlens.llm.common import WORD_PATTERN, shuffle_partitions, text_of
+from hitlens.llm.common import shuffle_partitions, text_of
 from hitlens.session import work_path
 
 END_ID = 1
 SHARD_TOKENS = 2**18
 RANK_BITS = 512
+TEXTS_AT_ONCE = 256
 MAGIC = b"DAC1"
 
 
@@ -97,43 +99,65 @@ class Shard:
         return values
 
 
-class WordEncoder:
-    """Ids of a text by its words, which this vocabulary encodes one by one (white space is dropped).
+class PieceEncoder:
+    """Ids (little endian bytes) of texts by the pieces that this vocabulary encodes one by one.
 
-    The ids of short words are remembered, ``most`` of them at a time.
+    Pieces are runs of letters, single digits, runs of other marks, and the endings ``'s`` and the like; white
+    space is dropped and letters are lower-cased first. Pieces met before are remembered, ``most`` of them at a
+    time; the new ones of some texts are encoded as one text, in which the last id of each carries the mark of a
+    word's end. That holds for texts of ASCII and western letters. Any other text is encoded as it is.
     """
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
+    simple = re.compile("[\\t-\\r -~À-ÖØ-öø-ÿ]*")
+    pieces = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\\[-`{-~]+")
+
+    def __init__(self, path: str, most: int = 500_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words = re.compile(WORD_PATTERN).findall
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = partial(getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch), add_special_tokens=False)
+        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.ends[[number for token, number in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.most, self.longest = most, longest
 
-    def ids(self, text: str) -> bytes:
-        words = self.words(text)
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
+    def one_by_one(self, texts: list[str]) -> list[bytes]:
+        return [np.array(code.ids, "<u4").tobytes() for code in self.encode(texts)]
+
+    def together(self, pieces: list[str]) -> list[bytes]:
+        ids = np.array(self.encode([" ".join(pieces)])[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(pieces):
+            return self.one_by_one(pieces)
+        raw, stops = ids.tobytes(), (stops * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops)]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each of some texts."""
         if len(self.known) > self.most:
-            self.known.clear()
-        new = [word for word in dict.fromkeys(words) if word not in self.known]
-        codes = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        found = {word: np.array(code.ids, "<u4").tobytes() for word, code in zip(new, codes)}
-        self.known.update((word, code) for word, code in found.items() if len(word) <= self.longest)
-        return b"".join([self.known.get(word) or found.get(word, b"") for word in words])
+            self.known = {}
+        # A special token of the vocabulary may begin with these two marks.
+        plain = [self.simple.fullmatch(text) is not None and "<|" not in text for text in texts]
+        lists = [self.pieces.findall(text.lower()) for text, one in zip(texts, plain) if one]
+        new = list(set().union(*lists) - self.known.keys())
+        if new:
+            self.known.update(zip(new, self.together(new)))
+        found = iter([b"".join(map(self.known.__getitem__, pieces)) for pieces in lists])
+        for piece in new:
+            if len(piece) > self.longest:
+                del self.known[piece]
+        others = iter(self.one_by_one([text for text, one in zip(texts, plain) if not one]))
+        return [next(found if one else others) for one in plain]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> PieceEncoder:
     """One per Python worker and vocabulary."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = PieceEncoder(path)
     return _encoders[path]
 
 
@@ -159,12 +183,14 @@ def _shards(path: str, end_id: int, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, SHARD_ARROW)], schema=SHARD_ARROW)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(encode(text.as_py()) + end)
-                docs.append(doc_id)
-                starts.append(starts[-1] + len(ids[-1]) // 4)
-                if starts[-1] >= shard_tokens:
-                    yield closed()
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part_of = batch.slice(at, TEXTS_AT_ONCE)
+                for doc_id, found in zip(part_of.column(0).to_pylist(), encode(part_of.column(1).to_pylist())):
+                    ids.append(found + end)
+                    docs.append(doc_id)
+                    starts.append(starts[-1] + len(ids[-1]) // 4)
+                    if starts[-1] >= shard_tokens:
+                        yield closed()
         if docs:
             yield closed()
 
@@ -185,35 +211,47 @@ def write_shards(
     ranges.mapInArrow(_shards(vocabulary, end_id, shard_tokens), SHARD_SCHEMA).write.parquet(path)
 
 
-def read_shards(spark, path: str) -> DataFrame:
-    """Shards with the number of ids before each. Parts are summed first, so no window holds all shards."""
-    shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
+def shard_places(shards: DataFrame) -> DataFrame:
+    """part, seq, n_tokens, first: the number of ids before each shard. Parts are summed first."""
     before = Window.unboundedPreceding, -1
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
     parts = parts.select("part", F.sum("tokens").over(Window.orderBy("part").rowsBetween(*before)).alias("earlier"))
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(*before))
-    sizes = shards.select("part", "seq", inside.alias("inside")).join(parts, "part")
+    sizes = shards.select("part", "seq", "n_tokens", inside.alias("inside")).join(parts, "part")
     first = (F.coalesce("inside", F.lit(0)) + F.coalesce("earlier", F.lit(0))).alias("first")
-    return shards.join(sizes.select("part", "seq", first), ["part", "seq"])
+    return sizes.select("part", "seq", "n_tokens", first)
 
 
-DOCUMENT_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
-DOCUMENT_ARROW = pa.schema([(name, pa.int64()) for name in ("doc_id", "start", "n_tokens", "ids_crc32")])
+def stored_shards(spark, path: str) -> DataFrame:
+    return spark.read.schema(SHARD_SCHEMA).parquet(path)
+
+
+DOCUMENT_SCHEMA = "part int, seq int, doc_id long, start long, n_tokens long, ids_crc32 long"
+DOCUMENT_ARROW = pa.schema(
+    [("part", pa.int32()), ("seq", pa.int32())]
+    + [(name, pa.int64()) for name in ("doc_id", "start", "n_tokens", "ids_crc32")]
+)
 
 
 def _documents(batches):
     for batch in batches:
-        for doc_ids, packed, first in zip(*(batch.column(name) for name in ("doc_ids", "shard", "first"))):
+        for part, seq, doc_ids, packed in zip(*(batch.column(name) for name in ("part", "seq", "doc_ids", "shard"))):
             shard = Shard(packed.as_py())
-            ids, starts = shard.all(), shard.starts
-            sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, starts[1:])]
-            columns = [doc_ids.as_py(), starts[:-1] + first.as_py(), np.diff(starts), sums]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=DOCUMENT_ARROW)
+            ids, starts = shard.all().astype("<u4"), shard.starts
+            sums = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), starts[1:].tolist())]
+            place = [np.full(len(sums), part.as_py()), np.full(len(sums), seq.as_py())]
+            columns = [*place, doc_ids.as_py(), starts[:-1], np.diff(starts), sums]
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, DOCUMENT_ARROW)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=DOCUMENT_ARROW)
 
 
 def documents(spark, path: str) -> DataFrame:
-    """Per document, from the shards: doc_id, start, n_tokens, ids_crc32."""
-    return read_shards(spark, path).mapInArrow(_documents, DOCUMENT_SCHEMA)
+    """Per document, from the shards: doc_id, start, n_tokens, ids_crc32. The shards are read in place."""
+    shards = stored_shards(spark, path)
+    rows = shards.mapInArrow(_documents, DOCUMENT_SCHEMA)
+    places = shard_places(shards).select("part", "seq", "first")
+    start = (F.col("start") + F.col("first")).alias("start")
+    return rows.join(places, ["part", "seq"]).select("doc_id", start, "n_tokens", "ids_crc32")
 
 
 def _looked_up(batches):
@@ -228,8 +266,8 @@ def _looked_up(batches):
 
 def tokens_at(spark, path: str, positions: DataFrame, cell: int = SHARD_TOKENS) -> DataFrame:
     """position, id: single ids by their place among all, without decoding shards."""
-    shards = read_shards(spark, path)
-    spread = shards.where("n_tokens > 0").select(
+    shards = stored_shards(spark, path)
+    spread = shard_places(shards).where("n_tokens > 0").select(
         "part", "seq", "first", "n_tokens",
         F.explode(F.sequence(F.floor(F.col("first") / cell), F.floor((F.col("first") + F.col("n_tokens") - 1) / cell)))
         .alias("cell"),
