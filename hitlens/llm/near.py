@@ -6,12 +6,12 @@ coordinates by its own hash, and a class goes to the child named by its minwise
 together and others part. Branching goes on in nodes of more than ``LEAF`` classes, until they are small or stop
 shrinking, which only sets that are alike do.
 
-Final nodes are compared exhaustively by signature, very large ones in blocks. What a node passes on first is a
-maximum spanning forest of its possible links: one link fewer than classes, however many pairs there are. These
-are confirmed on the full sets. Then every possible link that still runs between two components is confirmed,
-all of them, so no group loses a connection to a limit.
+Final nodes are compared exhaustively by signature, very large ones in blocks, and pass on a maximum spanning
+forest of their possible links: fewer links than classes, however many pairs there are. What these connect is a
+cluster; a class is in one cluster only, and its full text goes there once. Within a cluster all pairs of full sets
+are compared, a large cluster block against block, and every member leaves with its component and its links.
 
-Chance that a pair of similarity 0.75 is missed: below 1e-8 by the trees (``TREES`` times ``ROOT_BRANCHES`` chosen
+Chance that a pair of similarity 0.75 is missed: below 1e-7 by the trees (``TREES`` times ``ROOT_BRANCHES`` chosen
 coordinates), below 1e-5 by the signature test. Higher similarities are missed less.
 """
 
@@ -33,10 +33,11 @@ SHINGLE_WORDS = 5
 LINK_PERCENT = 75
 COORDINATES = 64
 POSSIBLE = 30  # of the coordinates equal; a pair of similarity 0.75 has 48 on average
-TREES, ROOT_BRANCHES, BRANCHES = 8, 2, 3
-LEAF, DEPTH, SHRINK = 64, 5, 0.8
-BLOCK = 2048
-HUB = 64
+TREES, ROOT_BRANCHES, BRANCHES = 8, 2, 2
+LEAF, DEPTH, SHRINK = 1024, 5, 0.8
+# Classes, and shingles, of a block in a comparison.
+BLOCK, BLOCK_SHINGLES = 1024, 2**21
+COLUMNS = 4096
 
 _rng = np.random.default_rng(20240229)
 _word_steps = _rng.integers(1, 2**63, SHINGLE_WORDS, dtype=np.uint64) * 2 + 1
@@ -215,129 +216,137 @@ def spanning_links(values: np.ndarray, blocks: np.ndarray) -> list[tuple[int, in
     return found
 
 
-def _compare(every: bool):
-    """Spanning links of each group, or (``every``) all possible links between different labels."""
-
-    def run(batches):
-        a, b = [], []
-        for rows in groups(batches, ("node", "low", "high")):
-            ids = rows["doc_id"].to_numpy()
-            values = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            blocks = rows["block"].to_numpy()
-            if every:
-                labels = rows["label"].to_numpy()
-                apart = bool((blocks != blocks[0]).any())
-                if (labels != labels[0]).any():
-                    for k in range(len(ids) - 1):
-                        may = labels[k + 1 :] != labels[k]
-                        if apart:
-                            may &= blocks[k + 1 :] != blocks[k]
-                        places = np.flatnonzero(may) + k + 1
-                        places = places[(values[places] == values[k]).sum(axis=1) >= POSSIBLE]
-                        a += [ids[k]] * len(places)
-                        b += ids[places].tolist()
-            else:
-                for one, other in spanning_links(values, blocks):
-                    a.append(ids[one])
-                    b.append(ids[other])
-            if len(a) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=PAIR_ARROW)
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=PAIR_ARROW)
-
-    return run
-
-
-def possible_links(members: DataFrame, classes: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """a, b (a < b): the spanning links of every node, or all possible links between labels that differ."""
-    rows = members
-    if labels is not None:
-        rows = rows.join(labels, "doc_id")
-        mixed_nodes = rows.groupBy("node").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h")
-        rows = rows.join(mixed_nodes.select("node"), "node", "left_semi")
-    # Blocks of about BLOCK members; a large node is compared block against block, in tasks of their own.
-    count = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("doc_id"), F.greatest(count, F.lit(1)).cast("long")).cast("int")
-    others = F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(others))
-    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+def _compare(batches):
+    """Spanning links of each node, or of two blocks of it."""
+    a, b = [], []
+    for rows in groups(batches, ("node", "low", "high")):
+        ids = rows["doc_id"].to_numpy()
+        values = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint32).reshape(-1, COORDINATES)
+        for one, other in spanning_links(values, rows["block"].to_numpy()):
+            a.append(min(ids[one], ids[other]))
+            b.append(max(ids[one], ids[other]))
+        if len(a) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=PAIR_ARROW)
+            a, b = [], []
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=PAIR_ARROW)
+
+
+def in_blocks(rows: DataFrame, count) -> DataFrame:
+    """Rows with their block of ``count``, and the pair of blocks (low, high) to compare, for every such pair."""
+    rows = rows.withColumn("blocks", F.greatest(count, F.lit(1)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+
+
+def possible_links(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b (a < b): the spanning links of every node."""
     key = ["node", "low", "high"]
-    wanted = [*key, "block", "doc_id", "signature"] + (["label"] if labels is not None else [])
-    dealt = rows.join(classes, "doc_id").select(*wanted)
+    rows = in_blocks(members, F.ceil(F.col("n") / BLOCK)).select(*key, "block", "doc_id")
+    dealt = rows.join(classes.select("doc_id", "signature"), "doc_id")
     dealt = dealt.repartition(shuffle_partitions(members.sparkSession), *key).sortWithinPartitions(*key, "doc_id")
-    pairs = dealt.mapInArrow(_compare(labels is not None), "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.select(*key, "block", "doc_id", "signature").mapInArrow(_compare, "a long, b long").distinct()
 
 
 # Confirmation on full sets
 
 
-def similar(one: np.ndarray, other: np.ndarray) -> bool:
-    if min(len(one), len(other)) * 100 < LINK_PERCENT * max(len(one), len(other)):
-        return False
-    shared = len(np.intersect1d(one, other, assume_unique=True))
-    return shared > 0 and 100 * shared >= LINK_PERCENT * (len(one) + len(other) - shared)
+def similar_pairs(sets: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the pairs of sets that are linked, from exact sizes of intersections.
+
+    Shared shingles are counted a strip of ``COLUMNS`` of them at a time, as a product of 0/1 matrices.
+    """
+    n, sizes = len(sets), np.array([len(one) for one in sets], np.float64)
+    owner = np.repeat(np.arange(n), sizes.astype(np.int64))
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    often = times[column] > 1
+    owner, column = owner[often], place[column[often]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((n, n), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        low, high = np.searchsorted(column, [start, start + COLUMNS])
+        strip = np.zeros((n, int(column[high - 1]) - start + 1), np.float32)
+        strip[owner[low:high], column[low:high] - start] = 1
+        shared += strip @ strip.T
+    linked = (shared > 0) & (100.0 * shared >= LINK_PERCENT * (sizes[:, None] + sizes[None, :] - shared))
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def local_components(linked: np.ndarray) -> np.ndarray:
+    """Per place the first place of its component."""
+    first = np.full(len(linked), -1)
+    for start in range(len(linked)):
+        if first[start] >= 0:
+            continue
+        first[start], todo = start, [start]
+        while todo:
+            for place in np.flatnonzero(linked[todo.pop()] & (first < 0)).tolist():
+                first[place] = start
+                todo.append(place)
+    return first
+
+
+LINK_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_links", pa.int64())])
 
 
 def _confirm(batches):
-    for rows in groups(batches, ("hub", "chunk")):
-        ids, hub = rows["doc_id"].to_pylist(), rows["hub"][0].as_py()
-        sets = [shingles(raw.as_py()) for raw in rows["raw"]]
-        hubs = [one for key, one in zip(ids, sets) if key == hub]
-        linked = {key for key, one in zip(ids, sets) if key != hub and any(similar(one, other) for other in hubs)}
-        columns = [pa.array([hub] * len(linked), pa.int64()), pa.array(sorted(linked), pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, schema=PAIR_ARROW)
+    for rows in groups(batches, ("label", "low", "high")):
+        # Sorted by id, so the first place of a component is its smallest id; one id may have several sets.
+        ids, blocks = rows["doc_id"].to_numpy(), rows["block"].to_numpy()
+        linked = similar_pairs([shingles(raw.as_py()) for raw in rows["raw"]])
+        if (blocks != blocks[0]).any():
+            linked &= blocks[:, None] != blocks[None, :]
+        columns = [ids, ids[local_components(linked)], linked.sum(axis=1)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=LINK_ARROW)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough. A text travels once per hub (smaller id) it is compared with.
+def confirmed(clusters: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b, n_links: per class of a cluster (and pair of blocks) the smallest id it is connected with, and its links.
 
-    A hub with many partners is compared with ``HUB`` or so of them per task.
+    ``clusters`` has node and label. A text travels once, in a cluster of several blocks once per block.
     """
-    degrees = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("long").alias("chunks"))
-    keyed = pairs.join(degrees, "a").select(
-        F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "chunks").alias("chunk"), F.col("b").alias("doc_id")
-    )
-    hubs = keyed.select("hub", "chunk").distinct().withColumn("doc_id", F.col("hub"))
-    texts = keyed.unionByName(hubs).join(_raw(docs), "doc_id")
-    key = ["hub", "chunk"]
-    dealt = texts.repartition(shuffle_partitions(docs.sparkSession), *key).sortWithinPartitions(*key, "doc_id")
-    return dealt.mapInArrow(_confirm, "a long, b long")
+    rows = clusters.withColumnRenamed("node", "doc_id").join(classes.select("doc_id", "n_shingles"), "doc_id")
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"))
+    count = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES))
+    key = ["label", "low", "high"]
+    wanted = in_blocks(rows.join(sizes, "label"), count).select(*key, "block", "doc_id")
+    dealt = wanted.join(_raw(docs), "doc_id").select(*key, "block", "doc_id", "raw")
+    dealt = dealt.repartition(shuffle_partitions(docs.sparkSession), *key).sortWithinPartitions(*key, "doc_id")
+    return dealt.mapInArrow(_confirm, "a long, b long, n_links long")
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, n_links for every row of ``docs``.
 
-    ``n_links`` counts confirmed links of the row's set to other sets that were needed for its component. A row
-    without words is a component of its own. A row without an id is linked with nothing and stays; its
-    component_id is null. Rows of one id are one document that has all their texts.
+    ``n_links`` counts the links of the row's set to other sets. A row without words is a component of its own. A
+    row without an id is linked with nothing and stays; its component_id is null. Rows of one id are one document
+    that has all their texts.
     """
     sets = land(document_sets(docs), "near-sets")
     named = sets.where("digest is not null and doc_id is not null")
-    classes = named.groupBy("digest").agg(F.min_by("signature", "doc_id").alias("signature"), F.min("doc_id").alias("doc_id"))
+    classes = named.groupBy("digest").agg(
+        F.min_by("signature", "doc_id").alias("signature"),
+        F.first("n_shingles").alias("n_shingles"),
+        F.min("doc_id").alias("doc_id"),
+    )
     classes = land(classes, "near-classes")
-    compared = classes.select("doc_id", "signature")
-    members = land(final_nodes(compared), "near-final-members")
-
-    first = land(possible_links(members, compared), "near-pairs")
-    links = land(confirmed(first, docs), "near-links")
-    labels = components(links)
-    every = classes.select("doc_id").distinct().join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    every = land(every.select("doc_id", F.coalesce("label", "doc_id").alias("label")), "near-labels")
-    rest = land(possible_links(members.where("n > 2"), compared, every).join(first, ["a", "b"], "left_anti"), "near-rest")
-    if not rest.isEmpty():
-        links = land(links.unionByName(confirmed(rest, docs)), "near-links")
-        labels = components(links)
-
-    degrees = links.select(F.explode(F.array("a", "b")).alias("own")).groupBy("own").agg(F.count(F.lit(1)).alias("n_links"))
+    members = final_nodes(classes.select("doc_id", "signature"))
+    clusters = components(possible_links(members, classes))
+    links = land(confirmed(clusters, classes, docs), "near-links")
+    labels = components(links.select("a", "b"))
+
+    degrees = links.groupBy("a").agg(F.sum("n_links").alias("n_links")).withColumnRenamed("a", "own")
     owners = classes.select("digest", F.col("doc_id").alias("own"))
     owners = owners.join(labels.withColumnRenamed("node", "own"), "own", "left").join(degrees, "own", "left")
-    owners = owners.select("digest", F.coalesce("label", "own").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    owners = owners.select("digest", F.coalesce("label", "own").alias("label"), "n_links")
     found = sets.join(owners, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
+    links_of = F.coalesce("n_links", F.lit(0)).alias("n_links")
+    found = found.select("doc_id", "n_shingles", component.alias("component_id"), links_of)
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

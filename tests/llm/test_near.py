@@ -59,19 +59,35 @@ def test_edge_cases(documents, edge_rows):
     assert {(r.doc_id, r.component_id, r.kept) for r in without} == {(None, None, True), (1, 1, True)}
 
 
-@pytest.mark.parametrize("leaf, block", [(64, 2048), (4, 7)])
-def test_a_large_group_and_a_common_passage(documents, prose, monkeypatch, leaf, block):
-    monkeypatch.setattr(near, "LEAF", leaf)
+@pytest.mark.parametrize("small", [False, True])
+def test_a_large_group_and_a_common_passage(spark, documents, prose, monkeypatch, small):
     base, passage = prose(5, 150), prose(6, 60)
     texts = [edited(base, 1 + k % 4, k) for k in range(120)]
     texts += [prose(1000 + k, 80) + " " + passage + " " + prose(2000 + k, 80) for k in range(60)]
     rows = list(enumerate(texts))
-    if block != 2048:
-        monkeypatch.setattr(near, "BLOCK", block)
-        near_rows = rows[:40]
-        check(documents(near_rows), near_rows)
-    else:
-        check(documents(rows), rows)
+    if small:
+        # Branching, blocks of nodes and blocks of clusters.
+        monkeypatch.setattr(near, "LEAF", 4)
+        monkeypatch.setattr(near, "BLOCK", 30)
+    check(documents(rows), rows)
+
+
+def test_links_of_full_sets(prose):
+    texts = [prose(1, 80), edited(prose(1, 80), 2, 1), prose(2, 300), prose(3, 6), prose(3, 6)]
+    sets = [near.shingles(text.encode()) for text in texts]
+    linked = near.similar_pairs(sets)
+    for a in range(5):
+        for b in range(5):
+            shared = len(np.intersect1d(sets[a], sets[b]))
+            union = len(sets[a]) + len(sets[b]) - shared
+            assert linked[a, b] == (a != b and 100 * shared >= 75 * union)
+    assert near.local_components(linked).tolist() == [0, 0, 2, 3, 3]
+    strips = near.COLUMNS
+    try:
+        near.COLUMNS = 7
+        assert (near.similar_pairs(sets) == linked).all()
+    finally:
+        near.COLUMNS = strips
 
 
 def test_spanning_links_are_a_maximum_forest():
