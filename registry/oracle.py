@@ -140,7 +140,7 @@ _EXTRACT = ", ".join(
 )
 _GAPS = """
   SELECT * REPLACE (
-    CASE WHEN body_bytes_sent % 7 = 0 THEN NULL ELSE user_agent END AS user_agent,
+    CASE WHEN body_bytes_sent % 7 = 0 OR user_agent = 'NaN' THEN NULL ELSE user_agent END AS user_agent,
     CASE WHEN body_bytes_sent % 11 = 0 THEN NULL ELSE http_referer END AS http_referer,
     CASE WHEN body_bytes_sent % 13 = 0 THEN NULL ELSE remote_usr END AS remote_usr)
   FROM parsed"""
