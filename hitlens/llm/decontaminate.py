@@ -14,14 +14,14 @@ benchmark it lets more windows through, and the join decides as before.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitlens.llm.common import WORD_PATTERN, text_of
+from hitlens.llm.common import text_of
 from hitlens.session import land
 
 WINDOW = 13
@@ -44,69 +44,59 @@ UNITS = (
 DROPPED, PLAIN, NUMBER, UNIT, NAME = range(5)
 MARKS = ("", "", "<number>", "<unit>", "<name>")
 
-_words = re.compile(WORD_PATTERN).findall
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
 _number = re.compile(r"[0-9]+(?:[.,:/][0-9]+)*(?:st|nd|rd|th|%|[a-z]{1,3})?", re.I)
-_number_words, _units = set(NUMBER_WORDS), set(UNITS)
-_steps = np.array([pow(0x9E3779B97F4A7C15, k + 1, 2**64) for k in range(64)], np.uint64)
-
-
-def _hash(word: str) -> int:
-    raw = word.encode("utf-8", "replace")
-    mixed = (zlib.crc32(raw) << 32 | zlib.adler32(raw, len(raw))) * 0xBF58476D1CE4E5B9 & (2**64 - 1)
-    return (mixed ^ mixed >> 29) | 1
+_special = dict.fromkeys(NUMBER_WORDS, NUMBER) | dict.fromkeys(UNITS, UNIT)
+_hash = xxhash.xxh3_64_intdigest
+_BASE = 0x9E3779B97F4A7C15
 
 
 def canonical(word: str) -> tuple[str, int]:
     """Lower-case core of a written word and its kind; a unit counts only behind a number."""
-    core = _edges.sub("", word)
-    lower = core.lower()
+    core = word if word.isalnum() else _edges.sub("", word)
     if not core:
         return "", DROPPED
-    if _number.fullmatch(core) or lower in _number_words:
-        return lower, NUMBER
-    if lower in _units:
-        return lower, UNIT
-    if len(core) > 1 and core[0].isupper() and core[1:].islower():
-        return lower, NAME
-    return lower, PLAIN
+    lower, first = core.lower(), core[0]
+    if "0" <= first <= "9":
+        return lower, NUMBER if _number.fullmatch(core) else PLAIN
+    kind = _special.get(lower)
+    if kind is None:
+        kind = NAME if first.isupper() and core[1:].islower() else PLAIN
+    return lower, kind
 
 
-class Vocabulary:
-    """Canonical forms of written words by number, kept for a bounded number of words at a time."""
+class Vocabulary(dict):
+    """Numbers of written words (as bytes), with their canonical forms, for ``most`` words or so at a time."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 600_000):
         self.most = most
-        self.clear()
+        self.kinds, self.hashes = np.zeros(2**16, np.int8), np.zeros(2**16, np.uint64)
+        self.forget()
 
-    def clear(self) -> None:
-        self.numbers: dict[str, int] = {}
+    def forget(self) -> None:
+        self.clear()
         self.cores: list[str] = []
-        self.kinds: list[int] = []
-        self.hashes: list[int] = []
-        self._arrays = (np.zeros(0, np.int8), np.zeros(0, np.uint64))
-
-    def __getitem__(self, word: str) -> int:
-        number = self.numbers.get(word)
-        if number is None:
-            core, kind = canonical(word)
-            number = self.numbers[word] = len(self.cores)
-            self.cores.append(core)
-            self.kinds.append(kind)
-            self.hashes.append(_hash(core))
-        return number
+        self._new: list[tuple[int, int]] = []
 
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def __missing__(self, word: bytes) -> int:
+        core, kind = canonical(word.decode("utf-8"))
+        number = self[word] = len(self.cores)
+        self.cores.append(core)
+        self._new.append((kind, _hash(core)))
+        return number
 
-    def arrays(self):
-        """Kinds and hashes of all numbers; new words are added to what is there."""
-        kinds, hashes = self._arrays
-        if len(kinds) < len(self.kinds):
-            kinds = np.concatenate([kinds, np.array(self.kinds[len(kinds) :], np.int8)])
-            hashes = np.concatenate([hashes, np.array(self.hashes[len(hashes) :], np.uint64)])
-            self._arrays = kinds, hashes
-        return self._arrays
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers, kinds and hashes of words."""
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self._new:
+            end = len(self.cores)
+            if end > len(self.kinds):
+                self.kinds, self.hashes = (np.concatenate([x, np.zeros(end, x.dtype)]) for x in (self.kinds, self.hashes))
+            kinds, hashes = zip(*self._new)
+            self.kinds[end - len(kinds) : end] = kinds
+            self.hashes[end - len(kinds) : end] = np.array(hashes, np.uint64)
+            self._new = []
+        return numbers, self.kinds[numbers], self.hashes[numbers]
 
 
 _vocabulary = Vocabulary()
@@ -114,33 +104,38 @@ _mark_hashes = np.array([_hash(mark) for mark in MARKS], np.uint64)
 
 
 def _sums(values: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every ``width`` values in a row."""
-    total = np.zeros(max(0, len(values) - width + 1), np.uint64)
-    for k in range(width):
-        total += values[k : k + len(total)] * (_steps[k % 64] + np.uint64(k // 64))
-    return total ^ total >> np.uint64(31)
-
-
-def windows_of(text: str, lengths, wanted=None, whole: bool = False) -> list[tuple]:
-    """(hash, place, window, slots) of a text, in both forms, where ``wanted`` (a test of hashes) allows.
+    """Hash of every ``width`` values in a row, from hashes of 1, 2, 4, .. values."""
+    count = max(0, len(values) - width + 1)
+    total, offset, size, block = np.zeros(count, np.uint64), 0, 1, values
+    while size <= width:
+        if width & size:
+            total += block[offset : offset + count] * np.uint64(pow(_BASE, offset, 2**64))
+            offset += size
+        block = block[:-size] + block[size:] * np.uint64(pow(_BASE, size, 2**64))
+        size *= 2
+    total = (total ^ total >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return total ^ total >> np.uint64(29)
+
+
+def windows_of(raw: bytes, lengths, wanted=None, whole: bool = False) -> list[tuple]:
+    """(hash, place, window, slots) of a text in UTF-8, in both forms, where ``wanted`` (a test of hashes) allows.
 
     ``whole``: only windows of the text's own length, if that is less than the longest of ``lengths``.
     """
     vocabulary = _vocabulary
     if len(vocabulary.cores) > vocabulary.most:
-        vocabulary.clear()
-    numbers = vocabulary.of(_words(text))
-    kinds, hashes = vocabulary.arrays()
-    kind = kinds[numbers]
-    numbers, kind = numbers[kind != DROPPED], kind[kind != DROPPED]
+        vocabulary.forget()
+    # bytes.split knows the six white space characters of ASCII.
+    numbers, kind, plain = vocabulary.of(raw.split())
+    if not kind.all():
+        said = kind != DROPPED
+        numbers, kind, plain = numbers[said], kind[said], plain[said]
     if whole:
         lengths = [min(len(numbers), max(lengths))]
         if lengths[0] < LEAST_WORDS:
             return []
-    plain = hashes[numbers]
     unit = kind == UNIT
     if unit.any():
-        kind = kind.copy()
         behind = np.zeros(len(kind), bool)
         behind[1:] = kind[:-1] == NUMBER
         kind[unit & ~behind] = PLAIN
@@ -184,8 +179,8 @@ def _windows(lengths, bits=None, whole=False):
     def run(batches):
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows += [(key, *row) for row in windows_of(text.as_py(), lengths, bits and wanted, whole)]
+            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows += [(key, *row) for row in windows_of(raw.as_py(), lengths, bits and wanted, whole)]
             columns = list(zip(*rows)) or [()] * len(ARROW)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW)], schema=ARROW)
 
@@ -215,11 +210,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     another value. Items of fewer than ``LEAST_WORDS`` words are not looked for: they say too little. Null or empty
     texts hold nothing. Repeated rows count once.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), text_of().alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("id"), text_of().cast("binary").alias("raw"))
     items = land(items.mapInArrow(_windows([window], whole=True), SCHEMA), "benchmark-windows")
     # One length per item shorter than a window: at most ``window`` lengths.
     lengths = [row[0] for row in items.select(F.size(F.split("window", " ")).alias("n")).distinct().collect()]
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().cast("binary").alias("raw"))
     met = rows.mapInArrow(_windows(lengths or [window], _bit_map(items)), SCHEMA)
 
     theirs = items.select(
