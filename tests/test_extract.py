@@ -11,7 +11,7 @@ from hitlens.functions import tokens
 from hitlens.operators import categories, clean, counts, enrich, parse, runlog
 from hitlens.plans.extract import extract, requests
 from hitlens.plans.extract import run as run_extract
-from hitlens.session import land, shared_folder, size_shuffles, temporary_work
+from hitlens.session import ARCHIVE, land, shared_folder, ship_package, size_shuffles, temporary_work
 from hitlens.sinks.writers import write_partitioned
 from hitlens.sources.readers import local_table, object_store_conf, read_log_text, read_partition
 from registry.access_log import log_lines
@@ -251,6 +251,20 @@ def test_temporary_work_deletes_only_its_own(spark):
     assert not os.path.exists(inner.inputFiles()[0].removeprefix("file://"))
 
 
+def test_package_is_shipped_once(spark):
+    ship_package(spark)
+    ship_package(spark)
+    assert spark.sparkContext._python_includes.count(ARCHIVE) == 1
+
+    def places(batches):
+        import sys
+
+        for batch in batches:
+            yield batch.assign(found=any(path.endswith(ARCHIVE) for path in sys.path))
+
+    assert spark.range(1).mapInPandas(places, "id long, found boolean").first().found
+
+
 def test_shuffle_partitions_follow_the_input(spark, tmp_path):
     (tmp_path / "day").mkdir()
     (tmp_path / "day" / "x.log").write_text("x" * 10_000)
