@@ -4,8 +4,10 @@ Words are canonicalised: punctuation at their ends goes, numbers, units after nu
 typed placeholders (slots), the rest is lower-cased. A window is ``WINDOW`` such words in a row (an item with fewer
 is one window). Windows exist in two forms: literal, with every word, and as a template, with placeholders for
 slots. Documents' windows join the benchmark's by a hash and then by their full canonical text. Where a document
-follows an item (same distance between the places in both), the values in its slots must be consistent: one
-value of the item always becomes one value of the document, and different names stay different.
+follows an item (same distance between the places in both), names must be consistent: one name of the item always
+becomes one name of the document, and different names stay different. Every number and unit is a slot of its own.
+Templates of any share of slots join; what they tell is decided along the distance, by the plain words met there or
+by the share of the item's windows met.
 
 Before the join, documents' windows pass a bit map of the benchmark's hashes. Its size is fixed; with a very large
 benchmark it lets more windows through, and the join decides as before.
@@ -13,6 +15,7 @@ benchmark it lets more windows through, and the join decides as before.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -26,8 +29,10 @@ from hitlens.session import land
 
 WINDOW = 13
 LEAST_WORDS = 5
-# A template needs this share of plain words, else it says too little.
+# Template windows count if those along one distance hold as many plain words as this share of a window, or if they
+# hold any and are this share of the item's windows.
 PLAIN_SHARE = 0.6
+MET_SHARE = 0.5
 MAP_BITS = 24
 
 NUMBER_WORDS = (
@@ -118,7 +123,8 @@ def _sums(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def windows_of(raw: bytes, lengths, wanted=None, whole: bool = False) -> list[tuple]:
-    """(hash, place, window, slots) of a text in UTF-8, in both forms, where ``wanted`` (a test of hashes) allows.
+    """(hash, place, window, slots, spots, count) of a text in UTF-8, in both forms, where ``wanted`` (a test of hashes)
+    allows. ``spots`` are the places of the slots in the text, ``count`` is the text's number of windows of that width.
 
     ``whole``: only windows of the text's own length, if that is less than the longest of ``lengths``.
     """
@@ -146,27 +152,26 @@ def windows_of(raw: bytes, lengths, wanted=None, whole: bool = False) -> list[tu
     for width in lengths:
         if width > len(numbers):
             continue
-        inside = slots[width:] - slots[:-width]
-        told = (inside > 0) & (inside <= (1 - PLAIN_SHARE) * width)
-        for form, values, allowed in ((0, plain, None), (1, template, told)):
+        for form, values, allowed in ((0, plain, None), (1, template, slots[width:] > slots[:-width])):
             sums = _sums(values, width)
             hit = np.ones(len(sums), bool) if wanted is None else wanted(sums)
             for at in np.flatnonzero(hit if allowed is None else hit & allowed).tolist():
                 words = [vocabulary.cores[n] for n in numbers[at : at + width].tolist()]
-                held = []
+                held, spots = [], []
                 if form:
                     for k, one in enumerate(kind[at : at + width].tolist()):
                         if one > PLAIN:
                             held.append(f"{MARKS[one]}{words[k]}")
+                            spots.append(at + k)
                             words[k] = MARKS[one]
-                found.append((int(sums[at].astype(np.int64)), at, " ".join(words), held))
+                found.append((int(sums[at].astype(np.int64)), at, " ".join(words), held, spots, len(sums)))
     return found
 
 
-SCHEMA = "id long, hash long, place int, window string, slots array<string>"
+SCHEMA = "id long, hash long, place int, window string, slots array<string>, spots array<int>, count int"
 ARROW = pa.schema(
     [("id", pa.int64()), ("hash", pa.int64()), ("place", pa.int32()), ("window", pa.string())]
-    + [("slots", pa.list_(pa.string()))]
+    + [("slots", pa.list_(pa.string())), ("spots", pa.list_(pa.int32())), ("count", pa.int32())]
 )
 
 
@@ -218,32 +223,44 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     met = rows.mapInArrow(_windows(lengths or [window], _bit_map(items)), SCHEMA)
 
     theirs = items.select(
-        "hash", "window", F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("slots").alias("asked")
-    )
-    pairs = met.join(theirs, ["hash", "window"]).select(
+        "hash", "window", F.col("id").alias("item_id"), F.col("place").alias("item_place"),
+        F.col("slots").alias("asked"), F.col("spots").alias("asked_spots"), F.col("count").alias("n_item"),
+    )
+    last = F.col("item_place") + F.size(F.split("window", " ")) - 1
+    pairs = met.drop("spots", "count").join(theirs, ["hash", "window"]).select(
         F.col("id").alias("doc_id"),
         "item_id",
+        "n_item",
         "item_place",
         (F.col("place") - F.col("item_place")).alias("shift"),
         F.size("asked").alias("n_slots"),
-        F.arrays_zip(F.col("asked").alias("a"), F.col("slots").alias("b")).alias("pairs"),
+        F.arrays_zip(F.col("asked_spots").alias("at"), F.col("asked").alias("a"), F.col("slots").alias("b")).alias("pairs"),
+        F.array_except(F.sequence("item_place", last), "asked_spots").alias("plain"),
     )
     # What a group gathers is bounded by the item's own length.
-    along = pairs.groupBy("doc_id", "item_id", "shift").agg(
+    along = pairs.groupBy("doc_id", "item_id", "n_item", "shift").agg(
         F.collect_set("item_place").alias("places"),
         F.collect_set(F.when(F.col("n_slots") == 0, F.col("item_place"))).alias("literal"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("plain")))).alias("n_plain"),
+    )
+    # Names are slots by value, numbers and units by place.
+    is_name = lambda p: p["a"].startswith(MARKS[NAME])
+    names = F.array_distinct(
+        F.transform(F.filter("pairs", is_name), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
     )
-    names = F.filter("pairs", lambda p: p["a"].startswith(MARKS[NAME]))
-    one_value = F.size("pairs") == F.size(F.array_distinct(F.col("pairs")["a"]))
-    names_apart = F.size(names) == F.size(F.array_distinct(F.transform(names, lambda p: p["b"])))
-    told = along.withColumn("places", F.when(one_value & names_apart, F.col("places")).otherwise(F.col("literal")))
+    along = along.withColumns({"names": names, "others": F.filter("pairs", lambda p: ~is_name(p))})
+    one_to_one = [F.size("names") == F.size(F.array_distinct(F.col("names")[side])) for side in "ab"]
+    much = F.col("n_plain") >= math.ceil(PLAIN_SHARE * window)
+    most = (F.col("n_plain") > 0) & (F.size("places") >= MET_SHARE * F.col("n_item"))
+    along = along.withColumn("follows", one_to_one[0] & one_to_one[1] & (much | most))
+    told = along.withColumn("places", F.when(F.col("follows"), F.col("places")).otherwise(F.col("literal")))
     told = told.where(F.size("places") > 0)
-    changed = F.size(F.filter("pairs", lambda p: p["a"] != p["b"]))
+    changed = sum(F.size(F.filter(slots, lambda p: p["a"] != p["b"])) for slots in ("names", "others"))
     return told.groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"),
         F.size(F.array_distinct(F.flatten(F.collect_set("literal")))).cast("long").alias("n_literal"),
-        F.min(F.when(one_value & names_apart, changed).otherwise(0)).cast("long").alias("n_changed"),
+        F.min(F.when(F.col("follows"), changed).otherwise(0)).cast("long").alias("n_changed"),
     )
 
 

@@ -1,3 +1,5 @@
+import random
+
 from llm_fixtures import documents, prose  # noqa: F401
 
 from hitlens.llm import decontaminate
@@ -44,3 +46,82 @@ def test_repeated_rows_and_no_benchmark(spark, documents):
     left = decontaminate.drop_leaks(rows, benchmark)
     assert left.columns == rows.columns and [r.doc_id for r in left.collect()] == [None]
     assert decontaminate.leaks(rows, benchmark.limit(0)).count() == 0
+
+
+def brute(doc, item):
+    """Counts of an item in a document, distance by distance over all places."""
+
+    def words(text):
+        said = [c for c in map(decontaminate.canonical, (text or "").split()) if c[0]]
+        kinds = [k for _, k in said]
+        return [
+            (w, decontaminate.PLAIN if k == decontaminate.UNIT and (n == 0 or kinds[n - 1] != decontaminate.NUMBER) else k)
+            for n, (w, k) in enumerate(said)
+        ]
+
+    theirs, ours, best = words(item), words(doc), []
+    width = min(len(theirs), 13)
+    count = len(theirs) - width + 1
+    for shift in range(-len(theirs), len(ours)):
+        literal, places, pairs, plain = set(), set(), set(), set()
+        for at in range(count):
+            if at + shift < 0 or at + shift + width > len(ours):
+                continue
+            both = list(zip(range(at, at + width), theirs[at : at + width], ours[at + shift : at + shift + width]))
+            if all(a[0] == b[0] for _, a, b in both):
+                literal.add(at)
+                plain |= {k for k, _, _ in both}
+            if all(a[1] == b[1] and (a[1] > decontaminate.PLAIN or a[0] == b[0]) for _, a, b in both):
+                if any(a[1] > decontaminate.PLAIN for _, a, _ in both):
+                    places.add(at)
+                    plain |= {k for k, a, _ in both if a[1] == decontaminate.PLAIN}
+                    pairs |= {(k, *a, b[0]) for k, a, b in both if a[1] > decontaminate.PLAIN}
+        names = {(a, b) for _, a, kind, b in pairs if kind == decontaminate.NAME}
+        follows = len({a for a, _ in names}) == len({b for _, b in names}) == len(names)
+        follows = follows and (len(plain) >= 8 or bool(plain) and 2 * len(places | literal) >= count)
+        changed = sum(a != b for a, b in names) + sum(a != b for _, a, kind, b in pairs if kind != decontaminate.NAME)
+        if follows and places | literal or literal:
+            best.append((places | literal if follows else literal, literal, changed if follows else 0))
+    if best:
+        return len(set().union(*(b[0] for b in best))), len(set().union(*(b[1] for b in best))), min(b[2] for b in best)
+
+
+def test_questions_of_many_slots(spark, documents, prose):
+    items = [
+        (1, "What is 12 plus 45 minus 7"),
+        (2, "Tom has 3 apples 5 pears and 7 plums Ann has 4 apples"),
+        (3, "Tom bought 3 big red apples and then Ann sold 3 small pears"),
+        (4, "3 4 5 6 7 8 9"),
+    ]
+    changed = [
+        "What is 31 plus 8 minus 90",
+        "Bob has 6 apples 2 pears and 9 plums Eve has 5 apples",
+        "Tom bought 4 big red apples and then Ann sold 6 small pears",
+        "1 2 3 4 5 6 7",
+    ]
+    texts = [prose(k, 20) + " " + text + " " + prose(k + 9, 20) for k, text in enumerate(changed)]
+    got = found(spark, documents, texts, items)
+    assert got == {(0, 1): (1, 0, 3), (1, 2): (1, 0, 6), (2, 3): (1, 0, 2)}
+
+
+def test_number_dense_items_against_brute_force(spark, documents):
+    draw = random.Random(5)
+    kinds = (
+        lambda: str(draw.randrange(30)), lambda: draw.choice(["Tom", "Ann", "Bob"]), lambda: draw.choice(["kg", "miles"]),
+        lambda: draw.choice(["has", "apples", "and", "gives", "to"]),
+    )
+    items = [(k, " ".join(draw.choice(kinds)() for _ in range(draw.randrange(6, 40)))) for k in range(25)]
+    texts = []
+    for k in range(75):
+        words = items[k % 25][1].split()
+        renamed = dict(zip(("Tom", "Ann", "Bob"), draw.sample(["Eve", "Max", "Ann", "Zoe"], 3)))
+        words = [str(draw.randrange(99)) if w.isdigit() else renamed.get(w, w) for w in words]
+        if k >= 25:
+            begin = draw.randrange(len(words) // 2)
+            words = words[begin : begin + draw.randrange(5, 40)]
+        if k >= 50:
+            words[draw.randrange(len(words))] = draw.choice(["Eve", "has", "5"])
+        texts.append(" ".join(["x y z", *words, "z y x"]))
+    got = found(spark, documents, texts, items)
+    expected = {(d, k): n for d, text in enumerate(texts) for k, item in items if (n := brute(text, item))}
+    assert got == expected and {(k, k) for k in range(25)} <= set(got)
