@@ -2,8 +2,9 @@
 
 Words are canonicalised: punctuation at their ends goes, numbers, units after numbers and capitalised words become
 typed placeholders (slots), the rest is lower-cased. A window is ``WINDOW`` such words in a row (an item with fewer
-is one window). Windows exist in two forms: literal, with every word, and as a template, with placeholders for
-slots. Documents' windows join the benchmark's by a hash and then by their full canonical text. Where a document
+is one window). In scripts without blanks every character is a word. Windows exist in two forms: literal, with every word, and as a template, with placeholders for
+slots. Items of fewer than ``LEAST_WORDS`` words are looked for in literal form only, and those that say too little
+(``LEAST_SPOKEN``) as a whole line or a whole document. Documents' windows join the benchmark's by a hash and then by their full canonical text. Where a document
 follows an item (same distance between the places in both), names must be consistent: one name of the item always
 becomes one name of the document, and different names stay different. Every number and unit is a slot of its own.
 Templates of any share of slots join; what they tell is decided along the distance, by the plain words met there or
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,9 @@ from hitlens.session import land
 
 WINDOW = 13
 LEAST_WORDS = 5
+# With fewer words, or fewer than LEAST_WORDS where characters are words, an item is met only by a whole line or text.
+LEAST_SPOKEN = 3
+LINE = "\n"
 # Template windows count if those along one distance hold as many plain words as this share of a window, or if they
 # hold any and are this share of the item's windows.
 PLAIN_SHARE = 0.6
@@ -53,6 +58,11 @@ _edges = re.compile(r"^[\W_]+|[\W_]+$")
 _number = re.compile(r"[0-9]+(?:[.,:/][0-9]+)*(?:st|nd|rd|th|%|[a-z]{1,3})?", re.I)
 _special = dict.fromkeys(NUMBER_WORDS, NUMBER) | dict.fromkeys(UNITS, UNIT)
 _hash = xxhash.xxh3_64_intdigest
+# One character, in UTF-8, of Thai to Tibetan, Myanmar, Khmer, CJK and kana with their punctuation and full-width forms.
+_unspaced = re.compile(
+    rb"\xe0[\xb8-\xbf][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|[\xe3-\xe9][\x80-\xbf]{2}"
+    rb"|\xef[\xa4-\xab\xbc-\xbe][\x80-\xbf]|\xf0[\xa0-\xb3][\x80-\xbf]{2}"
+)
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -60,6 +70,9 @@ def canonical(word: str) -> tuple[str, int]:
     """Lower-case core of a written word and its kind; a unit counts only behind a number."""
     core = word if word.isalnum() else _edges.sub("", word)
     if not core:
+        # A vowel sign is a word of its own where characters are.
+        if len(word) == 1 and unicodedata.category(word)[0] == "M" and _unspaced.fullmatch(word.encode()):
+            return word, PLAIN
         return "", DROPPED
     lower, first = core.lower(), core[0]
     if "0" <= first <= "9":
@@ -122,24 +135,52 @@ def _sums(values: np.ndarray, width: int) -> np.ndarray:
     return total ^ total >> np.uint64(29)
 
 
-def windows_of(raw: bytes, lengths, wanted=None, whole: bool = False) -> list[tuple]:
+def spaced(raw: bytes) -> tuple[bytes, bool]:
+    """The text with blanks around characters of scripts without blanks, and whether there are any."""
+    if raw.isascii():
+        return raw, False
+    leads = np.frombuffer(raw, np.uint8)
+    # E2 leads quotes and dashes.
+    if not ((leads >= 0xE0) & (leads != 0xE2)).any():
+        return raw, False
+    raw, count = _unspaced.subn(rb" \g<0> ", raw)
+    return raw, count > 0
+
+
+def windows_of(raw: bytes, lengths, wanted=None, whole: bool = False, lines=()) -> list[tuple]:
     """(hash, place, window, slots, spots, count) of a text in UTF-8, in both forms, where ``wanted`` (a test of hashes)
     allows. ``spots`` are the places of the slots in the text, ``count`` is the text's number of windows of that width.
 
-    ``whole``: only windows of the text's own length, if that is less than the longest of ``lengths``.
+    ``whole``: only windows of the text's own length, if that is less than the longest of ``lengths``. ``lines``: numbers
+    of words of which lines, and the text, are windows too, marked ``LINE``; with ``whole``, those of texts that say too
+    little.
     """
     vocabulary = _vocabulary
     if len(vocabulary.cores) > vocabulary.most:
         vocabulary.forget()
+    raw, unspaced = spaced(raw)
     # bytes.split knows the six white space characters of ASCII.
     numbers, kind, plain = vocabulary.of(raw.split())
-    if not kind.all():
-        said = kind != DROPPED
+    said = kind != DROPPED
+    if not whole and lines:
+        ends = np.cumsum([0] + [len(line.split()) for line in raw.splitlines()])
+        ends = np.concatenate([[0], np.cumsum(said)])[ends]
+    if not said.all():
         numbers, kind, plain = numbers[said], kind[said], plain[said]
     if whole:
-        lengths = [min(len(numbers), max(lengths))]
-        if lengths[0] < LEAST_WORDS:
-            return []
+        lengths, ends = [min(len(numbers), max(lengths))], np.array([0])
+        if lengths[0] < (LEAST_WORDS if unspaced else LEAST_SPOKEN):
+            lengths, lines = [], lines and lengths if len(numbers) else ()
+        else:
+            lines = ()
+    found = []
+    for width in lines:
+        at = set(ends[:-1][np.diff(ends) == width].tolist()) | ({0} if width == len(numbers) else set())
+        at = np.array(sorted(at), np.int64)
+        sums = ~_sums(plain, width)[at]
+        for k in np.flatnonzero(np.ones(len(sums), bool) if wanted is None else wanted(sums)).tolist():
+            words = [vocabulary.cores[n] for n in numbers[at[k] : at[k] + width].tolist()]
+            found.append((int(sums[k].astype(np.int64)), int(at[k]), LINE + " ".join(words), [], [], 1))
     unit = kind == UNIT
     if unit.any():
         behind = np.zeros(len(kind), bool)
@@ -148,11 +189,12 @@ def windows_of(raw: bytes, lengths, wanted=None, whole: bool = False) -> list[tu
     slot = kind > PLAIN
     template = np.where(slot, _mark_hashes[kind], plain)
     slots = np.concatenate([[0], np.cumsum(slot)])
-    found = []
     for width in lengths:
         if width > len(numbers):
             continue
         for form, values, allowed in ((0, plain, None), (1, template, slots[width:] > slots[:-width])):
+            if form and width < LEAST_WORDS:
+                continue
             sums = _sums(values, width)
             hit = np.ones(len(sums), bool) if wanted is None else wanted(sums)
             for at in np.flatnonzero(hit if allowed is None else hit & allowed).tolist():
@@ -175,7 +217,7 @@ ARROW = pa.schema(
 )
 
 
-def _windows(lengths, bits=None, whole=False):
+def _windows(lengths, bits=None, whole=False, lines=()):
     def wanted(sums):
         where = bits.value
         first, second = sums & np.uint64(2**MAP_BITS - 1), sums >> np.uint64(64 - MAP_BITS)
@@ -185,7 +227,7 @@ def _windows(lengths, bits=None, whole=False):
         for batch in batches:
             rows = []
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows += [(key, *row) for row in windows_of(raw.as_py(), lengths, bits and wanted, whole)]
+                rows += [(key, *row) for row in windows_of(raw.as_py(), lengths, bits and wanted, whole, lines)]
             columns = list(zip(*rows)) or [()] * len(ARROW)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW)], schema=ARROW)
 
@@ -208,19 +250,22 @@ def _bit_map(windows: DataFrame):
     return windows.sparkSession.sparkContext.broadcast(found[: 2**MAP_BITS])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lines: bool = False) -> DataFrame:
     """One row per document and item it holds a window of: doc_id, item_id, n_windows, n_literal, n_changed.
 
     ``n_windows`` counts places of the item, ``n_literal`` those met word for word, ``n_changed`` slots with
-    another value. Items of fewer than ``LEAST_WORDS`` words are not looked for: they say too little. Null or empty
-    texts hold nothing. Repeated rows count once.
+    another value. ``lines``: look for items that say too little, as whole lines or documents; without it they are not
+    looked for. Null or empty texts hold nothing. Repeated rows count once.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), text_of().cast("binary").alias("raw"))
-    items = land(items.mapInArrow(_windows([window], whole=True), SCHEMA), "benchmark-windows")
+    little = range(1, LEAST_WORDS) if lines else ()
+    items = land(items.mapInArrow(_windows([window], whole=True, lines=little), SCHEMA), "benchmark-windows")
     # One length per item shorter than a window: at most ``window`` lengths.
-    lengths = [row[0] for row in items.select(F.size(F.split("window", " ")).alias("n")).distinct().collect()]
+    kinds = items.select(F.size(F.split("window", " ")).alias("n"), F.col("window").startswith(LINE).alias("line"))
+    kinds = kinds.distinct().collect()
+    lengths, little = ([row["n"] for row in kinds if row["line"] == line] for line in (False, True))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().cast("binary").alias("raw"))
-    met = rows.mapInArrow(_windows(lengths or [window], _bit_map(items)), SCHEMA)
+    met = rows.mapInArrow(_windows(lengths, _bit_map(items), lines=little), SCHEMA)
 
     theirs = items.select(
         "hash", "window", F.col("id").alias("item_id"), F.col("place").alias("item_place"),
@@ -266,5 +311,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` without a benchmark item; a row without an id stays."""
-    found = land(leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
+    found = land(leaks(docs, benchmark, lines=True).select("doc_id").distinct(), "leaks")
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)

@@ -55,7 +55,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), lines=True)
 
 
 @query

@@ -125,3 +125,20 @@ def test_number_dense_items_against_brute_force(spark, documents):
     got = found(spark, documents, texts, items)
     expected = {(d, k): n for d, text in enumerate(texts) for k, item in items if (n := brute(text, item))}
     assert got == expected and {(k, k) for k in range(25)} <= set(got)
+
+
+def test_short_items_and_texts_without_blanks(spark, documents, prose):
+    items = [
+        (1, "too short"), (2, "Who wrote Xanadu?"), (3, "中国的首都是哪里？"), (4, "小明有12个苹果，给了小红5个，还剩几个苹果？"), (5, "你好吗"),
+        (6, "ประเทศไทยมีเมืองหลวงชื่ออะไร"), (7, "Why?"),
+    ]
+    texts = [
+        "too short", prose(1, 9) + "\n Too short! \n" + prose(2, 9), prose(1, 9) + " too short " + prose(2, 9),
+        prose(3, 9) + " who wrote Xanadu " + prose(4, 9), "他问：中国的首都是哪里？没有人知道。", "题目：小明有31个苹果，给了小红8个，还剩几个苹果？",
+        "他说你好吗，我说好", "他说\n你好吗？\n好", "ถามว่าประเทศไทยมีเมืองหลวงชื่ออะไรครับ", "why\n", "— why — so", "中国的首都不是上海",
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents(list(enumerate(texts)))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, benchmark, lines=True).collect()}
+    assert got == {(0, 1), (1, 1), (3, 2), (4, 3), (5, 4), (7, 5), (8, 6), (9, 7)}
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, benchmark).collect()} == {2, 6, 10, 11}
