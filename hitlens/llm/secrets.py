@@ -3,7 +3,7 @@
 Three fixed patterns give the base spans. Beside them, every value in the context of a credential is priced: the
 cheapest way to put it together from known words, dates, repeats, walks on a keyboard and single characters
 (brute force), by dynamic programming over its characters. A value whose cheapest way costs ``MIN_BITS`` or more
-is a secret, though no fixed pattern matched it; placeholders (``password: changeme123``) are cheap.
+is a secret, unless a base span holds it whole; placeholders (``password: changeme123``) are cheap.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ CONTEXT = re.compile(
     r"""["']?[\x20\t]*(?:[:=]|=>)[\x20\t]*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;<>]+))""",
     re.I | re.A,
 )
+# A bearer's value follows a blank.
+BEARER = re.compile(r"""bearer[\x20\t]+(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;<>]+))""", re.I | re.A)
 CONTEXT_HINT = re.compile("pass|pwd|secret|token|key|credential|bearer|auth", re.I | re.A)
 MIN_BITS, LEAST_VALUE = 38.0, 8
 
@@ -130,7 +132,7 @@ cached_bits = lru_cache(maxsize=10_000)(guess_bits)
 
 
 def find_spans(text: str, min_bits: float = MIN_BITS) -> list[tuple[int, str, int]]:
-    """(start, kind, end) in order; base spans first of all, then guessed ones that overlap none of them."""
+    """(start, kind, end) in order; base spans, and guessed ones that lie in none of them whole."""
     found = []
     for match in ASSIGN.finditer(text):
         if len(match[2]) >= LEAST_ASSIGN:
@@ -147,17 +149,16 @@ def find_spans(text: str, min_bits: float = MIN_BITS) -> list[tuple[int, str, in
         ends.append(latest)
     base = list(found)
     if CONTEXT_HINT.search(text):
-        from bisect import bisect_left
+        from bisect import bisect_right
 
         starts = [start for start, _, _ in base]
-        for match in CONTEXT.finditer(text):
-            group = match.lastindex
-            value = match[group]
+        values = {match.span(match.lastindex) for names in (CONTEXT, BEARER) for match in names.finditer(text)}
+        for start, end in values:
+            value = text[start:end]
             if len(value) < LEAST_VALUE:
                 continue
-            start, end = match.span(group)
-            before = bisect_left(starts, end)
-            if before and ends[before - 1] > start:
+            before = bisect_right(starts, start)
+            if before and ends[before - 1] >= end:
                 continue
             price = cached_bits if len(value) <= 256 else guess_bits
             if price(value) >= min_bits:

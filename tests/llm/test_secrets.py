@@ -68,3 +68,17 @@ def test_scan(documents, edge_rows):
     assert by_id[99].spans == "assign:2:19,access:20:40"
     assert by_id[99].base_sha256 == hashlib.sha256(b"assign:2:19,access:20:40").hexdigest()
     assert by_id[0].base_sha256 == hashlib.sha256(b"").hexdigest() and by_id[0].spans == ""
+
+
+def test_values_that_a_base_span_only_touches():
+    text = "password: Tr0ub4dor&3#xyZ!9 and Authorization: Bearer x9Kq2vLp0Z~tR7w bearer token: kjw8!vqpz!1mx0 token=abcdef"
+    got = [(kind, text[start:end]) for start, kind, end in secrets.find_spans(text)]
+    assert got == [
+        ("assign", "password: Tr0ub4dor"),
+        ("guess", "Tr0ub4dor&3#xyZ!9"),
+        ("guess", "x9Kq2vLp0Z~tR7w"),
+        ("guess", "kjw8!vqpz!1mx0"),
+        ("assign", "token=abcdef"),
+    ]
+    assert secrets.find_spans("auth: Bearer x9Kq2vLp0Z~tR7w")[0][1] == "guess"
+    assert len(secrets.find_spans("bearer: x9Kq2vLp0Z~tR7w")) == 1
