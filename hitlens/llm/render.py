@@ -23,11 +23,22 @@ from hitlens.llm.common import text_of
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noembed", "noframes", "xmp"}
 HIDDEN = {"head", "script", "style", "template", "noscript", "iframe", "noembed", "noframes", "title", "datalist"}
-HIDDEN |= {"object", "audio", "video", "canvas", "svg", "math", "map"}
+HIDDEN |= {"object", "audio", "video", "canvas"}
+# Drawings and formulas are shown, apart from what describes or only defines; titles are hidden anywhere.
+FOREIGN = {"svg", "math"}
+FOREIGN_HIDDEN = {"desc", "defs", "metadata", "annotation", "annotation-xml"}
+# Inside these, content is HTML again; elsewhere in a drawing or formula a start tag of BREAKOUT ends it.
+INTEGRATION = {"foreignobject", "desc", "title", "annotation-xml", "mi", "mo", "mn", "ms", "mtext"}
+BREAKOUT = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta "
+    "nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+# Parts of a formula that are set apart.
+APART = {"mfrac", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mroot", "mtr"}
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr fieldset menu".split())
 BLOCK = SPACED | set(
     "address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup "
-    "html legend li main nav option optgroup section select summary tbody td tfoot th thead tr".split()
+    "html legend li main nav option optgroup section select summary tbody td tfoot th thead tr text foreignobject mtr".split()
 )
 # A start tag closes an open element of the second set, unless one of the third set is in between.
 _LIST, _TABLE = {"ul", "ol", "menu", "dir"}, {"table"}
@@ -85,12 +96,13 @@ def parse(page: str) -> Node:
     """The tree of a page; text is a plain string among the children."""
     root = Node("#root", {})
     open_nodes = [root]
+    foreign = [0]  # per open element, the depth of the drawing or formula its content belongs to
     names: dict[str, int] = {}  # open elements by name, so that an unmatched end tag costs nothing
 
     def close_to(depth: int) -> None:
         for node in open_nodes[depth:]:
             names[node.name] -= 1
-        del open_nodes[depth:]
+        del open_nodes[depth:], foreign[depth:]
 
     def close(wanted: set[str], limits: set[str]) -> None:
         if not any(names.get(name) for name in wanted):
@@ -131,15 +143,20 @@ def parse(page: str) -> Node:
             else:
                 close({name}, SCOPE - {name} if name not in SCOPE else {"table"} - {name})
             continue
-        if name in CLOSES_P and names.get("p"):
+        if foreign[-1] and name in BREAKOUT:
+            close_to(foreign[-1])
+        inside = foreign[-1]
+        if not inside and name in CLOSES_P and names.get("p"):
             close({"p"}, SCOPE | _LIST)
-        if name in IMPLIED:
+        if not inside and name in IMPLIED:
             close(*IMPLIED[name])
         node = Node(name, attributes_of(match[3]))
         open_nodes[-1].children.append(node)
-        if name in VOID:
+        if inside and name in FOREIGN_HIDDEN:
+            node.attributes["hidden"] = ""
+        if name in VOID or (match[3].endswith("/") and (inside or name in FOREIGN)):
             continue
-        if name in RAW:
+        if name in RAW and not inside:
             closing = re.compile(f"</{re.escape(name)}(?=[\\s/>]|$)[^>]*>?", re.I).search(page, at)
             if not closing and name == "noscript":
                 continue
@@ -148,6 +165,9 @@ def parse(page: str) -> Node:
             at = closing.end() if closing else end
             continue
         open_nodes.append(node)
+        if name in FOREIGN:
+            inside = inside or len(open_nodes) - 1
+        foreign.append(0 if name in INTEGRATION else inside)
         names[name] = names.get(name, 0) + 1
     return root
 
@@ -337,6 +357,8 @@ def render(root: Node, depth: int = 0) -> str:
             continue
         if name in BLOCK:
             layout.start_block(gap)
+        if parent.name in APART:
+            layout.blank = True
         if name in ("ul", "ol", "menu", "blockquote", "dd"):
             layout.indent += 1
         elif name == "li":

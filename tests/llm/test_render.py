@@ -55,3 +55,23 @@ def test_no_visible_word_is_lost(page):
 @given(st.text(alphabet="<>/!-abp\"'= &;\n", max_size=200))
 def test_never_fails(page):
     assert isinstance(visible_text(page), str)
+
+
+def test_formulas_drawings_and_maps():
+    page = (
+        "<p>If <math><mi>a</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>latex</annotation></math> then"
+        "<svg><title>t</title><desc>d</desc><defs><text>unused</text></defs><path d='M0'/><text>left</text><text>right</text>"
+        "<defs/><text>end</text></svg><map name=m><a href=x>inline</a></map>"
+    )
+    assert visible_text(page) == "If a= 1 2 then\nleft\nright\nend\ninline"
+    assert visible_text("<svg><title>x</svg><p>shown") == visible_text("<svg><defs><p>shown") == "shown"
+    assert visible_text("<desc>a</desc> <svg><foreignObject><div>b<p>c</foreignObject></svg>d").split() == ["a", "b", "c", "d"]
+
+
+TAGS = "<math> </math> <mi> </mi> <mfrac> </mfrac> <svg> </svg> <text> </text> <g/> <map> </map> <p> </p> <td> <table>".split()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*TAGS, "</table>", "<b>", "word "]), max_size=60).map("".join))
+def test_no_visible_word_is_lost_in_formulas(page):
+    assert visible_text(page).count("word") == page.count("word")
