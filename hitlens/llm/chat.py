@@ -4,8 +4,10 @@ A conversation becomes one or more windows of at most ``budget`` tokens. A windo
 turn of that role), some of the turns before it as history, and its own span of turns. Prefix sums of the turns'
 tokens choose all of that: the line of tokens is cut every ``stride``; turns that lie within a cut belong to its
 span, a turn that crosses a cut is a span of its own, and history are the turns that end at most ``history``
-tokens before the span begins. Each turn is in exactly one span; its text is a target there, if it is the
-assistant's, and masked wherever it is repeated. A turn longer than the budget is a window of its own, whole.
+tokens before the span begins, fewer where the span and the system turn leave less of the budget. Where the system turn leaves less
+than a stride, cuts are that much closer. Each turn is in exactly one span; its text is a target there, if it is the
+assistant's, and masked wherever it is repeated. Turns and the system turn are never cut: a window is over the budget
+only if one turn is, alone or together with the system turn. A system turn as long as the budget is not repeated.
 
 Written form: ``### role\\n text </turn>\\n``. Inside roles and texts the letters of that frame are written as
 codes (``ESCAPES``), so no text can contain a control string, and reading back is exact.
@@ -43,7 +45,9 @@ def unescape(text: Column, codes=ESCAPES) -> Column:
 
 
 def turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, block, at, role, piece, tokens, begin: turns in order with the tokens before them.
+    """conv_id, at, role, piece, tokens, system, begin: turns in order with the tokens before them.
+
+    ``system`` are the tokens of the conversation's system turn, null without one.
 
     Order is by turn (null last), then role and text, so repeated rows keep a place each. Null role or text: empty.
     Tokens are words of the written turn, at least one.
@@ -64,13 +68,18 @@ def turns(conversations: DataFrame) -> DataFrame:
     rows = rows.withColumns(
         {"inside": F.sum("tokens").over(upto) - F.col("tokens"), "number": F.row_number().over(order) - 1}
     )
-    totals = rows.groupBy("conv_id", "block").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("turns"))
-    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    first = (F.col("number") == 0) & (F.col("role") == "system")
+    totals = rows.groupBy("conv_id", "block").agg(
+        F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("turns"), F.max(F.when(first, F.col("tokens"))).alias("system")
+    )
+    blocks = Window.partitionBy("conv_id").orderBy("block")
+    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
         F.col("conv_id").alias("c"),
         F.col("block").alias("b"),
         F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("tokens_before"),
         F.coalesce(F.sum("turns").over(earlier), F.lit(0)).alias("turns_before"),
+        F.first("system").over(blocks.rowsBetween(Window.unboundedPreceding, 0)).alias("system"),
     )
     placed = rows.join(totals, rows["conv_id"].eqNullSafe(totals["c"]) & (rows["block"] == totals["b"]))
     return placed.select(
@@ -79,6 +88,7 @@ def turns(conversations: DataFrame) -> DataFrame:
         "role",
         "piece",
         "tokens",
+        "system",
         (F.col("tokens_before") + F.col("inside")).alias("begin"),
     )
 
@@ -89,31 +99,37 @@ def windows(
     """One row per window: conv_id, span, text, own (turns of the span), tokens, loss.
 
     ``loss`` lists the parts of ``text`` that are targets as (begin, length) in code points. ``stride`` and
-    ``history`` must leave room for a system turn in ``budget``; a system turn longer than that room goes into
-    its own window only.
+    ``history`` are the most, and must leave room for a short system turn in ``budget``.
     """
     if history > stride or history + stride >= budget:
         raise ValueError("history may not exceed stride, and both must leave room in the budget")
-    room = budget - history - stride
     rows = land(turns(conversations), "chat-turns")
+    system_tokens = F.coalesce(F.when(F.col("system") < budget, F.col("system")), F.lit(0))
+    stride = F.least(F.lit(stride), budget - system_tokens)
     end = F.col("begin") + F.col("tokens")
     cell = F.floor(F.col("begin") / stride)
     crosses = F.floor((end - 1) / stride) > cell
     # Even numbers: spans within a cut; odd ones: a turn that crosses the end of that cut.
     rows = rows.withColumn("span", cell * 2 + crosses.cast("long"))
 
-    spans = rows.groupBy("conv_id", "span").agg(F.min("begin").alias("first"), F.min("at").alias("first_at"))
+    spans = rows.groupBy("conv_id", "span").agg(
+        F.min("begin").alias("first"),
+        F.min("at").alias("first_at"),
+        F.greatest(
+            F.lit(0), F.least(F.lit(history), F.min(stride), budget - F.max(system_tokens) - F.sum("tokens"))
+        ).alias("history"),
+    )
     # History is at most a stride long, so a turn can be history of spans up to the next cut only.
     may = rows.withColumn("later", F.explode(F.sequence(F.col("span") + 1, cell * 2 + 3)))
-    heads = spans.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "first", "first_at")
+    heads = spans.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "first", "first_at", "history")
     repeated = (
         may.join(heads, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("later") == F.col("s")))
-        .where((F.col("begin") < F.col("first")) & (F.col("begin") >= F.col("first") - history))
+        .where((F.col("begin") < F.col("first")) & (F.col("begin") >= F.col("first") - F.col("history")))
         .select("conv_id", "later", "at", "role", "piece", "tokens")
     )
     # Where history reaches back to the first turn, the system turn is part of it already.
-    system = rows.where((F.col("at") == 0) & (F.col("role") == "system") & (F.col("tokens") <= room))
-    later = heads.where((F.col("first_at") > 0) & (F.col("first") > history))
+    system = rows.where((F.col("at") == 0) & (F.col("role") == "system") & (F.col("tokens") < budget))
+    later = heads.where((F.col("first_at") > 0) & (F.col("first") > F.col("history")))
     retained = system.drop("span").join(later, F.col("conv_id").eqNullSafe(F.col("c"))).select(
         "conv_id", F.col("s").alias("span"), "at", "role", "piece", "tokens"
     )

@@ -67,3 +67,22 @@ def test_no_python_in_the_plan(spark):
     rows = spark.createDataFrame([(1, 0, "user", "a")], SCHEMA)
     plan = chat.digests(chat.windows(rows))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_long_turns_and_long_system_turns(spark, prose):
+    rows, longest = [], {}
+    for conv, system in enumerate((0, 30, 300, 500, 700, 900)):
+        sizes = [40 + k * 53 % 90 for k in range(30)] + [513, 20, 700, 60, 1000, 80, 30]
+        rows += [(conv, 0, "system", prose(conv, system))] * (system > 0)
+        rows += [(conv, k + 1, ("user", "assistant")[k % 2], prose(conv + k, size)) for k, size in enumerate(sizes)]
+        longest[conv] = system
+    windows = chat.windows(spark.createDataFrame(rows, SCHEMA)).collect()
+    for row in windows:
+        own = row.text.split(chat.CLOSE)[-1 - row.own : -1]
+        system = longest[row.conv_id]
+        assert row.text.startswith("### system\n") or not system
+        needed = len(own[0].split()) + (system + 2) * (system > 0)
+        assert row.tokens <= max(chat.BUDGET, needed + 1 if row.own == 1 else 0)
+    told = read(rows, windows)
+    for conv in longest:
+        assert told[conv][0] == [(r[2], r[3]) for r in rows if r[0] == conv]
