@@ -30,10 +30,13 @@ CELLS = 4096
 CHUNK = 65536
 
 
-def sizes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source"):
-    """Number, id, source and words of every row. Null text: no words. The number tells equal rows apart."""
+def sizes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", row_column: str | None = None):
+    """Number, id, source and words of every row. Null text: no words. The number tells equal rows apart.
+
+    ``row_column`` holds the number; without it rows are numbered here, by places that another scan may not repeat.
+    """
     return docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(f"`{row_column}`") if row_column else F.monotonically_increasing_id()).alias("row"),
         F.col(id_column).alias("doc_id"),
         F.col(source_column).alias("source"),
         word_count(text_of(text_column)).alias("size"),
@@ -161,21 +164,25 @@ def mix(line: DataFrame, schedule: DataFrame, block: int) -> DataFrame:
     )
 
 
-def mixed(docs: DataFrame, least_block: int = BLOCK_WORDS, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mixed(
+    docs: DataFrame, least_block: int = BLOCK_WORDS, seed: int = 0, row_column: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The line of every row, and the mix in pieces. An empty table, or one without words, gives an empty mix."""
-    rows = land(sizes(docs), "mix-sizes")
+    rows = land(sizes(docs, row_column=row_column), "mix-sizes")
     shares = land(targets(rows), "mix-targets")
     block = block_words(rows, least_block)
     line = land(lines(rows, shares, seed), "mix-lines")
     return line, mix(line, slots(shares, block), block)
 
 
-def words_taken(docs: DataFrame, least_block: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
+def words_taken(
+    docs: DataFrame, least_block: int = BLOCK_WORDS, seed: int = 0, row_column: str | None = None
+) -> DataFrame:
     """Per row: row, doc_id, size, source_size, target, taken.
 
     Repeated rows are rows of their own. A null source is a source, the last. Rows without words take none.
     """
-    line, pieces = mixed(docs, least_block, seed)
+    line, pieces = mixed(docs, least_block, seed, row_column)
     taken = pieces.groupBy("row").agg(F.sum("length").alias("taken"))
     return line.join(taken, "row", "left").select(
         "row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
@@ -183,13 +190,16 @@ def words_taken(docs: DataFrame, least_block: int = BLOCK_WORDS, seed: int = 0)
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs``, a stored table, as often as the mix takes them, its share of a text rounded (half up).
+    """Rows of ``docs`` as often as the mix takes them, its share of a text rounded (half up).
+
+    Rows are numbered once and stored with their numbers, so it does not matter how scans deal them to tasks.
 
     Only the document at the cut of a source is taken in part, so the words stay within one document of the
     target. The columns are those of ``docs``.
     """
     share = F.col("taken") / F.greatest(F.col("size"), F.lit(1))
-    times = words_taken(docs).select(F.col("row").alias("mix row"), F.floor(share + 0.5).cast("int").alias("mix times"))
     numbered = docs.select(F.monotonically_increasing_id().alias("mix row"), *docs.columns)
+    numbered = land(numbered, "mix-documents")
+    times = words_taken(numbered, row_column="mix row").select(F.col("row").alias("mix row"), F.floor(share + 0.5).cast("int").alias("mix times"))
     repeated = numbered.join(times.where("`mix times` > 0"), "mix row")
     return repeated.withColumn("mix row", F.explode(F.sequence(F.lit(1), F.col("mix times")))).select(*docs.columns)

@@ -73,3 +73,25 @@ def test_documents_repeat(documents):
     assert mixed.columns == table.columns
     counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert counts[0] == counts[1] == 3 and all(counts.get(k, 0) <= 1 for k in range(2, 30))
+
+
+def test_scans_may_deal_rows_anew(spark, documents, prose, tmp_path, monkeypatch):
+    rows = [(k, prose(k, 10 + k % 7), "ab"[k % 2]) for k in range(160)]
+    documents(rows, clashing=False).repartition(8).write.parquet(str(tmp_path / "docs"))
+    docs, bytes_key = spark.read.parquet(str(tmp_path / "docs")), "spark.sql.files.maxPartitionBytes"
+
+    def counts():
+        return sorted((r.doc_id, r["count"]) for r in mixing.mix_documents(docs).groupBy("doc_id").count().collect())
+
+    expected, before, land = counts(), spark.conf.get(bytes_key), mixing.land
+
+    def landed(df, name):
+        found = land(df, name)
+        spark.conf.set(bytes_key, "1k")
+        return found
+
+    monkeypatch.setattr(mixing, "land", landed)
+    try:
+        assert counts() == expected and len(expected) > 100
+    finally:
+        spark.conf.set(bytes_key, before)
