@@ -130,3 +130,69 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(targets)::BIGINT
   sha256(targets) AS loss_sha256, formatted_chars
 FROM said JOIN sizes USING (conv_id)
 """
+
+# The checksum's table first; then words, words without one letter, and where forms lead.
+ORACLE["op11_spelling"] = r"""
+WITH RECURSIVE bytes AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc
+), runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  GROUP BY ALL
+), coded AS (
+  SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS code FROM runs WHERE length(run) >= 5
+), summed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(length(code) // 2),
+    lambda i: ('0x' || code[2 * i + 1 : 2 * i + 2])::BIGINT)),
+    lambda c, b: xor(c // 256, crc[xor(c % 256, b) + 1]))) AS h
+  FROM coded, bytes
+), cut AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM summed
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), shorter AS (
+  SELECT word, n, i, word[: i - 1] || word[i + 1 :] AS rest FROM words, unnest(range(1, length(word) + 1)) AS t(i)
+), near AS (
+  SELECT a.word, b.word AS other, b.n FROM shorter a JOIN shorter b USING (rest, i) WHERE a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON b.word = a.rest
+  UNION SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON b.word = a.rest
+), best AS (
+  SELECT word, count(*) AS n_near, max(n) AS most FROM near GROUP BY word
+), firsts AS (
+  SELECT best.word, n_near, most, min(other) AS least FROM best JOIN near ON near.word = best.word AND n = most GROUP BY ALL
+), forms AS (
+  SELECT words.word, words.n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN most >= 2 * words.n THEN least END AS form, CASE WHEN most >= 2 * words.n THEN most END::BIGINT AS form_n
+  FROM words LEFT JOIN firsts USING (word)
+), ways AS (
+  SELECT word, word AS at FROM forms
+  UNION ALL
+  SELECT ways.word, form FROM ways JOIN forms ON forms.word = ways.at WHERE form IS NOT NULL
+)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN ways w USING (word) JOIN forms e ON e.word = w.at AND e.form IS NULL
+"""
+
+ORACLE["op13_negatives"] = r"""
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other,
+    list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM usable a JOIN usable b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+), negatives AS (
+  SELECT anchor_id, positive_id, positive_score, other AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INTEGER AS rank
+  FROM positives JOIN scored USING (anchor_id)
+  WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 3
+"""

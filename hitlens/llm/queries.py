@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitlens.llm import chat, codes, decontaminate, exact, mixing, near, quality, render, secrets, substrings
+from hitlens.llm import chat, codes, decontaminate, exact, mixing, near, negatives, packing, quality, render, secrets
+from hitlens.llm import spelling, substrings
 from hitlens.llm.common import table
 from hitlens.session import ship_package
 
@@ -93,3 +94,19 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.content_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pieces(table(spark, sf_dir, "documents"), vocabulary_path())
+    return found.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))

@@ -11,7 +11,7 @@ from hitlens.llm.queries import QUERIES
 
 
 def test_names():
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(ORACLE) < set(QUERIES)
 
 
@@ -25,6 +25,7 @@ def test_equals_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_edge_cases_and_empty_tables(spark, name, documents, edge_rows, tmp_path):
     conversations = [(1, 0, None, None), (1, 1, "assistant", ""), (None, None, "user", "x"), (1, 0, None, None)]
+    vectors = [(50, [0.5, 0.5], 1), (50, [0.5, 0.5], 1), (None, None, None), (1, [0.4, None], 2), (2, [0.4, 0.4], 2), (3, [0.5], 1)]
     pages = [(1, "u", None), (2, None, ""), (None, "u", "<p>a")]
     for kind in ("full", "empty"):
         folder = tmp_path / kind
@@ -33,6 +34,7 @@ def test_edge_cases_and_empty_tables(spark, name, documents, edge_rows, tmp_path
             "labels": spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int"),
             "benchmark": spark.createDataFrame([(1, "one two three four five six"), (2, None), (None, "")], "item_id long, text string"),
             "conversations": spark.createDataFrame(conversations, "conv_id long, turn long, role string, text string"),
+            "embeddings": spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int"),
             "pages": spark.createDataFrame(pages, "page_id long, url string, html string"),
         }
         for table, rows in parts.items():
