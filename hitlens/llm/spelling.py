@@ -33,8 +33,8 @@ DELETE_EVERY = 97
 GROUPS = "e a i o n t s r lu dc mpgb fhvwkjxyzq".split()
 LEVELS = len(GROUPS) + 2
 LEAF, SEARCHES = 4096, 16384
-# Pairs whose vectors a task compares at a time, and words of a node that need no more branching.
-CELLS, FEW = 2**18, 32
+# Pairs whose vectors a task compares at a time, words of a node that need no more branching, letters compared in rows.
+CELLS, FEW, WIDTH = 2**18, 32, 64
 
 
 def words(docs: DataFrame, delete_every: int = DELETE_EVERY) -> DataFrame:
@@ -146,6 +146,19 @@ def one_edit(a: str, b: str) -> bool:
     return a[place:] == b[place + 1 :]
 
 
+def letters(found: list[bytes], width: int) -> np.ndarray:
+    """The first ``width`` letters of each word, filled up with zeros."""
+    return np.frombuffer(b"".join(one[:width].ljust(width, b"\0") for one in found), np.uint8).reshape(-1, width)
+
+
+def one_edit_rows(a: np.ndarray, b: np.ndarray, longer: np.ndarray) -> np.ndarray:
+    """``one_edit`` of words as rows of ``letters``; ``longer`` where b has a letter more."""
+    differ = a != b
+    first = differ.argmax(axis=1)
+    shifted = (a[:, :-1] != b[:, 1:]) & (np.arange(a.shape[1] - 1) >= first[:, None])
+    return np.where(longer, ~shifted.any(axis=1), differ.sum(axis=1) == 1)
+
+
 def leaf_pairs(entries: np.ndarray, entry_rows: np.ndarray, searches: np.ndarray, search_rows: np.ndarray):
     """Places of searches and entries whose vectors are within the budget."""
     step = max(1, CELLS // len(entry_rows))
@@ -199,22 +212,32 @@ def _links(batches):
             sides = [np.flatnonzero(side) for side in (is_entry, ~is_entry)]
             if not all(len(side) for side in sides):
                 continue
-            tables = [vectors([found[k].encode("latin-1") for k in side.tolist()]) for side in sides]
+            raw = [one.encode("latin-1") for one in found]
+            tables = [vectors([raw[k] for k in side.tolist()]) for side in sides]
+            width = min(WIDTH, max(map(len, raw)))
+            rows_of = letters(raw, width)
             # A pair that both halves bring together counts by its first half.
             by_last = "/s/" in node
             links = []
             for a, b in depth_first(*tables):
                 vector_a, vector_b = tables[1][a], tables[0][b]
                 apart = vector_a != vector_b
-                first = apart.argmax(axis=1)
-                rows_of = np.arange(len(a))
-                rising = vector_a[rows_of, first] < vector_b[rows_of, first]
-                for x, y, differ, up in zip(sides[1][a].tolist(), sides[0][b].tolist(), apart.any(axis=1).tolist(), rising.tolist()):
-                    word, near = found[x], found[y]
-                    if (up if differ else word < near) and one_edit(word, near):
-                        half = len(near) // 2
-                        if not (by_last and word[:half] == near[:half]):
-                            links += [(word, near, n[y]), (near, word, n[x])]
+                places, first = np.arange(len(a)), apart.argmax(axis=1)
+                longer = vector_b[:, 0] > vector_a[:, 0]
+                rising = vector_a[places, first] < vector_b[places, first]
+                x, y = sides[1][a], sides[0][b]
+                # Of the same vector the pair is met from both sides.
+                once = np.where(apart.any(axis=1), rising, True)
+                short = vector_b[:, 0] <= width
+                near = np.ones(len(a), bool)
+                near[short] = one_edit_rows(rows_of[x[short]], rows_of[y[short]], longer[short])
+                for place in np.flatnonzero(once & near).tolist():
+                    word, other = found[x[place]], found[y[place]]
+                    if not (short[place] or one_edit(word, other)) or (not apart[place].any() and word >= other):
+                        continue
+                    half = len(other) // 2
+                    if not (by_last and word[:half] == other[:half]):
+                        links += [(word, other, n[y[place]]), (other, word, n[x[place]])]
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*links), LINK_ARROW)], schema=LINK_ARROW)
 
