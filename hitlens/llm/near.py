@@ -8,8 +8,10 @@ shrinking, which only sets that are alike do.
 
 Final nodes are compared exhaustively by signature, very large ones in blocks, and pass on a maximum spanning
 forest of their possible links: fewer links than classes, however many pairs there are. What these connect is a
-cluster; a class is in one cluster only, and its full text goes there once. Within a cluster all pairs of full sets
-are compared, a large cluster block against block, and every member leaves with its component and its links.
+cluster. The first ``FIRST_ROOTS`` roots go ahead; a node of the others is left out if all its classes are in one
+cluster already, as those of a large group of copies are. A class is in one cluster only, and its full text goes there
+once. Within a cluster all pairs of full sets are compared, a large cluster block against block, and every member
+leaves with its component and its links.
 
 Chance that a pair of similarity 0.75 is missed: below 1e-7 by the trees (``TREES`` times ``ROOT_BRANCHES`` chosen
 coordinates), below 1e-5 by the signature test. Higher similarities are missed less.
@@ -18,6 +20,7 @@ coordinates), below 1e-5 by the signature test. Higher similarities are missed l
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,7 @@ LINK_PERCENT = 75
 COORDINATES = 64
 POSSIBLE = 30  # of the coordinates equal; a pair of similarity 0.75 has 48 on average
 TREES, ROOT_BRANCHES, BRANCHES = 8, 2, 2
+FIRST_ROOTS = 4
 LEAF, DEPTH, SHRINK = 1024, 5, 0.8
 # Classes, and shingles, of a block in a comparison.
 BLOCK, BLOCK_SHINGLES = 1024, 2**21
@@ -123,7 +127,8 @@ def document_sets(docs: DataFrame) -> DataFrame:
 # Branching
 
 
-NODE_ARROW = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("above", pa.int64())])
+NODE_SCHEMA = "node long, doc_id long, label long, above long"
+NODE_ARROW = pa.schema([(name, pa.int64()) for name in ("node", "doc_id", "label", "above")])
 
 
 def children(nodes: np.ndarray, signature: np.ndarray, branches: int) -> np.ndarray:
@@ -135,15 +140,15 @@ def children(nodes: np.ndarray, signature: np.ndarray, branches: int) -> np.ndar
     return mixed(nodes[:, None] + (values << np.uint64(8)) + picks + np.uint64(1))
 
 
-def _roots(batches):
+def _roots(first: int, last: int, batches):
     # A root takes its own coordinates, so together the trees use as many different ones as they can.
-    tree = np.repeat(np.arange(TREES, dtype=np.uint64), ROOT_BRANCHES)
-    picks = np.arange(TREES * ROOT_BRANCHES) % COORDINATES
+    tree = np.repeat(np.arange(TREES, dtype=np.uint64), ROOT_BRANCHES)[first:last]
+    picks = (np.arange(TREES * ROOT_BRANCHES) % COORDINATES)[first:last]
     for batch in batches:
         values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
         nodes = mixed((values[:, picks].astype(np.uint64) << np.uint64(20)) + (tree << np.uint64(8)) + picks.astype(np.uint64))
-        ids = np.repeat(batch.column("doc_id").to_numpy(), len(picks))
-        columns = [nodes.ravel().astype(np.int64), ids, np.full(len(ids), 2**62)]
+        ids, labels = (np.repeat(batch.column(name).to_numpy(), len(picks)) for name in ("doc_id", "label"))
+        columns = [nodes.ravel().astype(np.int64), ids, labels, np.full(len(ids), 2**62)]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=NODE_ARROW)
 
 
@@ -152,16 +157,18 @@ def _branches(batches):
         nodes = batch.column("node").to_numpy().astype(np.uint64)
         values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
         found = [children(nodes[k : k + 1], values[k], BRANCHES)[0] for k in range(len(nodes))]
-        ids = np.repeat(batch.column("doc_id").to_numpy(), BRANCHES)
-        above = np.repeat(batch.column("n").to_numpy(), BRANCHES)
-        columns = [np.concatenate(found).astype(np.int64), ids, above] if found else [[], [], []]
+        rest = [np.repeat(batch.column(name).to_numpy(), BRANCHES) for name in ("doc_id", "label", "n")]
+        columns = [np.concatenate(found).astype(np.int64), *rest] if found else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=NODE_ARROW)
 
 
-def final_nodes(classes: DataFrame) -> DataFrame:
-    """node, n, doc_id: members of the nodes to compare; nodes of the same members are one."""
-    schema = "node long, doc_id long, above long"
-    members = land(classes.mapInArrow(_roots, schema), "near-level")
+def final_nodes(classes: DataFrame, first: int = 0, last: int = TREES * ROOT_BRANCHES) -> DataFrame:
+    """node, n, doc_id: members of the nodes to compare, of roots ``first`` to ``last``; nodes of the same members are one.
+
+    ``classes`` has doc_id, label, signature. A node whose classes all have one label is left out.
+    """
+    members = land(classes.select("doc_id", "label", "signature").mapInArrow(partial(_roots, first, last), NODE_SCHEMA), "near-level")
+    signed = classes.select("doc_id", "signature")
     finals = []
     for level in range(1, DEPTH + 1):
         nodes = members.groupBy("node").agg(
@@ -169,16 +176,19 @@ def final_nodes(classes: DataFrame) -> DataFrame:
             F.bit_xor(F.xxhash64("doc_id")).alias("mark"),
             F.min("doc_id").alias("least"),
             F.max("above").alias("above"),
+            F.min("label").alias("low"),
+            F.max("label").alias("high"),
         )
         small = (F.col("n") <= LEAF) | (F.col("n") >= SHRINK * F.col("above")) | F.lit(level == DEPTH)
-        nodes = land(nodes.where("n > 1").withColumn("final", small), "near-nodes")
+        nodes = land(nodes.where("n > 1 and low < high").withColumn("final", small), "near-nodes")
         same = nodes.where("final").groupBy("n", "mark", "least").agg(F.min("node").alias("node"))
         finals.append((members, land(same, "near-final")))
         large = nodes.where("not final").select("node", "n")
         if large.isEmpty():
             break
-        wide = members.select("node", "doc_id").join(large, "node").join(classes, "doc_id")
-        members = land(wide.select("node", "n", "doc_id", "signature").mapInArrow(_branches, schema).distinct(), "near-level")
+        wide = members.select("node", "doc_id", "label").join(large, "node").join(signed, "doc_id")
+        wide = wide.select("node", "n", "doc_id", "label", "signature")
+        members = land(wide.mapInArrow(_branches, NODE_SCHEMA).distinct(), "near-level")
     found = None
     for members, same in finals:
         part = members.select("node", "doc_id").join(same.select("node", "n", "mark", "least"), "node")
@@ -248,6 +258,23 @@ def possible_links(members: DataFrame, classes: DataFrame) -> DataFrame:
     return dealt.select(*key, "block", "doc_id", "signature").mapInArrow(_compare, "a long, b long").distinct()
 
 
+def possible_clusters(classes: DataFrame) -> DataFrame:
+    """node, label: classes connected by possible links.
+
+    The first roots connect what is very alike. In the nodes of all others, which a large group of copies would fill
+    with the same members once more, only classes of several clusters have something to tell.
+    """
+    alone = classes.withColumn("label", F.col("doc_id"))
+    first = components(possible_links(final_nodes(alone, 0, FIRST_ROOTS), classes))
+    first = land(first, "near-first")
+    labels = first.withColumnRenamed("node", "doc_id")
+    labelled = classes.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    labelled = land(labelled.select("doc_id", "label", "signature"), "near-labelled")
+    more = possible_links(final_nodes(labelled, FIRST_ROOTS), classes)
+    stars = first.select(F.col("label").alias("a"), F.col("node").alias("b"))
+    return components(more.unionByName(stars))
+
+
 # Confirmation on full sets
 
 
@@ -333,8 +360,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("doc_id"),
     )
     classes = land(classes, "near-classes")
-    members = final_nodes(classes.select("doc_id", "signature"))
-    clusters = components(possible_links(members, classes))
+    clusters = possible_clusters(classes)
     links = land(confirmed(clusters, classes, docs), "near-links")
     labels = components(links.select("a", "b"))
 
