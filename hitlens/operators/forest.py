@@ -20,14 +20,13 @@ from pyspark.sql import types as T
 
 from hitlens.operators import tree_kernels
 from hitlens.operators.tree_kernels import Forest, grow_trees
-from hitlens.session import broadcast_if_small, land, size_checked, work_path
+from hitlens.session import broadcast_if_small, land, size_checked
 
 # Executors get the array code with the function, whether or not they have the package.
 cloudpickle.register_pickle_by_value(tree_kernels)
 
 TREES_PER_CHUNK = 50
-NODE_BYTES = 40
-BROADCAST_BYTES = 256 * 1024 * 1024
+ROWS_PER_TASK = 100_000
 UNIT = 2.0**-53
 
 NODES = T.StructType(
@@ -164,47 +163,21 @@ def fit_forest(
     return samples.groupBy("forest_group", "chunk").applyInArrow(grow, schema)
 
 
-def _waves(forest: DataFrame, limit: int) -> list[list[str]]:
-    """Groups whose trees fit the broadcast limit together. One row per group is read."""
-    waves, used = [], limit
-    for row in forest.groupBy("forest_group").count().orderBy("forest_group").collect():
-        need = row["count"] * NODE_BYTES
-        if used + need > limit or not waves:
-            waves.append([])
-            used = 0
-        waves[-1].append(row.forest_group)
-        used += need
-    return waves
-
-
-def _score_with(nodes: pa.Table, spark, group: str, indices: Column, values: Column) -> Column:
-    arrays = {}
-    names = nodes["forest_group"].to_numpy(zero_copy_only=False)
-    columns = {c: nodes[c].to_numpy() for c in nodes.column_names if c != "forest_group"}
-    for name in set(names):
-        mine = names == name
-        arrays[name] = {c: v[mine] for c, v in columns.items()}
-    shared = spark.sparkContext.broadcast(arrays)
-    del arrays
-    packed: dict[str, Forest] = {}
-
-    @F.arrow_udf(T.DoubleType())
-    def score(groups: pa.Array, idx: pa.Array, val: pa.Array) -> pa.Array:
-        import numpy as np
-
-        codes = groups.dictionary_encode()
-        out = np.full(len(groups), np.nan)
-        where = codes.indices.to_numpy(zero_copy_only=False)
-        for code, name in enumerate(codes.dictionary.to_pylist()):
-            if name not in shared.value:
-                continue
-            if name not in packed:
-                packed[name] = Forest(shared.value[name])
-            rows = np.flatnonzero(where == code)
-            out[rows] = packed[name].score(idx.take(pa.array(rows)), val.take(pa.array(rows)))
-        return pa.array(out, mask=np.isnan(out))
-
-    return score(F.col(group), indices, values), shared
+def pack_forest(forest: DataFrame) -> DataFrame:
+    """forest_group, trees: a group's node rows as one binary value of bounded size (trees times samples)."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.drop_columns(["forest_group"]).schema) as stream:
+            stream.write_table(table.drop_columns(["forest_group"]))
+        return pa.table({"forest_group": table["forest_group"].slice(0, 1), "trees": [sink.getvalue().to_pybytes()]})
+
+    return forest.drop("size").groupBy("forest_group").applyInArrow(pack, "forest_group string, trees binary")
+
+
+def unpack_forest(trees: bytes) -> Forest:
+    table = pa.ipc.open_stream(trees).read_all()
+    return Forest({name: table[name].to_numpy() for name in table.column_names})
 
 
 def score_forest(
@@ -213,42 +186,43 @@ def score_forest(
     group: str,
     features: str | Sequence[str] = "features",
     output: str = "outlierScore",
-    broadcast_bytes: int = BROADCAST_BYTES,
     keep: Sequence[str] | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Outlier score of every row by its own group's trees; NULL without trees. Stored.
 
-    The trees of a group are of bounded size (trees times samples). Groups are
-    packed into waves that fit the broadcast limit. A wave is broadcast, its rows
-    are scored and appended to the result, and it is destroyed before the next, so
-    the driver and the executors hold one wave at a time. Each wave reads only its
-    own groups, which a table partitioned by group turns into a partition filter.
-    ``forest`` is read several times and should be a stored table. ``keep`` names
-    the columns to store beside the score, all of them by default.
+    Rows meet their trees in a shuffle by group, all groups in one pass. A group of more than ``rows_per_task`` rows
+    is dealt to several tasks by a hash of its columns, and its trees, packed as one value, go to each. So a task holds
+    one group's trees and a bounded number of rows at a time, and the driver holds neither. ``df`` is read twice and
+    should be stored. ``keep`` names the columns to store beside the score: by default all but the feature vector.
     """
-    spark = df.sparkSession
     indices, values = feature_columns(features)
-    waves = _waves(forest, broadcast_bytes)
-    if not waves:
-        return df.withColumn(output, F.lit(None).cast("double"))
-    path, done, schema = work_path(spark, "scores"), [], None
-    for i, wave in enumerate(waves):
-        rows = df
-        if len(waves) > 1:
-            last = i == len(waves) - 1
-            mine = F.col(group).isin(*wave)
-            rest = F.col(group).isNull() | ~F.col(group).isin(*done) if last else mine
-            rows = df.filter(rest)
-        nodes = forest.filter(F.col("forest_group").isin(*wave)).drop("size").toArrow()
-        scores, shared = _score_with(nodes, spark, group, indices, values)
-        part = rows.withColumn(output, scores)
-        if keep is not None:
-            part = part.select(*keep, output)
-        part.write.mode("append").parquet(path)
-        schema = part.schema
-        shared.destroy()
-        done += wave
-    return spark.read.schema(schema).parquet(path)
+    keep = list(keep if keep is not None else (name for name in df.columns if name != features))
+    shares = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows_per_task)).alias("_shares")
+    sizes = df.groupBy(F.col(group).alias("forest_group")).agg(shares)
+    packed = land(pack_forest(forest).join(sizes, "forest_group"), "packed-forest")
+
+    known = broadcast_if_small(packed.select(F.col("forest_group").alias("_site"), "_shares"))
+    rows = df.withColumns({"_site": F.col(group), "_indices": indices, "_values": values}).join(known, "_site", "left")
+    hashable = [field.name for field in df.select(keep).schema if not isinstance(field.dataType, T.MapType)]
+    share = F.pmod(F.xxhash64(*hashable, "_indices", "_values"), F.col("_shares"))
+    dealt = rows.filter("_shares IS NOT NULL").select(*keep, "_site", share.alias("_share"), "_indices", "_values")
+    trees = packed.select(
+        F.col("forest_group").alias("_site"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1)).alias("_share"),
+        "trees",
+    )
+
+    def score(requests: pa.Table, own: pa.Table) -> pa.Table:
+        scores = [] if not len(requests) else unpack_forest(own["trees"][0].as_py()).score(
+            requests["_indices"], requests["_values"]
+        )
+        return requests.select(keep).append_column(output, pa.array(scores, pa.float64()))
+
+    schema = T.StructType([*df.select(keep).schema.fields, T.StructField(output, T.DoubleType())])
+    scored = dealt.groupBy("_site", "_share").cogroup(trees.groupBy("_site", "_share")).applyInArrow(score, schema)
+    without = rows.filter("_shares IS NULL").select(*keep, F.lit(None).cast("double").alias(output))
+    return land(scored.unionByName(without), "scores")
 
 
 def score_thresholds(

@@ -143,32 +143,43 @@ def test_result_does_not_depend_on_partitions_or_copies(spark):
     assert drawn.groupBy("forest_group", "chunk", "sample_key").count().filter("count > 1").isEmpty()
 
 
-def test_waves_give_the_same_scores(spark):
+def test_shares_of_a_hot_group_give_the_same_scores(spark, monkeypatch):
     table = points(spark, groups=("a", "b", "c"))
-    more = table.union(spark.createDataFrame([("none", 1, 0.0, 0.0, 0.0)], table.schema))
+    odd = [("none", 1, 0.0, 0.0, 0.0), (None, 2, 0.0, 0.0, 0.0)]
+    more = land(table.union(spark.createDataFrame(odd, table.schema)), "points")
     nodes = fit(table)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", None)
+    monkeypatch.setattr(type(nodes), "toArrow", None)
     whole = forest.score_forest(more, nodes, "site", ["x", "y", "z"])
-    live = []
-    inner = spark.sparkContext.broadcast
-
-    def counted(value):
-        assert not any(shared._jbroadcast.isValid() for shared in live)
-        live.append(inner(value))
-        return live[-1]
-
-    spark.sparkContext.broadcast = counted
-    try:
-        waved = forest.score_forest(more, nodes, "site", ["x", "y", "z"], broadcast_bytes=1)
-    finally:
-        del spark.sparkContext.broadcast
-    assert len(live) == 3
-    assert len(forest._waves(nodes, 1)) == 3
+    shared = forest.score_forest(more, nodes, "site", ["x", "y", "z"], rows_per_task=30)
+    assert whole.columns == [*more.columns, "outlierScore"]
     key = ["site", "id"]
-    left = whole.orderBy(key).toPandas()
-    assert left.equals(waved.orderBy(key).toPandas())
-    assert left[left.site == "none"].outlierScore.isna().all()
-    known = left[left.site != "none"].outlierScore
-    assert ((known > 0) & (known <= 1)).all()
+    left = whole.orderBy(key).collect()
+    assert left == shared.orderBy(key).collect() and len(left) == more.count()
+    assert all((row.outlierScore is None) == (row.site in ("none", None)) for row in left)
+    assert all(0 < row.outlierScore <= 1 for row in left if row.outlierScore)
+
+
+def test_many_groups_are_scored_in_one_pass(spark):
+    table = points(spark, rows=4, groups=tuple(f"site{k}" for k in range(150)))
+    nodes = fit(table, trees=3)
+    scored = forest.score_forest(land(table, "points"), nodes, "site", ["x", "y", "z"]).toPandas()
+    assert scored.outlierScore.notna().all() and scored.site.nunique() == 150
+
+
+def test_vectors_and_a_forest_without_rows(spark):
+    table = points(spark)
+    nodes = fit(table)
+    vectors = table.select("site", "id", F.expr("array(x, y, z)").alias("v"))
+    from pyspark.ml.functions import array_to_vector
+
+    vectors = vectors.select("site", "id", array_to_vector("v").alias("features"))
+    scored = forest.score_forest(vectors.where("site = 'a'"), nodes, "site")
+    assert scored.columns == ["site", "id", "outlierScore"]
+    plain = forest.score_forest(table.where("site = 'a'"), nodes, "site", ["x", "y", "z"])
+    key = ["site", "id"]
+    assert scored.orderBy(key).collect() == plain.select(scored.columns).orderBy(key).collect()
+    assert forest.score_forest(vectors, nodes.limit(0), "site").where("outlierScore IS NOT NULL").isEmpty()
 
 
 @pytest.mark.parametrize("buckets", [4, 4096])
