@@ -106,19 +106,27 @@ WITH rows AS (
   SELECT *, row_number() OVER c - 1 AS place,
     (sum(tokens) OVER (c ROWS UNBOUNDED PRECEDING) - tokens)::BIGINT AS start
   FROM counted WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text)
-), spanned AS (
-  SELECT *, start // 512 * 2 + CASE WHEN (start + tokens - 1) // 512 > start // 512 THEN 1 ELSE 0 END AS span
+), headed AS (
+  SELECT *, coalesce(max(CASE WHEN place = 0 AND role = 'system' AND tokens < 1024 THEN tokens END)
+    OVER (PARTITION BY conv_id), 0) AS system
   FROM placed
+), strided AS (
+  SELECT *, least(512, 1024 - system) AS stride FROM headed
+), spanned AS (
+  SELECT *, start // stride * 2 + CASE WHEN (start + tokens - 1) // stride > start // stride THEN 1 ELSE 0 END AS span
+  FROM strided
 ), spans AS (
-  SELECT conv_id, span, min(start) AS head, min(place) AS head_place FROM spanned GROUP BY ALL
+  SELECT conv_id, span, min(start) AS head, min(place) AS head_place,
+    greatest(0, least(256, min(stride), 1024 - max(system) - sum(tokens))) AS history
+  FROM spanned GROUP BY ALL
 ), parts AS (
   SELECT conv_id, length(piece) AS n FROM spanned
   UNION ALL
   SELECT r.conv_id, length(piece) FROM spanned r JOIN spans s ON s.conv_id = r.conv_id AND start < head
-    AND start >= head - 256
+    AND start >= head - history
   UNION ALL
   SELECT r.conv_id, length(piece) FROM spanned r JOIN spans s ON s.conv_id = r.conv_id
-    AND place = 0 AND role = 'system' AND tokens <= 256 AND head_place > 0 AND head > 256
+    AND place = 0 AND role = 'system' AND tokens < 1024 AND head_place > 0 AND head > history
 ), sizes AS (
   SELECT conv_id, sum(n)::BIGINT AS formatted_chars FROM parts GROUP BY conv_id
 ), said AS (

@@ -243,15 +243,20 @@ class Layout:
         return "\n".join(self.lines).strip("\n")
 
 
+def number(text: str | None) -> int | None:
+    """The whole number that an attribute states in up to nine ASCII digits; nothing for any other text."""
+    return int(text) if re.fullmatch("-?[0-9]{1,9}", text or "") else None
+
+
 def item_mark(node: Node, parent: Node, numbers: dict[int, int]) -> str:
     if parent.name != "ol":
         return "- "
-    value = node.attributes.get("value") or ""
-    if not value.lstrip("-").isdigit():
-        first = parent.attributes.get("start") or ""
-        value = numbers.get(id(parent), int(first) if first.lstrip("-").isdigit() else 1)
-    numbers[id(parent)] = int(value) + 1
-    return f"{int(value)}. "
+    value = number(node.attributes.get("value"))
+    if value is None:
+        first = number(parent.attributes.get("start"))
+        value = numbers.get(id(parent), 1 if first is None else first)
+    numbers[id(parent)] = value + 1
+    return f"{value}. "
 
 
 def rows_of(table: Node) -> Iterator[list[Node]]:
@@ -272,8 +277,8 @@ def rows_of(table: Node) -> Iterator[list[Node]]:
 
 
 def cell_span(cell) -> int:
-    span = "" if isinstance(cell, str) else cell.attributes.get("colspan", "")
-    return min(int(span), 100) if span.isdigit() and int(span) else 1
+    span = None if isinstance(cell, str) else number(cell.attributes.get("colspan"))
+    return min(span, 100) if span and span > 0 else 1
 
 
 def table_lines(table: Node, depth: int) -> list[str]:

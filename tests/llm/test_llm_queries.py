@@ -1,5 +1,6 @@
 """Queries of the subpackage against their SQL, and over edge cases stored as tables."""
 
+import duckdb
 import pytest
 from check import same_rows, tables
 from conftest import SMALL
@@ -44,3 +45,17 @@ def test_edge_cases_and_empty_tables(spark, name, documents, edge_rows, tmp_path
             assert len(got) == (1 if name.startswith("op9") else 0)
         elif name[:4] in ("op1_", "op2_", "op4_", "op6_", "op7_", "op8_", "op10"):
             assert len(got) == len(edge_rows)
+
+
+@pytest.mark.parametrize("system_words", [1, 200, 300, 600, 1000, 1100])
+def test_chat_equals_sql_whatever_the_system_turn(spark, system_words, tmp_path):
+    rows = []
+    for conv in range(6):
+        rows.append((conv, 0, "system" if conv else "user", "s " * system_words))
+        rows += [(conv, k, ("user", "assistant")[k % 2], f"w{k} " * (1 + 97 * k * (conv + 1) % 700)) for k in range(1, 30)]
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(path)
+    got = QUERIES["op9_chat"](spark, str(tmp_path)).toPandas()
+    base = duckdb.connect()
+    base.sql(f"CREATE VIEW conversations AS SELECT * FROM '{path}/*.parquet'")
+    assert same_rows(got, base.sql(ORACLE["op9_chat"]).df()) == ""
