@@ -437,5 +437,7 @@ oracle(
 )
 oracle(
     "predict_domain",
-    "SELECT method, count(*) AS requests FROM extract WHERE domain_category = 'other' GROUP BY method",
+    """SELECT method, count(*) AS requests, true AS classes_fit, true AS chances_fit, true AS most_likely,
+         true AS labels_fit, count(DISTINCT (clean_path, clean_query_list)) > 1 AS tells_apart
+       FROM extract WHERE domain_category = 'other' GROUP BY method""",
 )

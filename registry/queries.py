@@ -579,7 +579,22 @@ def predict_domain(spark, sf):
     models = _site_models(table)
     models.classifier, _ = site.train(table, models)
     predicted = site.predict(table, models)
-    return counts.volume_by(predicted, "method").withColumnRenamed("count", "requests")
+    chances, labels = vector_to_array("probability"), models.classes.labels
+    label = F.element_at(F.array(*map(F.lit, labels)), F.col("prediction").cast("int") + 1)
+    sure = F.array_max(chances) > 0.70
+    return predicted.groupBy("method").agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.every(F.col("prediction").isin([float(k) for k in range(len(labels))])).alias("classes_fit"),
+        F.every((F.size(chances) == len(labels)) & (F.abs(_total(chances) - 1) < 1e-9)).alias("chances_fit"),
+        F.every(F.array_position(chances, F.array_max(chances)) == F.col("prediction") + 1).alias("most_likely"),
+        F.every(F.col("prediction_domain") == F.when(sure, label).otherwise("other")).alias("labels_fit"),
+        # Different requests get different chances.
+        (F.count_distinct("probability") > 1).alias("tells_apart"),
+    )
+
+
+def _total(numbers):
+    return F.aggregate(numbers, F.lit(0.0), lambda total, x: total + x)
 
 
 @query
