@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hitlens.operators.embed import embed_paths
 from hitlens.operators.features import assemble, detect_columns, detect_features
 from hitlens.operators.forest import (
     NODES,
@@ -59,12 +59,12 @@ def token_features(detector: Detector) -> Callable[[DataFrame], DataFrame]:
     )
 
 
-def embedding_features(model: Word2VecModel) -> Callable[[DataFrame], DataFrame]:
+def embedding_features(vectors: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """Adds ``features`` of scalars and the mean word vector of the URL tokens."""
 
     def prepare(requests: DataFrame) -> DataFrame:
-        embedded = model.transform(detect_columns(requests))
-        return assemble(embedded, EMBEDDED_FEATURES).drop("url_features", model.getOutputCol())
+        embedded = embed_paths(detect_columns(requests), vectors)
+        return assemble(embedded, EMBEDDED_FEATURES).drop("url_features", "url_embedding")
 
     return prepare
 

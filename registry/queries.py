@@ -676,7 +676,7 @@ def path_minhash(spark, sf):
 def path_embedding(spark, sf):
     table, _ = stored_extract(spark, sf)
     worded = land(embed.add_path_tokens(table), "path-tokens")
-    embedded = embed.fit_path_embedding(worded).transform(worded)
+    embedded = embed.embed_paths(worded, embed.fit_path_embedding(worded))
     vector = vector_to_array("url_embedding")
     return embedded.select(
         "date_time",
@@ -691,6 +691,6 @@ def path_embedding(spark, sf):
 def forest_embedding(spark, sf):
     """First detector on embedded paths instead of hashed tokens."""
     table, _ = stored_extract(spark, sf)
-    model = embed.fit_path_embedding(land(embed.add_path_tokens(table), "path-tokens"))
-    found, _ = detect.detect(table, detect.FIRST, detect.embedding_features(model))
+    vectors = embed.fit_path_embedding(land(embed.add_path_tokens(table), "path-tokens"))
+    found, _ = detect.detect(table, detect.FIRST, detect.embedding_features(vectors))
     return _labels_fit(found, detect.FIRST.contamination)

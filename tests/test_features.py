@@ -1,5 +1,6 @@
 """Feature operators on the toy inputs."""
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -45,9 +46,9 @@ def test_embedding(spark):
     rows = [(f"/api/v1/{'student' if i % 2 else 'teacher'}/{i}", []) for i in range(60)]
     table = spark.createDataFrame(rows, "clean_path string, clean_query_list array<string>")
     worded = embed.add_path_tokens(table)
-    model = embed.fit_path_embedding(worded, size=8, partitions=2)
-    assert model.getVectors().count() == 6
-    vectors = model.transform(worded).select("clean_path", vector_to_array("url_embedding").alias("v"))
+    words = embed.fit_path_embedding(worded, size=8)
+    assert words.count() == 6
+    vectors = embed.embed_paths(worded, words, size=8).select("clean_path", vector_to_array("url_embedding").alias("v"))
     by_kind = {}
     for row in vectors.collect():
         by_kind.setdefault(row.clean_path.split("/")[3], set()).add(tuple(row.v))
@@ -61,14 +62,50 @@ def test_agent_hashes(spark):
     assert len(row.v) == 32 and sum(row.v) == 3
 
 
+def _token_rows():
+    return [([f"w{k % 7}", f"w{k % 11}", "the", *(["rare"] if k == 3 else [])],) for k in range(400)] + [([],)]
+
+
 def test_word_vectors_do_not_depend_on_partitions(spark):
-    rows = [([f"w{k % 7}", f"w{k % 11}", "the"],) for k in range(400)]
-    table = spark.createDataFrame(rows, "url_features array<string>")
+    table = spark.createDataFrame(_token_rows(), "url_features array<string>")
     vectors = [
-        {r.word: list(r.vector) for r in embed.fit_path_embedding(table.repartition(n), size=5, partitions=1).getVectors().collect()}
-        for n in (1, 8)
+        {r.word: r.vector for r in embed.fit_path_embedding(table.repartition(n), size=5).collect()} for n in (1, 8)
     ]
-    assert vectors[0] == vectors[1]
+    assert vectors[0].keys() == vectors[1].keys() and "rare" not in vectors[0]
+    assert all(np.allclose(vectors[0][word], vectors[1][word], atol=1e-6) for word in vectors[0])
+
+
+def test_word_vectors_equal_a_dense_decomposition(spark):
+    """Counts, associations and inner products of the vectors against NumPy over the whole matrix."""
+    rows = _token_rows()
+    table = spark.createDataFrame(rows, "url_features array<string>")
+    total = {}
+    for (row,) in rows:
+        for i, word in enumerate(row):
+            total[word] = total.get(word, 0) + 1
+    got = {(r.word, r.near): r.n for r in embed.cooccurrences(table, "url_features", window=1).collect()}
+    words = sorted(word for word, n in total.items() if n >= 5)
+    want = {}
+    for (row,) in rows:
+        for i, word in enumerate(row):
+            want[word, word] = want.get((word, word), 0) + 1
+            if i + 1 < len(row):
+                for pair in ((word, row[i + 1]), (row[i + 1], word)):
+                    want[pair] = want.get(pair, 0) + 1
+    assert got == {pair: n for pair, n in want.items() if pair[0] in words and pair[1] in words}
+    dense = np.array([[got.get((a, b), 0) for b in words] for a in words], float)
+    margin = dense.sum(axis=1)
+    dense = np.log1p(dense * margin.sum() / np.outer(margin, margin))
+    found = {r.word: r.vector for r in embed.fit_path_embedding(table, size=20, window=1).collect()}
+    vectors = np.array([found[word] for word in words])
+    left, values, _ = np.linalg.svd(dense)
+    assert np.allclose(vectors @ vectors.T, left * values @ left.T, atol=1e-6)
+    # Fewer dimensions: the nearest words are those of the truncated decomposition.
+    found = {r.word: r.vector for r in embed.fit_path_embedding(table, size=6, window=1).collect()}
+    small, whole = np.array([found[word] for word in words]), left[:, :6] * np.sqrt(values[:6])
+    for vectors in (small, whole):
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    assert np.abs(small @ small.T - whole @ whole.T).max() < 0.02
 
 
 def test_agent_ngrams(spark):
