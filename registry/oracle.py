@@ -418,6 +418,28 @@ oracle(
     """SELECT clean_path, count(*) AS requests, 1::bigint AS signatures, length(clean_path) < 9 AS missing
        FROM requests GROUP BY clean_path""",
 )
+_SIMILAR = """, sets AS (
+  SELECT clean_path, count(*) AS requests, list_sort(list_distinct(
+    list_transform(range(1, length(clean_path) - 1), lambda i: substr(clean_path, i, 3)))) AS terms
+  FROM requests GROUP BY clean_path
+), classes AS (
+  SELECT min(clean_path) AS least, terms FROM sets WHERE len(terms) > 0 GROUP BY terms
+), pairs AS (
+  SELECT x.least AS a, y.least AS b, len(list_intersect(x.terms, y.terms))::bigint AS shared,
+    len(x.terms) + len(y.terms) - shared AS total
+  FROM classes x JOIN classes y ON x.least < y.least
+), links AS (
+  SELECT * FROM pairs WHERE 100 * shared >= 75 * total
+)
+"""
+oracle("similar_paths", _SIMILAR + "SELECT * FROM links")
+oracle(
+    "similar_path_members",
+    _SIMILAR
+    + """SELECT clean_path, requests, coalesce(c.least, clean_path) AS least,
+           (SELECT count(*) FROM links WHERE a = c.least OR b = c.least) AS n_links
+         FROM sets LEFT JOIN classes c USING (terms)""",
+)
 oracle(
     "path_embedding",
     f""", worded AS (

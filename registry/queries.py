@@ -672,6 +672,23 @@ def path_minhash(spark, sf):
     )
 
 
+def _similar_paths(spark, sf):
+    """Sets of three characters, as the given paths are short, and their links from 75 % on."""
+    sets = land(similar.path_sets(log_requests(spark, sf), 3), "path-sets")
+    return sets, similar.similar_classes(similar.set_classes(sets, "clean_path"))
+
+
+@query
+def similar_paths(spark, sf):
+    return _similar_paths(spark, sf)[1]
+
+
+@query
+def similar_path_members(spark, sf):
+    sets, links = _similar_paths(spark, sf)
+    return similar.similar_members(sets, "clean_path", links)
+
+
 @query
 def path_embedding(spark, sf):
     table, _ = stored_extract(spark, sf)
