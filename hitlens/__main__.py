@@ -40,6 +40,8 @@ def arguments() -> argparse.ArgumentParser:
     detecting.add_argument("--sites", nargs="*")
     detecting.add_argument("--detector", choices=["final", "first"], default="final")
     detecting.add_argument("--use-model", action="store_true", help="apply the forests stored under --model")
+    detecting.add_argument("--listing", help="folder for the highest anomalies of each site")
+    detecting.add_argument("--top", type=int, default=20)
     job("publish", "detected", "target").add_argument("--format", default="json")
     job("profile", "ground-truth", "report")
     return parser
@@ -92,6 +94,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             args.sites,
             detector,
             args.use_model,
+            args.listing,
+            args.top,
         )
     elif args.job == "publish":
         detect.run_publish(spark, args.detected, args.target, args.format)

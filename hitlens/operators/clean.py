@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
@@ -62,3 +63,37 @@ def numbered_slice(df: DataFrame, order: list[str], start: int, stop: int) -> Da
     """
     ordered = df.orderBy(*order)
     return ordered.limit(stop).offset(start)
+
+
+MOST_SPANS = 64
+DAY_SECONDS = 86_400
+
+
+def _within(days: list[int], seconds: str) -> Column:
+    """``seconds`` are of one of the sorted ``days``: one range per run of days, or one for all beyond 64 runs."""
+    runs = [[days[0], days[0]]]
+    for day in days[1:]:
+        if day > runs[-1][1] + 1:
+            runs.append([day, day])
+        runs[-1][1] = day
+    if len(runs) > MOST_SPANS:
+        runs = [[days[0], days[-1]]]
+    ends = [(F.lit(first * DAY_SECONDS), F.lit((last + 1) * DAY_SECONDS)) for first, last in runs]
+    return reduce(or_, [(F.col(seconds) >= start) & (F.col(seconds) < end) for start, end in ends])
+
+
+def unseen_rows(df: DataFrame, stored: DataFrame, keys: Sequence[str], seconds: str) -> DataFrame:
+    """Rows of ``df`` whose ``keys`` no row of ``stored`` has.
+
+    ``df`` should be a stored table: its days are looked up first, and of ``stored`` only rows of those days
+    are read, the ``keys`` alone. ``seconds`` is a column of epoch seconds: Spark's Parquet files keep no
+    statistics of timestamps by default, but of integers, by which the scan leaves out the row groups of
+    other days. Equal keys must have equal times. A row of ``df`` with a NULL among its keys is kept, as it
+    equals nothing.
+    """
+    day = F.floor(F.col(seconds) / DAY_SECONDS)
+    days = sorted(r[0] for r in df.filter(F.col(seconds).isNotNull()).select(day).distinct().collect())
+    if not days:
+        return df
+    there = stored.filter(_within(days, seconds)).select(*keys)
+    return df.join(there, list(keys), "left_anti").select(*df.columns)

@@ -17,6 +17,7 @@ from hitlens.operators.forest import (
     score_forest,
     score_thresholds,
 )
+from hitlens.operators.listing import highest
 from hitlens.operators.parse import REQUEST_KEY
 from hitlens.operators.runlog import now_text, run_log, volume_text
 from hitlens.session import land, require_utc
@@ -31,6 +32,9 @@ INPUT_COLUMNS = (
     "clean_query_list domain fdate_time fabstime day_of_week domain_category"
 ).split()
 EMBEDDED_FEATURES = ["fabstime", "status", "body_bytes_sent", "url_embedding"]
+LISTED_COLUMNS = (
+    "domain_category outlierScore es_time method status body_bytes_sent http_referer user_agent dec_req_uri"
+).split()
 OUTPUT_COLUMNS = INPUT_COLUMNS + ["es_time", "query_len", "outlierScore", "anomaly_bool"]
 
 
@@ -123,6 +127,13 @@ def detect(
     return label_anomalies(scored, limits, SITE).select(OUTPUT_COLUMNS), forest
 
 
+def anomaly_listing(detected: DataFrame, k: int = 20) -> DataFrame:
+    """The ``k`` anomalies of highest score of every site; equal scores in order of the other columns."""
+    ties = [c for c in LISTED_COLUMNS if c not in (SITE, "outlierScore")]
+    found = detected.filter("anomaly_bool").select(*LISTED_COLUMNS)
+    return highest(found, SITE, "outlierScore", k, ties)
+
+
 def run(
     spark: SparkSession,
     ground_truth: str,
@@ -132,9 +143,13 @@ def run(
     sites: Sequence[str] | None = None,
     detector: Detector = FINAL,
     use_model: bool = False,
+    listing: str | None = None,
+    top: int = 20,
 ) -> None:
     """Detect for the given sites, or for all in one pass.
 
+    With ``listing``, the ``top`` anomalies of each site are stored there as CSV.
+
     The forests are stored under ``model``; with ``use_model`` those stored there are
     applied. Requests of a site without a forest get no score; they are counted.
     """
@@ -153,6 +168,8 @@ def run(
     # Counts of the run come from one stored result, not from tasks that may run twice.
     table = land(table, "detected")
     write_partitioned(table, output, SITE, keep_others=True)
+    if listing:
+        write_report(anomaly_listing(table, top), listing)
     found = table.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if("anomaly_bool").alias("anomalies"),

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitlens.operators.categories import fit_encoder, fit_indexer
-from hitlens.operators.clean import complete_rows, distinct_requests
+from hitlens.operators.clean import complete_rows, distinct_requests, unseen_rows
 from hitlens.operators.enrich import OTHER, add_domain_category, add_time_columns, add_uri_columns
-from hitlens.operators.parse import add_date_parts, line_outcome, split_lines, type_fields
+from hitlens.operators.parse import REQUEST_KEY, add_date_parts, line_outcome, split_lines, type_fields
 from hitlens.operators.runlog import now_text, run_log, stored_rows, volume_text
-from hitlens.session import require_utc
+from hitlens.session import land, require_utc
 from hitlens.sinks.writers import save_category_models, write_partitioned, write_report
 from hitlens.sources.readers import read_log_text, read_table
 
@@ -35,6 +35,21 @@ def extract(lines: DataFrame, domains: Sequence[str] | DataFrame) -> DataFrame:
     return add_domain_category(requests(lines), domains)
 
 
+def append_requests(table: DataFrame, output: str) -> int:
+    """Add the requests of ``table`` that ``output`` does not hold; the number of rows it held before.
+
+    What is stored decides, so a run that is repeated, or was cut short, adds only what is missing. Two
+    runs at once are not told apart. A request that is stored keeps the category it has there.
+    """
+    spark = table.sparkSession
+    before = stored_rows(spark, output)
+    if before:
+        table = land(table, "extracted")
+        table = unseen_rows(table, read_table(spark, output, table.schema), REQUEST_KEY, "dateunixtimest")
+    write_partitioned(table, output, "domain_category", "append")
+    return before
+
+
 def run(
     spark: SparkSession,
     logs: str,
@@ -46,16 +61,20 @@ def run(
 ) -> DataFrame:
     """Store the request table once; models and counts come from the stored table.
 
-    Logs of one day after the other are added with ``mode="append"``: equal requests
-    have equal times, so copies are within a day's logs, and each run's shuffle is a
-    day's. The category models are those of everything stored.
+    Logs of one day after the other are added with ``mode="append"``: requests that are
+    stored are not added again, and each run's shuffles are a day's. The category models
+    are those of everything stored.
     """
-    start, before = now_text(), stored_rows(spark, output)
+    start = now_text()
     lines = read_log_text(spark, logs)
     table = extract(lines, domains)
-    write_partitioned(table, output, "domain_category", mode)
+    before = 0
+    if mode == "append":
+        before = append_requests(table, output)
+    else:
+        write_partitioned(table, output, "domain_category", mode)
     stored = read_table(spark, output, table.schema)
-    rows = stored_rows(spark, output) - (before if mode == "append" else 0)
+    rows = stored_rows(spark, output) - before
     outcomes = {r.outcome: r["count"] for r in line_outcome(lines).groupBy("outcome").count().collect()}
 
     methods = fit_indexer(stored, "method")

@@ -266,6 +266,7 @@ oracle(
        WHERE domain_category = (SELECT site FROM sites WHERE idx = 0)""",
 )
 oracle("partitioned_roundtrip", f"SELECT {_EXTRACT}, domain_category FROM extract")
+oracle("append_again", f"SELECT {_EXTRACT}, domain_category FROM extract")
 oracle(
     "csv_roundtrip",
     "SELECT date, domain_category, count(*) AS requests FROM extract GROUP BY ALL",
@@ -275,6 +276,16 @@ oracle(
     """SELECT date_time, remote_addr, domain_category, outlierScore,
          anomaly_bool::integer AS anomaly, anomaly_bool FROM labelled""",
 )
+oracle(
+    "anomaly_top",
+    """SELECT * FROM (
+         SELECT domain_category, outlierScore, es_time, method, status, body_bytes_sent, http_referer,
+           user_agent, dec_req_uri, row_number() OVER (PARTITION BY domain_category
+             ORDER BY outlierScore DESC, es_time, method, status, body_bytes_sent, http_referer, user_agent,
+               dec_req_uri)::integer AS place
+         FROM labelled WHERE anomaly_bool
+       ) WHERE place <= 10""",
+)
 oracle(
     "publish_rows",
     """SELECT method, status, body_bytes_sent, http_referer, user_agent, dec_req_uri, fabstime,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hitlens.functions import times, tokens, uri
 from hitlens.operators import categories, clean, counts, enrich, features, forest, metrics
 from hitlens.operators import embed, parse, runlog, similar
-from hitlens.plans import detect, site
+from hitlens.plans import detect, extract, site
 from hitlens.session import land, use_utc, work_path
 from hitlens.sinks import writers
 from hitlens.sources import readers
@@ -318,6 +318,18 @@ def partitioned_roundtrip(spark, sf):
     return stored.drop("fdate_time").withColumn("clean_query_list", joined("clean_query_list"))
 
 
+@query
+def append_again(spark, sf):
+    """Every other line is extracted first, then all lines are; the second run adds the rest only."""
+    lines = land(log_lines(spark, sf), "lines")
+    sites = [row.domain for row in top_sites(land(extract.requests(lines), "requests")).collect()]
+    path, table = work_path(spark, "by-site"), extract.extract(lines, sites)
+    extract.append_requests(extract.extract(lines.filter(F.crc32("value") % 2 == 0), sites), path)
+    extract.append_requests(table, path)
+    stored = readers.read_table(spark, path, table.schema)
+    return stored.drop("fdate_time").withColumn("clean_query_list", joined("clean_query_list"))
+
+
 @query
 def csv_roundtrip(spark, sf):
     table, _ = stored_extract(spark, sf)
@@ -344,6 +356,15 @@ def anomaly_label(spark, sf):
     )
 
 
+@query
+def anomaly_top(spark, sf):
+    """The ten highest anomalies of every site."""
+    scored, _ = _with_byte_score(spark, sf)
+    limits = forest.score_thresholds(scored, "domain_category", contamination=0.05)
+    labelled = forest.label_anomalies(scored, limits, "domain_category")
+    return detect.anomaly_listing(labelled, 10)
+
+
 @query
 def publish_rows(spark, sf):
     scored, _ = _with_byte_score(spark, sf)

@@ -170,6 +170,68 @@ def test_two_days_in_sequence(spark, tmp_path):
     assert spark.read.parquet(output).count() == 10
 
 
+def test_appending_a_file_twice_adds_nothing(spark, extracted, tmp_path):
+    logs, output = str(tmp_path / "logs"), str(tmp_path / "out")
+    log_lines(spark, SMALL).write.text(logs)
+
+    def run(mode="append", name="r"):
+        run_extract(spark, logs, output, str(tmp_path / "meta"), str(tmp_path / name), extracted[1], mode)
+        log = spark.read.option("header", "true").csv(str(tmp_path / name)).collect()
+        return {r.Metric: r.Value for r in log}["Volume"]
+
+    first = run()
+    rows = spark.read.parquet(output)
+    once = rows.count()
+    assert first == f"{once}, 21" and once == rows.select(parse.REQUEST_KEY).distinct().count()
+    assert run() == "0, 21"
+    again = spark.read.parquet(output)
+    assert again.count() == once and again.exceptAll(rows).isEmpty()
+    # A run that was cut short: what is missing comes back, the rest is not doubled.
+    kept = land(rows.filter("crc32(remote_addr) % 3 > 0"), "kept")
+    write_partitioned(kept, output, "domain_category", mode="overwrite")
+    assert run() == f"{once - kept.count()}, 21"
+    assert spark.read.parquet(output).count() == once
+
+
+def test_unseen_rows_read_the_days_in_question_only(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    for day in (1, 2, 3, 9):
+        rows = extract(spark.createDataFrame([(line(at=f"0{day}/Jan/2024:23:59:59 +0000"),)], "value string"), ["a"])
+        rows.coalesce(1).write.mode("append").parquet(path)
+    stored = spark.read.parquet(path)
+    new = land(
+        extract(
+            spark.createDataFrame(
+                [(line(at=f"0{day}/Jan/2024:23:59:59 +0000", agent=agent),) for day in (2, 9) for agent in ("agent", "new")],
+                "value string",
+            ),
+            ["a"],
+        ),
+        "new",
+    )
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    found = clean.unseen_rows(new, stored, parse.REQUEST_KEY, "dateunixtimest")
+    assert sorted((r.date, r.user_agent) for r in found.collect()) == [("02/Jan/2024", "new"), ("09/Jan/2024", "new")]
+    start, day = 1_704_067_200, 86_400
+    scan = next(x for x in plan_of(found).splitlines() if "FileScan" in x and f"{path}]" in x)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    for first, end in ((1, 2), (8, 9)):
+        assert f"GreaterThanOrEqual(dateunixtimest,{start + first * day})" in scan
+        assert f"LessThan(dateunixtimest,{start + end * day})" in scan
+    assert "clean_path" not in scan.split("ReadSchema")[1]
+    assert found.columns == new.columns
+    assert clean.unseen_rows(new.filter("false"), stored, parse.REQUEST_KEY, "dateunixtimest").isEmpty()
+    assert clean.unseen_rows(new, stored.filter("false"), parse.REQUEST_KEY, "dateunixtimest").count() == 4
+
+
+def test_many_days_become_one_range(spark, monkeypatch):
+    monkeypatch.setattr(clean, "MOST_SPANS", 2)
+    rows = [(day, day * 86_400 + 50) for day in (-3, 1, 2, 5, 9, 20)]
+    table = spark.createDataFrame(rows, "id int, t bigint")
+    left = clean.unseen_rows(table, table.filter("id in (2, 9)"), ["id"], "t")
+    assert sorted(r.id for r in left.collect()) == [-3, 1, 5, 20]
+
+
 def test_recursive_text(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "x.log").write_text("one\ntwo\n")

@@ -123,7 +123,11 @@ def test_all_jobs(spark, extracted, tmp_path):
               p["forest"], "--report", p["report"] + "/5" + one, "--sites", one,
               "--detector", "first"])
     main(["detect", "--ground-truth", p["merged"], "--output", p["detect"] + "2", "--model",
-          p["forest"], "--report", p["report"] + "/7", "--detector", "first", "--use-model"])
+          p["forest"], "--report", p["report"] + "/7", "--detector", "first", "--use-model",
+          "--listing", p["report"] + "/8", "--top", "3"])
+    listed = spark.read.option("header", "true").csv(p["report"] + "/8")
+    assert {r[0] for r in listed.select("domain_category").collect()} == set(sites[:2])
+    assert all(r["count"] <= 3 for r in listed.groupBy("domain_category").count().collect())
     reused = spark.read.parquet(p["detect"] + "2")
     assert reused.count() == merged.count()
     assert reused.filter(~F.col("domain_category").isin(sites[:2]) & F.col("outlierScore").isNotNull()).isEmpty()
