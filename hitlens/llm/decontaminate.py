@@ -2,13 +2,15 @@
 
 Words are canonicalised: punctuation at their ends goes, numbers, units after numbers and capitalised words become
 typed placeholders (slots), the rest is lower-cased. A window is ``WINDOW`` such words in a row (an item with fewer
-is one window). In scripts without blanks every character is a word. Windows exist in two forms: literal, with every word, and as a template, with placeholders for
-slots. Items of fewer than ``LEAST_WORDS`` words are looked for in literal form only, and those that say too little
-(``LEAST_SPOKEN``) as a whole line or a whole document. Documents' windows join the benchmark's by a hash and then by their full canonical text. Where a document
-follows an item (same distance between the places in both), names must be consistent: one name of the item always
-becomes one name of the document, and different names stay different. Every number and unit is a slot of its own.
-Templates of any share of slots join; what they tell is decided along the distance, by the plain words met there or
-by the share of the item's windows met.
+is one window). In scripts without blanks every character is a word. Windows exist in two forms: literal, with every
+word, and as a template, with placeholders for slots. Items of fewer than ``LEAST_WORDS`` words are looked for in
+literal form only, and those that say too little (``LEAST_SPOKEN``) as a whole line or a whole document.
+
+Documents' windows join the benchmark's by a hash and then by their full canonical text. Where a document follows an
+item (same distance between the places in both), names must be consistent: one name of the item always becomes one
+name of the document, and different names stay different. Every number and unit is a slot of its own. Templates with
+any plain word join; what they tell is decided along the distance, by the plain words met there or by the share of
+the item's windows met. Templates of slots only are compared along distances found so, never all with all.
 
 Before the join, documents' windows pass a bit map of the benchmark's hashes. Its size is fixed; with a very large
 benchmark it lets more windows through, and the join decides as before.
@@ -266,13 +268,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lines: bo
     lengths, little = ([row["n"] for row in kinds if row["line"] == line] for line in (False, True))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().cast("binary").alias("raw"))
     met = rows.mapInArrow(_windows(lengths, _bit_map(items), lines=little), SCHEMA)
+    met = land(met.drop("spots", "count"), "met-windows")
 
     theirs = items.select(
         "hash", "window", F.col("id").alias("item_id"), F.col("place").alias("item_place"),
         F.col("slots").alias("asked"), F.col("spots").alias("asked_spots"), F.col("count").alias("n_item"),
     )
+    # Windows made of slots only, as number tables are full of, say nothing alone: where a document follows an item
+    # otherwise, they are looked up at that distance, one place each.
+    words = F.size(F.split("window", " "))
+    bare, asked_bare = F.size("slots") == words, F.size("asked") == words
+    spoken = met.where(~bare).join(theirs.where(~asked_bare), ["hash", "window"])
+    shifts = spoken.select("id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+    along = shifts.join(theirs.where(asked_bare), "item_id").withColumn("place", F.col("shift") + F.col("item_place"))
+    along = along.withColumnRenamed("id", "doc").drop("shift")
+    there = met.where(bare).join(along, ["place", "hash", "window"]).where(F.col("id").eqNullSafe(F.col("doc"))).drop("doc")
+
     last = F.col("item_place") + F.size(F.split("window", " ")) - 1
-    pairs = met.drop("spots", "count").join(theirs, ["hash", "window"]).select(
+    pairs = spoken.unionByName(there).select(
         F.col("id").alias("doc_id"),
         "item_id",
         "n_item",

@@ -142,3 +142,32 @@ def test_short_items_and_texts_without_blanks(spark, documents, prose):
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, benchmark, lines=True).collect()}
     assert got == {(0, 1), (1, 1), (3, 2), (4, 3), (5, 4), (7, 5), (8, 6), (9, 7)}
     assert {r.doc_id for r in decontaminate.drop_leaks(docs, benchmark).collect()} == {2, 6, 10, 11}
+
+
+def test_windows_of_slots_only_count_along_an_item_alone(spark, documents):
+    """Long runs of numbers: tables say nothing, a re-parameterised item is met with its whole run."""
+    draw = random.Random(11)
+
+    def numbers(n):
+        return " ".join(str(draw.randrange(1, 500)) for _ in range(n))
+
+    said = "so add all of them up and write down the sum that they have"
+    items = [(0, numbers(60)), (1, f"{numbers(30)} {said}"), (2, f"{said} {numbers(25)} {said} {numbers(18)}")]
+    again = [" ".join(str(draw.randrange(500)) if w.isdigit() else w for w in text.split()) for _, text in items]
+    texts = [numbers(300), items[0][1], f"{numbers(40)} {again[1]} {numbers(40)}", again[2], again[0], f"{again[2]} {again[1]}"]
+    got = found(spark, documents, texts, items)
+    expected = {(d, k): n for d, text in enumerate(texts) for k, item in items if (n := brute(text, item))}
+    assert got == expected and set(got) >= {(1, 0), (2, 1), (3, 2), (5, 1), (5, 2)} and not {0, 4} & {d for d, _ in got}
+
+
+def test_number_tables_make_no_pairs(spark, documents):
+    """Twenty tables of 3,000 numbers against an item of 60 would be 2.9 million pairs of windows."""
+    draw = random.Random(12)
+    texts = [" ".join(str(draw.randrange(500)) for _ in range(3000)) for _ in range(20)]
+    benchmark = spark.createDataFrame([(1, " ".join(map(str, range(60))))], "item_id long, text string")
+    leaks = decontaminate.leaks(documents(list(enumerate(texts))), benchmark)
+    assert leaks.isEmpty()
+    joins = [line for line in leaks._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    # By hash only where a word is plain; windows of slots only meet at a known place.
+    assert all("place" in line for line in joins if "eqnullsafe" in line.lower() or "<=>" in line)
+    assert any("place" in line and "hash" in line for line in joins)
