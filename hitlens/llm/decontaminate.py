@@ -268,7 +268,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lines: bo
     lengths, little = ([row["n"] for row in kinds if row["line"] == line] for line in (False, True))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().cast("binary").alias("raw"))
     met = rows.mapInArrow(_windows(lengths, _bit_map(items), lines=little), SCHEMA)
-    met = land(met.drop("spots", "count"), "met-windows")
+    met = met.drop("spots", "count")
 
     theirs = items.select(
         "hash", "window", F.col("id").alias("item_id"), F.col("place").alias("item_place"),
@@ -278,14 +278,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lines: bo
     # otherwise, they are looked up at that distance, one place each.
     words = F.size(F.split("window", " "))
     bare, asked_bare = F.size("slots") == words, F.size("asked") == words
+    bare_items = theirs.where(asked_bare)
+    any_bare = not bare_items.isEmpty()
+    if any_bare:
+        met = land(met, "met-windows")  # read twice below
     spoken = met.where(~bare).join(theirs.where(~asked_bare), ["hash", "window"])
-    shifts = spoken.select("id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
-    along = shifts.join(theirs.where(asked_bare), "item_id").withColumn("place", F.col("shift") + F.col("item_place"))
-    along = along.withColumnRenamed("id", "doc").drop("shift")
-    there = met.where(bare).join(along, ["place", "hash", "window"]).where(F.col("id").eqNullSafe(F.col("doc"))).drop("doc")
+    if any_bare:
+        shifts = spoken.select("id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+        along = shifts.join(bare_items, "item_id").withColumn("place", F.col("shift") + F.col("item_place"))
+        along = along.withColumnRenamed("id", "doc").drop("shift")
+        there = met.where(bare).join(along, ["place", "hash", "window"]).where(F.col("id").eqNullSafe(F.col("doc")))
+        spoken = spoken.unionByName(there.drop("doc"))
 
     last = F.col("item_place") + F.size(F.split("window", " ")) - 1
-    pairs = spoken.unionByName(there).select(
+    pairs = spoken.select(
         F.col("id").alias("doc_id"),
         "item_id",
         "n_item",
