@@ -15,6 +15,7 @@ value; ``part`` and ``seq`` give their order. Layout of a shard, little endian::
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -99,8 +100,53 @@ class Shard:
         return values
 
 
+# How a vocabulary file must treat a text for its pieces to be those of ``PieceEncoder``.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+MODEL = {
+    "type": "BPE",
+    "dropout": None,
+    "unk_token": None,
+    "continuing_subword_prefix": None,
+    "end_of_word_suffix": "</w>",
+}
+
+
+def splits_into_pieces(tokenizer) -> bool:
+    """Whether a tokenizer normalises and splits texts as ``PieceEncoder.pieces`` does."""
+    told = json.loads(tokenizer.to_str())
+    return (
+        told["normalizer"] == NORMALIZER
+        and told["pre_tokenizer"] == SPLITTER
+        and told["post_processor"] is None
+        and all(told["model"].get(name) == value for name, value in MODEL.items())
+        and all(token["content"].startswith("<|") and not token["normalized"] for token in told["added_tokens"])
+    )
+
+
 class PieceEncoder:
-    """Ids (little endian bytes) of texts by the pieces that this vocabulary encodes one by one.
+    """Ids (little endian bytes) of texts, by pieces where the vocabulary encodes pieces one by one.
+
+    Any vocabulary file gives its own ids: one that does not split texts as below encodes them whole, and a
+    truncation or padding the file asks for is left out.
 
     Pieces are runs of letters, single digits, runs of other marks, and the endings ``'s`` and the like; white
     space is dropped and letters are lower-cased first. Pieces met before are remembered, ``most`` of them at a
@@ -116,6 +162,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        self.by_pieces = splits_into_pieces(tokenizer)
         self.encode = partial(getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch), add_special_tokens=False)
         self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
         self.ends[[number for token, number in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
@@ -135,6 +184,8 @@ class PieceEncoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each of some texts."""
+        if not self.by_pieces:
+            return self.one_by_one(texts)
         if len(self.known) > self.most:
             self.known = {}
         # A special token of the vocabulary may begin with these two marks.
@@ -286,7 +337,11 @@ def tokens_at(spark, path: str, positions: DataFrame, cell: int = SHARD_TOKENS)
 
 
 def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
-    """Write ``docs`` as shards to the shared folder and list the documents read back from them."""
+    """Write ``docs`` as shards to the shared folder and list the documents read back from them.
+
+    Every row of ``docs`` gives one row, repeated rows and equal ids too. Only doc_id and text are read, whatever other
+    columns are called. An empty table gives no rows.
+    """
     path = work_path(docs.sparkSession, "codes")
     write_shards(docs, path, vocabulary, end_id)
     return documents(docs.sparkSession, path)

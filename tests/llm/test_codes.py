@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -29,6 +30,54 @@ def test_places_outside():
         codes.Shard(b"nothing")
 
 
+def sample_texts(prose):
+    texts = ["", " ", "Don't  STOP\n\n12.5% 中文 é ΣΣ", "<|endoftext|> a<|startoftext|>b", "x" * 5000, "I'll've 's"]
+    return texts + [prose(k, 200) for k in range(10)]
+
+
+@pytest.mark.parametrize("name, by_pieces", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_every_vocabulary_gives_its_own_ids(prose, name, by_pieces):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    encoder, tokenizer = codes.PieceEncoder(path), Tokenizer.from_file(path)
+    assert encoder.by_pieces == by_pieces
+    texts = sample_texts(prose)
+    for raw, text in zip(encoder.ids(texts), texts):
+        assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def changed_vocabulary(told, change):
+    if change == "truncation":
+        told[change] = {"direction": "Right", "max_length": 5, "strategy": "LongestFirst", "stride": 0}
+    elif change == "lower case":
+        del told["normalizer"]["normalizers"][2]
+    elif change == "digits":
+        split = told["pre_tokenizer"]["pretokenizers"][0]["pattern"]
+        split["Regex"] = split["Regex"].replace("[\\p{N}]|", "[\\p{N}]+|")
+    else:
+        token = {"id": 49408, "content": "stop", "single_word": False, "lstrip": False, "rstrip": False}
+        told["added_tokens"].append({**token, "normalized": False, "special": True})
+    return told
+
+
+@pytest.mark.parametrize("change", ["truncation", "lower case", "digits", "added token"])
+def test_changed_vocabularies(tmp_path, prose, change):
+    from tokenizers import Tokenizer
+
+    with open(vocabulary_path(), encoding="utf-8") as file:
+        told = changed_vocabulary(json.load(file), change)
+    path = tmp_path / "changed.json"
+    path.write_text(json.dumps(told), encoding="utf-8")
+    encoder, tokenizer = codes.PieceEncoder(str(path)), Tokenizer.from_file(str(path))
+    tokenizer.no_truncation()
+    assert encoder.by_pieces == (change == "truncation")
+    texts = [*sample_texts(prose), "Please stop 1234 Times"]
+    for raw, text in zip(encoder.ids(texts), texts):
+        assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_documents_equal_the_tokenizer(spark, documents, edge_rows, prose):
     from tokenizers import Tokenizer
 
