@@ -33,8 +33,12 @@ def arguments() -> argparse.ArgumentParser:
     job("train", "extracted", "metadata", "output", "report").add_argument(
         "--run-id", default=now_text()
     )
-    predicting = mode(job("predict", "extracted", "metadata", "classifier", "output", "report"))
-    predicting.add_argument("--threshold", type=float, default=0.70)
+    predicting = mode(job("predict", "extracted", "output", "report"))
+    predicting.add_argument("--metadata", help="folder of the category models, with --classifier")
+    models = predicting.add_mutually_exclusive_group(required=True)
+    models.add_argument("--classifier")
+    models.add_argument("--pipeline", help="stored pipeline, instead of --classifier and --metadata")
+    predicting.add_argument("--threshold", type=float)
     mode(job("merge", "extracted", "predicted", "output", "report"))
     detecting = job("detect", "ground-truth", "output", "model", "report")
     detecting.add_argument("--sites", nargs="*")
@@ -49,7 +53,10 @@ def arguments() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     # Arguments are checked before a session starts.
-    args = arguments().parse_args(argv)
+    parser = arguments()
+    args = parser.parse_args(argv)
+    if args.job == "predict" and args.classifier and not args.metadata:
+        parser.error("--classifier needs --metadata")
     spark = SparkSession.builder.appName(f"hitlens-{args.job}").getOrCreate()
     use_utc(spark)
     given = vars(args)
@@ -78,6 +85,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             args.report,
             args.threshold,
             args.mode,
+            args.pipeline,
         )
     elif args.job == "merge":
         site.run_merge(

@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from hitlens.operators.enrich import accept_class
 
 
 def fit_classifier(
@@ -23,15 +17,3 @@ def fit_classifier(
         maxIter=max_iter,
         aggregationDepth=depth,
     ).fit(features)
-
-
-def predict_site(
-    features: DataFrame,
-    model: LogisticRegressionModel,
-    labels: Sequence[str],
-    threshold: float = 0.70,
-) -> DataFrame:
-    """Probabilities, predicted class, and its label when it is sure enough."""
-    scored = model.transform(features).drop("rawPrediction")
-    sure = accept_class(vector_to_array(F.col("probability")), labels, threshold)
-    return scored.withColumn("prediction_domain", sure)

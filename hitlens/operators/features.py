@@ -25,8 +25,8 @@ DETECT_FEATURES = ["fabstime", "status", "body_bytes_sent", "query_len", "url_ha
 
 
 def add_path_ngrams(df: DataFrame, n: int = PATH_GRAM, output: str = "path_ngrams") -> DataFrame:
-    """Character n-grams of the path, characters joined by blanks; none for short paths."""
-    spelled = df.withColumn("path_characters", tokens.characters(F.col("clean_path")))
+    """Character n-grams of the path, characters joined by blanks; none for short and missing paths."""
+    spelled = df.withColumn("path_characters", tokens.characters(F.coalesce("clean_path", F.lit(""))))
     return NGram(n=n, inputCol="path_characters", outputCol=output).transform(spelled)
 
 
@@ -45,6 +45,13 @@ def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") ->
     return VectorAssembler(inputCols=list(columns), outputCol=output).transform(df)
 
 
+def add_site_terms(df: DataFrame, n: int = PATH_GRAM, output: str = "url_features") -> DataFrame:
+    """Path n-grams and query keys as one array."""
+    grams = add_path_ngrams(df, n)
+    keys = F.coalesce(tokens.query_keys(F.col("clean_query_list")), F.array().cast("array<string>"))
+    return grams.withColumn(output, F.concat("path_ngrams", keys)).drop("path_characters", "path_ngrams")
+
+
 def site_features(
     requests: DataFrame,
     indexer: StringIndexerModel,
@@ -53,16 +60,10 @@ def site_features(
     n: int = PATH_GRAM,
     buckets: int = SITE_BUCKETS,
 ) -> DataFrame:
-    """Classifier features; training and prediction both use this."""
-    grams = add_path_ngrams(encode(requests, indexer, encoder, unseen), n)
-    terms = grams.withColumn(
-        "url_features",
-        F.concat("path_ngrams", tokens.query_keys(F.col("clean_query_list"))),
-    )
+    """Classifier features for training; the stored pipeline computes the same ones."""
+    terms = add_site_terms(encode(requests, indexer, encoder, unseen), n)
     hashed = hash_terms(terms, "url_features", "hash_url_features", buckets)
-    return assemble(hashed, SITE_FEATURES).drop(
-        "path_characters", "path_ngrams", "url_features", "hash_url_features"
-    )
+    return assemble(hashed, SITE_FEATURES).drop("url_features", "hash_url_features")
 
 
 def detect_columns(requests: DataFrame, classify: bool = True) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoderModel, StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitlens.operators.clean import union_strict
-from hitlens.operators.classify import fit_classifier, predict_site
+from hitlens.operators.classify import fit_classifier
 from hitlens.operators.enrich import OTHER
 from hitlens.operators.features import SITE_BUCKETS, site_features
 from hitlens.operators.metrics import (
@@ -22,12 +23,14 @@ from hitlens.operators.metrics import (
 )
 from hitlens.operators.parse import REQUEST_KEY
 from hitlens.operators.runlog import now_text, run_log, stored_rows, volume_text
+from hitlens.operators.stages import site_pipeline
 from hitlens.session import land
 from hitlens.sinks.writers import save_model, write_partitioned, write_report
 from hitlens.sources.readers import (
     load_category_models,
     load_classifier,
     load_indexer,
+    load_pipeline,
     read_partition,
     read_table,
 )
@@ -92,14 +95,24 @@ def train(
     return classifier, classifier.transform(test).select("domain_index", "prediction")
 
 
+def pipeline(
+    models: SiteModels, threshold: float = 0.70, buckets: int = SITE_BUCKETS
+) -> PipelineModel:
+    """Everything prediction needs, as one object that can be stored."""
+    labels = models.classes.labels
+    return site_pipeline(models.methods, models.encoder, models.classifier, labels, threshold, buckets=buckets)
+
+
+def apply_pipeline(requests: DataFrame, stored: PipelineModel) -> DataFrame:
+    """The 25-column prediction table of unregistered traffic; unseen methods are skipped."""
+    unknown = requests.filter(F.col("domain_category") == OTHER)
+    return stored.transform(unknown).select(PREDICTED_COLUMNS)
+
+
 def predict(
     requests: DataFrame, models: SiteModels, threshold: float = 0.70, buckets: int = SITE_BUCKETS
 ) -> DataFrame:
-    """The 25-column prediction table of unregistered traffic; unseen methods are skipped."""
-    unknown = requests.filter(F.col("domain_category") == OTHER)
-    featured = site_features(unknown, models.methods, models.encoder, "skip", buckets=buckets)
-    sure = predict_site(featured, models.classifier, models.classes.labels, threshold)
-    return sure.select(PREDICTED_COLUMNS)
+    return apply_pipeline(requests, pipeline(models, threshold, buckets))
 
 
 def ground_truth(requests: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -120,13 +133,15 @@ def _models(metadata: str, classifier: str | None = None) -> SiteModels:
 def run_train(
     spark: SparkSession, extracted: str, metadata: str, output: str, report: str, run_id: str
 ) -> dict[str, float]:
-    """Train, store the model under ``run_id``, report the confusion matrix and metrics."""
+    """Train, store the model and the whole pipeline under ``run_id``, report the confusion matrix and metrics."""
     start = now_text()
     known = read_partition(spark, extracted, "domain_category", OTHER, equal=False)
     models = _models(metadata)
     classifier, tested = train(known, models)
     base = f"{output.rstrip('/')}/{run_id}"
     save_model(classifier, f"{base}/model_domain_classifier", overwrite=False)
+    models.classifier = classifier
+    save_model(pipeline(models), f"{base}/model_pipeline", overwrite=False)
     matrix = land(confusion_matrix(tested), "confusion")
     write_report(matrix, f"{base}/confusion_matrix_raw")
     classes = range(len(models.classes.labels))
@@ -141,16 +156,24 @@ def run_train(
 def run_predict(
     spark: SparkSession,
     extracted: str,
-    metadata: str,
-    classifier: str,
+    metadata: str | None,
+    classifier: str | None,
     output: str,
     report: str,
-    threshold: float = 0.70,
+    threshold: float | None = None,
     mode: str = "error",
+    stored: str | None = None,
 ) -> None:
+    """Classify unregistered traffic by the pipeline ``stored``, or by ``classifier`` with the models in ``metadata``.
+
+    The threshold is 0.70, or that of the pipeline, unless one is given.
+    """
     start, before = now_text(), stored_rows(spark, output)
     unknown = read_partition(spark, extracted, "domain_category", OTHER)
-    table = predict(unknown, _models(metadata, classifier), threshold)
+    chain = load_pipeline(stored) if stored else pipeline(_models(metadata, classifier))
+    if threshold is not None:
+        chain.stages[-1].set(chain.stages[-1].threshold, threshold)
+    table = apply_pipeline(unknown, chain)
     write_partitioned(table, output, "prediction_domain", mode)
     rows = stored_rows(spark, output) - (before if mode == "append" else 0)
     entries = [

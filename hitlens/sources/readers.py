@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoderModel, StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession
@@ -62,3 +63,7 @@ def load_indexer(path: str, column: str) -> StringIndexerModel:
 
 def load_classifier(path: str) -> LogisticRegressionModel:
     return LogisticRegressionModel.load(path)
+
+
+def load_pipeline(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

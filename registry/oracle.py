@@ -468,9 +468,10 @@ oracle(
     """SELECT count(*) AS tested, TRUE AS metrics_fit FROM keyed
        WHERE domain_category <> 'other' AND NOT training""",
 )
-oracle(
-    "predict_domain",
-    """SELECT method, count(*) AS requests, true AS classes_fit, true AS chances_fit, true AS most_likely,
+for _query in ("predict_domain", "predict_stored"):
+    oracle(
+        _query,
+        """SELECT method, count(*) AS requests, true AS classes_fit, true AS chances_fit, true AS most_likely,
          true AS labels_fit, count(DISTINCT (clean_path, clean_query_list)) > 1 AS tells_apart
        FROM extract WHERE domain_category = 'other' GROUP BY method""",
-)
+    )

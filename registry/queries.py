@@ -594,13 +594,8 @@ def train_domain(spark, sf):
     return quality.select(F.lit(tested).cast("long").alias("tested"), fit.alias("metrics_fit"))
 
 
-@query
-def predict_domain(spark, sf):
-    table, _ = stored_extract(spark, sf)
-    models = _site_models(table)
-    models.classifier, _ = site.train(table, models)
-    predicted = site.predict(table, models)
-    chances, labels = vector_to_array("probability"), models.classes.labels
+def _predictions_fit(predicted, labels):
+    chances = vector_to_array("probability")
     label = F.element_at(F.array(*map(F.lit, labels)), F.col("prediction").cast("int") + 1)
     sure = F.array_max(chances) > 0.70
     return predicted.groupBy("method").agg(
@@ -614,6 +609,25 @@ def predict_domain(spark, sf):
     )
 
 
+@query
+def predict_domain(spark, sf):
+    table, _ = stored_extract(spark, sf)
+    models = _site_models(table)
+    models.classifier, _ = site.train(table, models)
+    return _predictions_fit(site.predict(table, models), models.classes.labels)
+
+
+@query
+def predict_stored(spark, sf):
+    """Prediction by one stored pipeline, from which everything is loaded."""
+    table, _ = stored_extract(spark, sf)
+    models = _site_models(table)
+    models.classifier, _ = site.train(table, models)
+    path = work_path(spark, "pipeline")
+    writers.save_model(site.pipeline(models), path)
+    return _predictions_fit(site.apply_pipeline(table, readers.load_pipeline(path)), models.classes.labels)
+
+
 def _total(numbers):
     return F.aggregate(numbers, F.lit(0.0), lambda total, x: total + x)
 

@@ -113,6 +113,12 @@ def test_all_jobs(spark, extracted, tmp_path):
     main(["predict", "--extracted", p["extract"], "--metadata", p["meta"], "--classifier",
           p["train"] + "/r1/model_domain_classifier", "--output", p["predict"],
           "--report", p["report"] + "/3"])
+    main(["predict", "--extracted", p["extract"], "--pipeline", p["train"] + "/r1/model_pipeline",
+          "--output", p["predict"] + "2", "--report", p["report"] + "/9"])
+    parts, whole = (spark.read.parquet(p["predict"] + end) for end in ("", "2"))
+    assert whole.columns == parts.columns and len(parts.columns) == 25
+    assert whole.count() == parts.count()
+    assert whole.exceptAll(parts).isEmpty()
     main(["merge", "--extracted", p["extract"], "--predicted", p["predict"], "--output",
           p["merged"], "--report", p["report"] + "/4"])
     merged = spark.read.parquet(p["merged"])
@@ -153,3 +159,5 @@ def test_all_jobs(spark, extracted, tmp_path):
 def test_missing_arguments_end_before_a_session():
     with pytest.raises(SystemExit):
         arguments().parse_args(["predict", "--extracted", "x"])
+    with pytest.raises(SystemExit):
+        main(["predict", "--extracted", "x", "--output", "y", "--report", "z", "--classifier", "c"])
