@@ -46,8 +46,9 @@ def arguments() -> argparse.ArgumentParser:
     detecting.add_argument("--use-model", action="store_true", help="apply the forests stored under --model")
     detecting.add_argument("--listing", help="folder for the highest anomalies of each site")
     detecting.add_argument("--top", type=int, default=20)
+    detecting.add_argument("--history", help="folder of score sketches by day, kept and merged")
     job("publish", "detected", "target").add_argument("--format", default="json")
-    job("profile", "ground-truth", "report")
+    job("profile", "ground-truth", "report").add_argument("--state", help="folder of daily profiles, kept and merged")
     return parser
 
 
@@ -104,11 +105,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             args.use_model,
             args.listing,
             args.top,
+            args.history,
         )
     elif args.job == "publish":
         detect.run_publish(spark, args.detected, args.target, args.format)
     else:
-        profile.run(spark, args.ground_truth, args.report)
+        profile.run(spark, args.ground_truth, args.report, args.state)
 
 
 if __name__ == "__main__":

@@ -20,7 +20,8 @@ from hitlens.operators.forest import (
 from hitlens.operators.listing import highest
 from hitlens.operators.parse import REQUEST_KEY
 from hitlens.operators.runlog import now_text, run_log, volume_text
-from hitlens.session import land, require_utc
+from hitlens.operators.sketches import latest, score_sketches, sketch_size, sketch_thresholds, store_run
+from hitlens.session import broadcast_if_small, land, require_utc
 from hitlens.sinks.writers import publish, write_partitioned, write_report
 from hitlens.sources.readers import read_table
 
@@ -109,21 +110,45 @@ def score(
     return score_forest(featured, forest, SITE, keep=keep), forest
 
 
+def forest_marks(forest: DataFrame) -> DataFrame:
+    """One number per site that tells its forest from others, in whatever order its nodes are read."""
+    marks = forest.select(*NODES.names).groupBy(F.col("forest_group").alias(SITE))
+    return marks.agg(F.bit_xor(F.xxhash64(*NODES.names)).alias("forest"))
+
+
+def thresholds(
+    scored: DataFrame, detector: Detector, forest: DataFrame, history: str | None = None
+) -> DataFrame:
+    """The score from which requests of a site are anomalies.
+
+    Without an allowed error it is exact. With one, scores go into a sketch per site in one pass; under
+    ``history`` the sketches of each day are kept, and those of earlier days count too if they
+    were made with the same forest. A run replaces the days it covers.
+    """
+    size = sketch_size(detector.error)
+    if size is None:
+        if history:
+            raise ValueError("a history of scores needs a detector with an allowed error of 0.0001 or more")
+        return score_thresholds(scored, SITE, contamination=detector.contamination, bounds=(0.0, 1.0))
+    if not history:
+        return sketch_thresholds(score_sketches(scored, SITE, size=size), SITE, detector.contamination)
+    dated = scored.withColumn("day", F.to_date("fdate_time"))
+    marks = broadcast_if_small(land(forest_marks(forest), "forest-marks"))
+    made = land(score_sketches(dated, SITE, "day", size=size).join(marks, SITE), "score-sketches")
+    stored = store_run(made, history).join(marks, [SITE, "forest"], "left_semi")
+    return sketch_thresholds(latest(stored, SITE, "day"), SITE, detector.contamination)
+
+
 def detect(
     requests: DataFrame,
     detector: Detector = FINAL,
     features: Callable[[DataFrame], DataFrame] | None = None,
     forest: DataFrame | None = None,
+    history: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The 17-column detection table and the forest behind it, a new one unless one is given."""
     scored, forest = score(requests, detector, features, forest)
-    limits = score_thresholds(
-        scored,
-        SITE,
-        contamination=detector.contamination,
-        error=detector.error,
-        bounds=(0.0, 1.0),
-    )
+    limits = thresholds(scored, detector, forest, history)
     return label_anomalies(scored, limits, SITE).select(OUTPUT_COLUMNS), forest
 
 
@@ -145,9 +170,12 @@ def run(
     use_model: bool = False,
     listing: str | None = None,
     top: int = 20,
+    history: str | None = None,
 ) -> None:
     """Detect for the given sites, or for all in one pass.
 
+    With ``history``, a folder of score sketches by day, thresholds also follow the scores of earlier runs.
+
     With ``listing``, the ``top`` anomalies of each site are stored there as CSV.
 
     The forests are stored under ``model``; with ``use_model`` those stored there are
@@ -162,7 +190,7 @@ def run(
         stored = read_table(spark, model).withColumnRenamed(SITE, "forest_group").select(*NODES.names)
         if sites:
             stored = stored.filter(F.col("forest_group").isin(*sites))
-    table, forest = detect(requests, detector, forest=stored)
+    table, forest = detect(requests, detector, forest=stored, history=history)
     if not use_model:
         write_partitioned(forest.withColumnRenamed("forest_group", SITE), model, SITE, keep_others=True)
     # Counts of the run come from one stored result, not from tasks that may run twice.

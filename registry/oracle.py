@@ -245,6 +245,13 @@ oracle(
          round(avg(length(word)), 6) AS avg_word_length,
          round(stddev_samp(length(word)), 6) AS stddev_word_length FROM ({_WORDS})""",
 )
+oracle(
+    "token_profile_merged",
+    f"""SELECT true AS unique_words_near,
+         min(length(word))::integer AS min_word_length, max(length(word))::integer AS max_word_length,
+         round(avg(length(word)), 6) AS avg_word_length,
+         round(stddev_samp(length(word)), 6) AS stddev_word_length FROM ({_WORDS})""",
+)
 oracle(
     "token_profile_weighted",
     f"""{_SIZES} FROM (SELECT len(w) AS s, unnest(w) FROM

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hitlens.functions import times, tokens, uri
 from hitlens.operators import categories, clean, counts, enrich, features, forest, metrics
-from hitlens.operators import embed, parse, runlog, similar
+from hitlens.operators import embed, parse, runlog, similar, sketches
 from hitlens.plans import detect, extract, site
 from hitlens.session import land, use_utc, work_path
 from hitlens.sinks import writers
@@ -284,6 +284,26 @@ def token_profile_weighted(spark, sf):
     return _rounded_sizes(counts.token_profile(log_requests(spark, sf)))
 
 
+@query
+def token_profile_merged(spark, sf):
+    """Profile from stored days, of which one was stored twice."""
+    table = land(log_requests(spark, sf), "requests")
+    path = work_path(spark, "profiles")
+    first = table.agg(F.min("date")).first()[0]
+    sketches.store_run(sketches.daily_profile(table.filter(F.col("date") == first).limit(5)), path)
+    stored = sketches.store_run(sketches.daily_profile(table), path)
+    merged = sketches.merged_profile(sketches.latest(stored, "day"))
+    exact = counts.token_profile(table).first().unique_words
+    near = F.abs(F.col("unique_words") - exact) <= 0.05 * exact
+    return merged.select(
+        near.alias("unique_words_near"),
+        "min_word_length",
+        "max_word_length",
+        F.round("avg_word_length", 6).alias("avg_word_length"),
+        F.round("stddev_word_length", 6).alias("stddev_word_length"),
+    )
+
+
 @query
 def path_size_profile(spark, sf):
     return _rounded_sizes(counts.path_size_profile(log_requests(spark, sf)))
