@@ -15,6 +15,8 @@ SITES = 5
 PAGES = "page_id bigint, url string"
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
 
+HARD_URI = "/5f43a1b2c3d4e5f6a7b8c9d0/%zz?k=v=w+x&%6Bey=100%&n"
+
 LINE = """concat(
   '10.', cast(user_id % 256 AS string), '.', cast(event_id % 256 AS string), '.7 - - [',
   date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'), ' +0000] "',
@@ -29,8 +31,9 @@ LINE = """concat(
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One line per event, and beside it repeated lines, lines that do not parse, that
-    have no such date, no agent, or another kind of address.
+    """One line per event, and beside it repeated lines, lines that do not parse, that have no such date, no
+    agent, no referer, another kind of address, another time zone, or a URI of escapes that are none, an
+    identifier, a plus, a second ``=`` and a key without value.
 
     Page ids must be dense from 0, as they are in the given tables: an event takes the
     page of its number's remainder.
@@ -48,6 +51,9 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(number % 23 == 0, F.regexp_replace(line, r"\[[^\]]*\]", "[31/Feb/2024:10:00:00 +0000]")),
         F.when(number % 29 == 0, F.regexp_replace(line, '"Mozilla[^"]*"', '"NaN"')),
         F.when(number % 31 == 0, F.regexp_replace(line, "^[0-9.]+", "2001:db8::1")),
+        F.when(number % 37 == 0, F.replace(line, F.lit(" HTTP/1.1"), F.lit(f"{HARD_URI} HTTP/1.1"))),
+        F.when(number % 41 == 0, F.replace(line, F.lit("+0000]"), F.lit("-0230]"))),
+        F.when(number % 43 == 0, F.regexp_replace(line, '"[^"]*" "Mozilla', '"" "Mozilla')),
     )
     return (
         paired.select("event_id", F.expr(LINE).alias("line"))

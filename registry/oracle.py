@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from hitlens.operators.parse import FIELDS, LINE, REQUEST_KEY
 from hitlens.plans.site import EXTRACT_COLUMNS
-from registry.access_log import SITES
+from registry.access_log import HARD_URI, SITES
 
 ORACLE: dict[str, str] = {}
 
@@ -46,6 +46,9 @@ WITH base AS (
   UNION ALL SELECT regexp_replace(value, '\\[[^\\]]*\\]', '[31/Feb/2024:10:00:00 +0000]') FROM base WHERE eid % 23 = 0
   UNION ALL SELECT regexp_replace(value, '"Mozilla[^"]*"', '"NaN"') FROM base WHERE eid % 29 = 0
   UNION ALL SELECT regexp_replace(value, '^[0-9.]+', '2001:db8::1') FROM base WHERE eid % 31 = 0
+  UNION ALL SELECT replace(value, ' HTTP/1.1', '{HARD_URI} HTTP/1.1') FROM base WHERE eid % 37 = 0
+  UNION ALL SELECT replace(value, '+0000]', '-0230]') FROM base WHERE eid % 41 = 0
+  UNION ALL SELECT regexp_replace(value, '"[^"]*" "Mozilla', '"" "Mozilla') FROM base WHERE eid % 43 = 0
 ), matched AS MATERIALIZED (
   SELECT regexp_extract(value, '{_pattern}', {_names}) AS f
   FROM lines WHERE regexp_matches(value, '{_pattern}')
@@ -58,7 +61,7 @@ WITH base AS (
 ), decoded AS (
   SELECT DISTINCT *, url_decode(req_uri) AS dec_req_uri FROM parsed
   WHERE {_present} AND status IS NOT NULL AND body_bytes_sent IS NOT NULL
-    AND try_strptime(date_time, '%d/%b/%Y:%H:%M:%S +0000') IS NOT NULL
+    AND try_strptime(left(date_time, 20), '%d/%b/%Y:%H:%M:%S') IS NOT NULL
 ), pieces AS (
   SELECT *,
     regexp_replace(regexp_extract(dec_req_uri, '^([^?#]*)', 1), ';[^/]*$', '') AS clean_path,
@@ -66,7 +69,9 @@ WITH base AS (
                 lambda x: regexp_matches(x, {_PAIR})) AS raw_pairs,
     coalesce(nullif(nullif(regexp_extract(http_referer,
       '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1), ''), '-'), 'Unknown') AS domain,
-    strptime(date_time, '%d/%b/%Y:%H:%M:%S +0000') AS fdate_time
+    strptime(left(date_time, 20), '%d/%b/%Y:%H:%M:%S')
+      - to_minutes(cast(date_time[22:24] AS integer) * 60 + cast(date_time[22] || date_time[25:26] AS integer))
+      AS fdate_time
   FROM decoded
 ), requests AS MATERIALIZED (
   SELECT * EXCLUDE (raw_pairs),
@@ -141,7 +146,7 @@ _EXTRACT = ", ".join(
 _GAPS = """
   SELECT * REPLACE (
     CASE WHEN body_bytes_sent % 7 = 0 OR user_agent = 'NaN' THEN NULL ELSE user_agent END AS user_agent,
-    CASE WHEN body_bytes_sent % 11 = 0 THEN NULL ELSE http_referer END AS http_referer,
+    CASE WHEN body_bytes_sent % 11 = 0 THEN NULL ELSE nullif(http_referer, '') END AS http_referer,
     CASE WHEN body_bytes_sent % 13 = 0 THEN NULL ELSE remote_usr END AS remote_usr)
   FROM parsed"""
 _WORDS = "SELECT unnest(string_split(clean_path, '/')) AS word FROM requests"
@@ -383,7 +388,7 @@ oracle(
          SELECT 'rejected' AS outcome FROM lines WHERE NOT regexp_matches(value, '{_pattern}')
          UNION ALL SELECT CASE
            WHEN NOT ({_present} AND status IS NOT NULL AND body_bytes_sent IS NOT NULL) THEN 'incomplete'
-           WHEN try_strptime(date_time, '%d/%b/%Y:%H:%M:%S +0000') IS NULL THEN 'bad date'
+           WHEN try_strptime(left(date_time, 20), '%d/%b/%Y:%H:%M:%S') IS NULL THEN 'bad date'
            ELSE 'accepted' END FROM parsed) GROUP BY outcome""",
 )
 oracle(
