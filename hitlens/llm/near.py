@@ -20,16 +20,16 @@ coordinates), below 1e-5 by the signature test. Higher similarities are missed l
 from __future__ import annotations
 
 import hashlib
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hitlens.llm.common import shuffle_partitions, text_of
-from hitlens.llm.grouping import components, groups
+from hitlens.llm.grouping import components, groups, narrowed, stars
 from hitlens.session import land
 
 SHINGLE_WORDS = 5
@@ -42,6 +42,8 @@ LEAF, DEPTH, SHRINK = 1024, 5, 0.8
 # Classes, and shingles, of a block in a comparison.
 BLOCK, BLOCK_SHINGLES = 1024, 2**21
 COLUMNS = 4096
+# Links that a task makes one set of stars of.
+LINKS = 100_000
 
 _rng = np.random.default_rng(20240229)
 _word_steps = _rng.integers(1, 2**63, SHINGLE_WORDS, dtype=np.uint64) * 2 + 1
@@ -180,23 +182,26 @@ def final_nodes(classes: DataFrame, first: int = 0, last: int = TREES * ROOT_BRA
             F.max("label").alias("high"),
         )
         small = (F.col("n") <= LEAF) | (F.col("n") >= SHRINK * F.col("above")) | F.lit(level == DEPTH)
-        nodes = land(nodes.where("n > 1 and low < high").withColumn("final", small), "near-nodes")
-        same = nodes.where("final").groupBy("n", "mark", "least").agg(F.min("node").alias("node"))
-        finals.append((members, land(same, "near-final")))
-        large = nodes.where("not final").select("node", "n")
-        if large.isEmpty():
+        counted = Observation()
+        nodes = nodes.where("n > 1 and low < high").withColumn("final", small)
+        nodes = land(nodes.observe(counted, F.count_if(~F.col("final")).alias("large")), "near-nodes")
+        finals.append((members, nodes.where("final").select(F.lit(level).alias("level"), "node", "n", "mark", "least")))
+        if not counted.get["large"]:
             break
-        wide = members.select("node", "doc_id", "label").join(large, "node").join(signed, "doc_id")
+        inside = members.select("node", "doc_id", "label").join(nodes.where("not final").select("node", "n"), "node")
+        wide = inside.join(narrowed(signed, inside.select("doc_id")), "doc_id")
         wide = wide.select("node", "n", "doc_id", "label", "signature")
         members = land(wide.mapInArrow(_branches, NODE_SCHEMA).distinct(), "near-level")
-    found = None
-    for members, same in finals:
-        part = members.select("node", "doc_id").join(same.select("node", "n", "mark", "least"), "node")
-        found = part if found is None else found.unionByName(part)
-    # The same members may meet again at another level.
-    found = land(found, "near-members")
-    one = found.groupBy("n", "mark", "least").agg(F.min("node").alias("node")).select("node")
-    return found.join(one, "node", "left_semi").select("node", "n", "doc_id")
+    # The same members may meet again, at another level too.
+    nodes = reduce(DataFrame.unionByName, [nodes for _, nodes in finals])
+    one = nodes.groupBy("n", "mark", "least").agg(F.min(F.struct("level", "node")).alias("one"))
+    one = land(one.select("one.level", "one.node", "n"), "near-final")
+    parts = [
+        members.select("node", "doc_id").join(one.where(F.col("level") == level).select("node", "n"), "node")
+        for level, (members, _) in enumerate(finals, 1)
+    ]
+    return reduce(DataFrame.unionByName, parts).select("node", "n", "doc_id")
+
 
 
 # Comparison by signature
@@ -227,18 +232,23 @@ def spanning_links(values: np.ndarray, blocks: np.ndarray) -> list[tuple[int, in
 
 
 def _compare(batches):
-    """Spanning links of each node, or of two blocks of it."""
+    """Stars of what the spanning links of nodes, or of two blocks of one, connect."""
+
+    def found():
+        arrays = [pa.array(c, pa.int64()) for c in stars(a, b)]
+        return pa.RecordBatch.from_arrays(arrays, schema=PAIR_ARROW)
+
     a, b = [], []
     for rows in groups(batches, ("node", "low", "high")):
         ids = rows["doc_id"].to_numpy()
         values = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint32).reshape(-1, COORDINATES)
         for one, other in spanning_links(values, rows["block"].to_numpy()):
-            a.append(min(ids[one], ids[other]))
-            b.append(max(ids[one], ids[other]))
-        if len(a) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=PAIR_ARROW)
+            a.append(int(ids[one]))
+            b.append(int(ids[other]))
+        if len(a) > LINKS:
+            yield found()
             a, b = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=PAIR_ARROW)
+    yield found()
 
 
 def in_blocks(rows: DataFrame, count) -> DataFrame:
@@ -250,12 +260,12 @@ def in_blocks(rows: DataFrame, count) -> DataFrame:
 
 
 def possible_links(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b (a < b): the spanning links of every node."""
+    """a, b (a > b): stars that connect what the spanning links of all nodes connect."""
     key = ["node", "low", "high"]
     rows = in_blocks(members, F.ceil(F.col("n") / BLOCK)).select(*key, "block", "doc_id")
     dealt = rows.join(classes.select("doc_id", "signature"), "doc_id")
     dealt = dealt.repartition(shuffle_partitions(members.sparkSession), *key).sortWithinPartitions(*key, "doc_id")
-    return dealt.select(*key, "block", "doc_id", "signature").mapInArrow(_compare, "a long, b long").distinct()
+    return dealt.select(*key, "block", "doc_id", "signature").mapInArrow(_compare, "a long, b long")
 
 
 def possible_clusters(classes: DataFrame) -> DataFrame:
@@ -271,8 +281,8 @@ def possible_clusters(classes: DataFrame) -> DataFrame:
     labelled = classes.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     labelled = land(labelled.select("doc_id", "label", "signature"), "near-labelled")
     more = possible_links(final_nodes(labelled, FIRST_ROOTS), classes)
-    stars = first.select(F.col("label").alias("a"), F.col("node").alias("b"))
-    return components(more.unionByName(stars))
+    known = first.select(F.col("label").alias("a"), F.col("node").alias("b"))
+    return components(more.unionByName(known))
 
 
 # Confirmation on full sets
@@ -340,7 +350,8 @@ def confirmed(clusters: DataFrame, classes: DataFrame, docs: DataFrame) -> DataF
     count = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES))
     key = ["label", "low", "high"]
     wanted = in_blocks(rows.join(sizes, "label"), count).select(*key, "block", "doc_id")
-    dealt = wanted.join(_raw(docs), "doc_id").select(*key, "block", "doc_id", "raw")
+    texts = narrowed(_raw(docs), clusters.select(F.col("node").alias("doc_id")))
+    dealt = wanted.join(texts, "doc_id").select(*key, "block", "doc_id", "raw")
     dealt = dealt.repartition(shuffle_partitions(docs.sparkSession), *key).sortWithinPartitions(*key, "doc_id")
     return dealt.mapInArrow(_confirm, "a long, b long, n_links long")
 

@@ -5,8 +5,8 @@ import pytest
 
 from llm_fixtures import documents, edge_rows, prose  # noqa: F401
 
-from hitlens.llm import near
-from hitlens.llm.grouping import components
+from hitlens.llm import grouping, near
+from hitlens.llm.grouping import components, narrowed, stars
 
 
 def brute(rows):
@@ -107,6 +107,30 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{k: 0 for k in range(61)}, **{k: 100 for k in [*range(100, 180), 200]}, 300: 300, 301: 300}
 
 
+def test_links_that_are_stars_take_one_aggregation(spark, monkeypatch):
+    made, land = [], grouping.land
+    monkeypatch.setattr(grouping, "land", lambda df, name: made.append(name) or land(df, name))
+    rows = [(k, k % 10) for k in range(10, 200)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(rows + rows[:5] + [(7, 7)], "a long, b long")).collect()}
+    assert got == {k: k % 10 for k in range(200)}
+    assert made == ["links", "links-least"]
+
+
+def test_stars_connect_what_links_connect():
+    nodes, least = stars([5, 9, 4, 3, 20, 21, 8], [4, 8, 3, 9, 21, 22, 8])
+    assert dict(zip(nodes, least)) == {4: 3, 5: 3, 8: 3, 9: 3, 21: 20, 22: 20}
+
+
+def test_texts_outside_clusters_are_left_out_before_the_shuffle(spark):
+    rows = spark.range(0, 100_000).withColumnRenamed("id", "doc_id")
+    rows = rows.unionByName(spark.createDataFrame([(None,), (-5,)], "doc_id long"))
+    ids = rows.where("doc_id % 100 = 0 or doc_id = -5")
+    found = {r.doc_id for r in narrowed(rows, ids.unionByName(ids)).collect()}
+    assert found >= {r.doc_id for r in ids.collect()}
+    assert len(found) < 1_500
+    assert narrowed(rows, ids.where("false")).count() == 0
+
+
 def test_keep_one(documents, prose):
     text = prose(1, 50)
     table = documents([(5, text), (3, text.upper()), (9, prose(2, 50)), (None, text)])
