@@ -20,7 +20,9 @@ import os
 import re
 import struct
 import zlib
+from collections import defaultdict
 from functools import partial
+from itertools import chain, count, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -150,8 +152,10 @@ class PieceEncoder:
 
     Pieces are runs of letters, single digits, runs of other marks, and the endings ``'s`` and the like; white
     space is dropped and letters are lower-cased first. Pieces met before are remembered, ``most`` of them at a
-    time; the new ones of some texts are encoded as one text, in which the last id of each carries the mark of a
-    word's end. That holds for texts of ASCII and western letters. Any other text is encoded as it is.
+    time: each has a number, by which its ids are found in one array. The new ones of some texts are encoded as one
+    text, in which the last id of each carries the mark of a word's end; they are normalised and split already, so
+    that is done by the file's model alone. That holds for texts of ASCII and western letters. Any other text is
+    encoded as it is.
     """
 
     simple = re.compile("[\\t-\\r -~À-ÖØ-öø-ÿ]*")
@@ -159,45 +163,73 @@ class PieceEncoder:
 
     def __init__(self, path: str, most: int = 500_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
         self.by_pieces = splits_into_pieces(tokenizer)
         self.encode = partial(getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch), add_special_tokens=False)
+        if self.by_pieces:
+            model = Tokenizer(tokenizer.model)
+            model.normalizer = normalizers.Sequence([])
+            model.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            )
+            self.encode_pieces = partial(getattr(model, "encode_batch_fast", model.encode_batch), add_special_tokens=False)
         self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
         self.ends[[number for token, number in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
         self.most, self.longest = most, longest
+        self.forget()
+
+    def forget(self) -> None:
+        # Number of a piece; its ids are from starts[number] to starts[number + 1] in the table.
+        self.known: dict[str, int] = defaultdict(count().__next__)
+        self.starts, self.table = np.zeros(1, np.int64), np.zeros(0, "<u4")
 
     def one_by_one(self, texts: list[str]) -> list[bytes]:
         return [np.array(code.ids, "<u4").tobytes() for code in self.encode(texts)]
 
-    def together(self, pieces: list[str]) -> list[bytes]:
-        ids = np.array(self.encode([" ".join(pieces)])[0].ids, "<u4")
+    def together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some pieces, and where those of each end."""
+        ids = np.array(self.encode_pieces([" ".join(pieces)])[0].ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(pieces):
-            return self.one_by_one(pieces)
-        raw, stops = ids.tobytes(), (stops * 4).tolist()
-        return [raw[a:b] for a, b in zip([0, *stops], stops)]
+            lists = self.one_by_one(pieces)
+            ids, stops = np.frombuffer(b"".join(lists), "<u4"), np.cumsum([len(one) // 4 for one in lists])
+        return ids, stops
+
+    def learn(self) -> None:
+        """Ids of the pieces that have a number and no place in the table yet, which are the latest."""
+        told = len(self.starts) - 1
+        new = [piece for piece, _ in takewhile(lambda item: item[1] >= told, reversed(self.known.items()))][::-1]
+        if new:
+            ids, stops = self.together(new)
+            self.starts = np.concatenate([self.starts, stops + len(self.table)])
+            self.table = np.concatenate([self.table, ids])
+        for piece in new:
+            if len(piece) > self.longest:
+                del self.known[piece]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each of some texts."""
         if not self.by_pieces:
             return self.one_by_one(texts)
-        if len(self.known) > self.most:
-            self.known = {}
+        if len(self.starts) > self.most or len(self.table) > 16 * self.most:
+            self.forget()
         # A special token of the vocabulary may begin with these two marks.
         plain = [self.simple.fullmatch(text) is not None and "<|" not in text for text in texts]
         lists = [self.pieces.findall(text.lower()) for text, one in zip(texts, plain) if one]
-        new = list(set().union(*lists) - self.known.keys())
-        if new:
-            self.known.update(zip(new, self.together(new)))
-        found = iter([b"".join(map(self.known.__getitem__, pieces)) for pieces in lists])
-        for piece in new:
-            if len(piece) > self.longest:
-                del self.known[piece]
+        sizes = [len(pieces) for pieces in lists]
+        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, sum(sizes))
+        self.learn()
+        first = self.starts[numbers]
+        ends = np.cumsum(self.starts[numbers + 1] - first)
+        lengths = np.diff(ends, prepend=0)
+        places = np.arange(lengths.sum()) + np.repeat(first - ends + lengths, lengths)
+        raw = self.table[places].tobytes()
+        stops = (4 * np.concatenate([[0], ends])[np.cumsum([0, *sizes])]).tolist()
+        found = iter([raw[a:b] for a, b in zip(stops, stops[1:])])
         others = iter(self.one_by_one([text for text, one in zip(texts, plain) if not one]))
         return [next(found if one else others) for one in plain]
 

@@ -98,3 +98,18 @@ def test_documents_equal_the_tokenizer(spark, documents, edge_rows, prose):
     asked = [0, 1, 1999, 2000, 2001, start // 2, start - 1]
     places = spark.createDataFrame([(p,) for p in asked], "position long")
     assert sorted(map(tuple, codes.tokens_at(spark, path, places).collect())) == sorted((p, every[p]) for p in set(asked))
+
+
+def test_pieces_keep_their_ids_when_forgotten_or_long(prose):
+    from tokenizers import Tokenizer
+
+    encoder, tokenizer = codes.PieceEncoder(vocabulary_path(), most=40, longest=12), Tokenizer.from_file(vocabulary_path())
+    asked, encode = [], encoder.encode_pieces
+    encoder.encode_pieces = lambda texts: asked.extend(texts[0].split()) or encode(texts)
+    texts = ["same words, same words", "", "x" * 500 + " y", "  ", "don't 12'stuff \x0b!'s", "ÀÉ ß", "中文 same"]
+    texts += [prose(k, 30) for k in range(8)]
+    for some in (texts[:2], texts[2:5] + texts[2:3], texts, [], texts[::-1]):
+        expected = [np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text in some]
+        assert encoder.ids(some) == expected
+    assert asked[:3] == ["same", "words", ","]
+    assert len(encoder.known) == len(encoder.starts) - 1 - sum(len(piece) > 12 for piece in asked[-len(encoder.starts) + 1 :])
