@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitlens.functions import tokens
-from hitlens.session import broadcast_if_small, land
+from hitlens.session import MAX_BROADCAST_ROWS, broadcast_if_small, land
 
 WINDOW, OVERSAMPLED, ROUNDS = 5, 10, 2
 # Directions whose square is this much smaller than the largest are rounding noise.
@@ -61,6 +61,11 @@ def associations(counts: DataFrame, shift: float = 1.0) -> DataFrame:
     return joined.select("word", "near", F.log1p(ratio / shift).alias("value"))
 
 
+def _vectors_if_small(vectors: DataFrame, width: int) -> DataFrame:
+    """``vectors`` for a join: broadcast only where they hold no more numbers than a narrow table that is."""
+    return broadcast_if_small(vectors, MAX_BROADCAST_ROWS // max(width, 1))
+
+
 def _sums(values: Column, width: int, weight: Column | None = None) -> Column:
     terms = [F.get(values, F.lit(k)) for k in range(width)]
     return F.array(*(F.sum(term if weight is None else term * weight) for term in terms))
@@ -68,7 +73,7 @@ def _sums(values: Column, width: int, weight: Column | None = None) -> Column:
 
 def product(matrix: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
     """word, x: the symmetric ``matrix`` (word, near, value) times ``vectors`` (word, x)."""
-    near = broadcast_if_small(vectors).withColumnRenamed("word", "near")
+    near = _vectors_if_small(vectors, width).withColumnRenamed("word", "near")
     sums = _sums(F.col("x"), width, F.col("value"))
     return land(matrix.join(near, "near").groupBy("word").agg(sums.alias("x")), "vectors")
 
@@ -173,9 +178,9 @@ def embed_paths(
 ) -> DataFrame:
     """``df`` with the mean vector of its tokens, unknown ones counting as zero. Equal lists are computed once."""
     lists = df.select(F.col(terms).alias("_terms")).where(F.size(terms) > 0).distinct()
-    parts = lists.select("_terms", F.explode("_terms").alias("word")).join(broadcast_if_small(vectors), "word")
+    parts = lists.select("_terms", F.explode("_terms").alias("word")).join(_vectors_if_small(vectors, size), "word")
     sums = parts.groupBy("_terms").agg(_sums(F.col("vector"), size).alias("_sum"))
     means = land(sums.select("_terms", F.transform("_sum", lambda x: x / F.size("_terms")).alias("_mean")), "path-vectors")
-    joined = df.join(broadcast_if_small(means), df[terms] == means["_terms"], "left")
+    joined = df.join(_vectors_if_small(means, size), df[terms] == means["_terms"], "left")
     none = F.array_repeat(F.lit(0.0), size)
     return joined.withColumn(output, array_to_vector(F.coalesce("_mean", none))).drop("_terms", "_mean")

@@ -112,3 +112,14 @@ def test_agent_ngrams(spark):
     table = spark.createDataFrame([("a b c",), ("a",)], "user_agent string")
     got = [r.agent_ngrams for r in features.add_agent_ngrams(table, n=2).collect()]
     assert got == [["a b", "b c"], []]
+
+
+def test_wide_vectors_are_broadcast_by_their_numbers(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(embed, "land", lambda df, name: made.append(df) or df)
+    for count in (2_000, 20):
+        words = spark.range(count).select(F.col("id").cast("string").alias("word"))
+        vectors = words.select("word", F.array_repeat(F.lit(1.0), 110).alias("x"))
+        embed.product(words.select("word", F.col("word").alias("near"), F.lit(2.0).alias("value")), vectors, 110)
+    hinted = ["broadcast" in df._jdf.queryExecution().logical().toString() for df in made]
+    assert hinted == [False, True]
