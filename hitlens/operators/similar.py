@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.ml.feature import MinHashLSH
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -10,6 +13,8 @@ from pyspark.sql import functions as F
 from hitlens.operators.features import PATH_GRAM, add_path_ngrams, hash_terms
 from hitlens.session import land
 
+MARKS = ("mark0", "mark1", "mark2", "mark3")
+
 
 def minhash_signatures(
     df: DataFrame, terms: str, tables: int = 5, buckets: int = 16384, seed: int = 1
@@ -56,31 +61,36 @@ def _least_shared_longer(size: Column, percent: int) -> Column:
     return F.floor((size * 2 * percent + 99 + percent) / (100 + percent))
 
 
-def _mark(terms: str) -> Column:
-    """64 bits, one per hash of a term: sets differ in at least as many terms as their marks do in bits."""
+def _marks(terms: str) -> dict[str, Column]:
+    """64 bits in each of ``MARKS`` columns, one per hash of a term: sets differ in at least as many terms as bits."""
 
-    def add(mark: Column, term: Column) -> Column:
-        place = F.pmod(F.xxhash64(term), F.lit(64)).cast("int")
-        return mark.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+    def with_bit(mark: Column, place: Column) -> Column:
+        return mark.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")))
 
-    return F.aggregate(terms, F.lit(0).cast("long"), add)
+    places = F.transform(terms, lambda term: F.pmod(F.xxhash64(term), F.lit(64 * len(MARKS))))
+    return {
+        mark: F.aggregate(F.filter(places, lambda place: F.floor(place / 64) == k), F.lit(0).cast("long"), with_bit)
+        for k, mark in enumerate(MARKS)
+    }
 
 
 def set_classes(sets: DataFrame, key: str, terms: str = "terms") -> DataFrame:
-    """Stored table of the distinct non-empty sets: number, least key, size, mark, terms from rare to frequent.
+    """Stored table of the distinct non-empty sets: number, least key, size, marks, terms from rare to frequent.
 
-    The frequency of a term is the number of sets it is in; equal ones are in order of text.
+    The frequency of a term is the number of sets it is in; equal ones are in order of text. Terms are numbers here,
+    one per term, which compare faster than texts.
     """
     grouped = sets.filter(F.size(terms) > 0).groupBy(F.col(terms).alias("terms"))
     classes = grouped.agg(F.min(key).alias("least"))
     classes = land(classes.select(F.monotonically_increasing_id().alias("number"), "least", "terms"), "similar-classes")
     single = classes.select("number", F.explode("terms").alias("term"))
-    often = land(single.groupBy("term").agg(F.count(F.lit(1)).alias("often")), "similar-terms")
+    often = single.groupBy("term").agg(F.count(F.lit(1)).alias("often"))
+    often = land(often.select("*", F.monotonically_increasing_id().alias("code")), "similar-terms")
     ranked = single.join(often, "term").groupBy("number")
     # A list holds the terms of one set.
-    ordered = ranked.agg(F.array_sort(F.collect_list(F.struct("often", "term")))["term"].alias("ordered"))
+    ordered = ranked.agg(F.array_sort(F.collect_list(F.struct("often", "term", "code")))["code"].alias("ordered"))
     found = classes.join(ordered, "number").select("number", "least", F.col("ordered").alias("terms"))
-    return land(found.withColumns({"size": F.size("terms").cast("long"), "mark": _mark("terms")}), "similar-sets")
+    return land(found.withColumns({"size": F.size("terms").cast("long"), **_marks("terms")}), "similar-sets")
 
 
 def meeting_classes(classes: DataFrame, percent: int) -> DataFrame:
@@ -94,14 +104,14 @@ def meeting_classes(classes: DataFrame, percent: int) -> DataFrame:
 
     def first_terms(side: str, least: Column) -> DataFrame:
         first = F.slice("terms", F.lit(1), (F.col("size") - least + 1).cast("int"))
-        rows = classes.select("number", "size", "mark", F.posexplode(first).alias("at", "term"))
-        return rows.select("term", *[F.col(c).alias(f"{side}_{c}") for c in ("number", "size", "mark", "at")])
+        rows = classes.select("number", "size", *MARKS, F.posexplode(first).alias("at", "term"))
+        return rows.select("term", *[F.col(c).alias(f"{side}_{c}") for c in ("number", "size", *MARKS, "at")])
 
     size = F.col("size")
     large = first_terms("large", _least_shared(size, percent))
     small = first_terms("small", _least_shared_longer(size, percent))
     both = F.col("large_size") + F.col("small_size")
-    differ = F.bit_count(F.col("large_mark").bitwiseXOR(F.col("small_mark")))
+    differ = reduce(add, [F.bit_count(F.col(f"large_{mark}").bitwiseXOR(F.col(f"small_{mark}"))) for mark in MARKS])
     rest = F.least(F.col("large_size") - F.col("large_at"), F.col("small_size") - F.col("small_at"))
     follows = F.struct("small_size", "small_number") < F.struct("large_size", "large_number")
     met = large.join(small, "term").filter(

@@ -94,3 +94,39 @@ def test_path_sets(spark):
     paths = spark.createDataFrame([("/abab",), ("/abab",), ("/a",), ("",), (None,)], "clean_path string")
     found = {r.clean_path: (r.requests, r.terms) for r in similar.path_sets(paths, 2).collect()}
     assert found == {"/abab": (2, ["/ a", "a b", "b a"]), "/a": (1, ["/ a"]), "": (1, [])}
+
+
+@pytest.mark.parametrize("percent", [1, 10, 40, 75, 100])
+def test_no_link_is_lost_at_any_percent(spark, percent):
+    draw = random.Random(percent)
+    sets = {f"k{n}": sorted(draw.sample("abcdefghijklmnopqrstuvwxyz", draw.choice([1, 2, 3, 5, 8, 14, 16, 17, 20, 25]))) for n in range(120)}
+    classes = similar.set_classes(spark.createDataFrame(list(sets.items()), "key string, terms array<string>"), "key")
+    found = {(r.a, r.b): (r.shared, r.total) for r in similar.similar_classes(classes, percent).collect()}
+    least = {}
+    for key, terms in sets.items():
+        least[tuple(terms)] = min(key, least.get(tuple(terms), key))
+    expected = {}
+    for x, a in least.items():
+        for y, b in least.items():
+            shared, total = len(set(x) & set(y)), len(set(x) | set(y))
+            if a < b and 100 * shared >= percent * total:
+                expected[a, b] = (shared, total)
+    assert found == expected
+
+
+def test_terms_of_classes_are_numbers_from_rare_to_frequent(spark):
+    rows = [("a", ["x", "y", "z"]), ("b", ["x", "y"]), ("c", ["x", "w"])]
+    classes = similar.set_classes(spark.createDataFrame(rows, "key string, terms array<string>"), "key")
+    found = {r.least: r.terms for r in classes.collect()}
+    assert all(isinstance(term, int) for terms in found.values() for term in terms)
+    z, y, x = found["a"]
+    assert found["b"] == [y, x] and found["c"][1] == x and len({x, y, z, found["c"][0]}) == 4
+
+
+def test_long_sets_that_share_much_but_not_enough_do_not_meet(spark):
+    """Forty terms fill 64 bits; in 256 they tell such sets apart before whole sets are read."""
+    draw = random.Random(5)
+    rows = [(f"k{n}", [f"c{k}" for k in range(33)] + [f"{k}-{draw.randrange(3)}" for k in range(14)]) for n in range(60)]
+    links = sum(100 * len(x & y) >= 75 * len(x | y) for x, y in combinations([set(terms) for _, terms in rows], 2))
+    classes = similar.set_classes(spark.createDataFrame(rows, "key string, terms array<string>"), "key")
+    assert links <= similar.meeting_classes(classes, 75).count() < links + 0.4 * (60 * 59 / 2 - links)
