@@ -3,15 +3,18 @@
 A document is the set of its five-word shingles, all of them. Equal sets are one class and are joined as one. Each
 class has a signature of ``COORDINATES`` minwise values. Independent trees branch the classes: a node chooses some
 coordinates by its own hash, and a class goes to the child named by its minwise value there, so similar sets stay
-together and others part. Branching goes on in nodes of more than ``LEAF`` classes, until they are small or stop
-shrinking, which only sets that are alike do.
+together and others part. Nodes of at most ``LEAF`` classes are compared exhaustively by signature and pass on a
+maximum spanning forest of their possible links: fewer links than classes, however many pairs there are.
 
-Final nodes are compared exhaustively by signature, very large ones in blocks, and pass on a maximum spanning
-forest of their possible links: fewer links than classes, however many pairs there are. What these connect is a
-cluster. The first ``FIRST_ROOTS`` roots go ahead; a node of the others is left out if all its classes are in one
-cluster already, as those of a large group of copies are. A class is in one cluster only, and its full text goes there
-once. Within a cluster all pairs of full sets are compared, a large cluster block against block, and every member
-leaves with its component and its links.
+A larger node is compared in blocks, which about ``PIVOTS`` of its classes visit all: so a large group of copies is
+linked in time proportional to its size, and does not branch. The classes that are not linked with it so meet every
+block; only if these are more than ``LEAF`` the node branches, until it is small or stops shrinking, which only sets that
+are alike do. Then all pairs of its blocks are compared.
+
+What possible links connect is a cluster. The first ``FIRST_ROOTS`` roots go ahead; a node of the others is left out if
+all its classes are in one cluster already, as those of a large group of copies are. A class is in one cluster only, and
+its full text goes there once. Within a cluster all pairs of full sets are compared, a large cluster block against
+block, and every member leaves with its component and its links.
 
 Chance that a pair of similarity 0.75 is missed: below 1e-7 by the trees (``TREES`` times ``ROOT_BRANCHES`` chosen
 coordinates), below 1e-5 by the signature test. Higher similarities are missed less.
@@ -39,6 +42,7 @@ POSSIBLE = 30  # of the coordinates equal; a pair of similarity 0.75 has 48 on a
 TREES, ROOT_BRANCHES, BRANCHES = 8, 2, 2
 FIRST_ROOTS = 4
 LEAF, DEPTH, SHRINK = 1024, 5, 0.8
+PIVOTS = 16
 # Classes, and shingles, of a block in a comparison.
 BLOCK, BLOCK_SHINGLES = 1024, 2**21
 COLUMNS = 4096
@@ -164,46 +168,6 @@ def _branches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=NODE_ARROW)
 
 
-def final_nodes(classes: DataFrame, first: int = 0, last: int = TREES * ROOT_BRANCHES) -> DataFrame:
-    """node, n, doc_id: members of the nodes to compare, of roots ``first`` to ``last``; nodes of the same members are one.
-
-    ``classes`` has doc_id, label, signature. A node whose classes all have one label is left out.
-    """
-    members = land(classes.select("doc_id", "label", "signature").mapInArrow(partial(_roots, first, last), NODE_SCHEMA), "near-level")
-    signed = classes.select("doc_id", "signature")
-    finals = []
-    for level in range(1, DEPTH + 1):
-        nodes = members.groupBy("node").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.bit_xor(F.xxhash64("doc_id")).alias("mark"),
-            F.min("doc_id").alias("least"),
-            F.max("above").alias("above"),
-            F.min("label").alias("low"),
-            F.max("label").alias("high"),
-        )
-        small = (F.col("n") <= LEAF) | (F.col("n") >= SHRINK * F.col("above")) | F.lit(level == DEPTH)
-        counted = Observation()
-        nodes = nodes.where("n > 1 and low < high").withColumn("final", small)
-        nodes = land(nodes.observe(counted, F.count_if(~F.col("final")).alias("large")), "near-nodes")
-        finals.append((members, nodes.where("final").select(F.lit(level).alias("level"), "node", "n", "mark", "least")))
-        if not counted.get["large"]:
-            break
-        inside = members.select("node", "doc_id", "label").join(nodes.where("not final").select("node", "n"), "node")
-        wide = inside.join(narrowed(signed, inside.select("doc_id")), "doc_id")
-        wide = wide.select("node", "n", "doc_id", "label", "signature")
-        members = land(wide.mapInArrow(_branches, NODE_SCHEMA).distinct(), "near-level")
-    # The same members may meet again, at another level too.
-    nodes = reduce(DataFrame.unionByName, [nodes for _, nodes in finals])
-    one = nodes.groupBy("n", "mark", "least").agg(F.min(F.struct("level", "node")).alias("one"))
-    one = land(one.select("one.level", "one.node", "n"), "near-final")
-    parts = [
-        members.select("node", "doc_id").join(one.where(F.col("level") == level).select("node", "n"), "node")
-        for level, (members, _) in enumerate(finals, 1)
-    ]
-    return reduce(DataFrame.unionByName, parts).select("node", "n", "doc_id")
-
-
-
 # Comparison by signature
 
 
@@ -231,6 +195,10 @@ def spanning_links(values: np.ndarray, blocks: np.ndarray) -> list[tuple[int, in
     return found
 
 
+def _values(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint32).reshape(-1, COORDINATES)
+
+
 def _compare(batches):
     """Stars of what the spanning links of nodes, or of two blocks of one, connect."""
 
@@ -240,9 +208,10 @@ def _compare(batches):
 
     a, b = [], []
     for rows in groups(batches, ("node", "low", "high")):
-        ids = rows["doc_id"].to_numpy()
-        values = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint32).reshape(-1, COORDINATES)
-        for one, other in spanning_links(values, rows["block"].to_numpy()):
+        ids, blocks = rows["doc_id"].to_numpy(), rows["block"].to_numpy()
+        if rows["low"][0] != rows["high"][0] and (blocks == blocks[0]).all():
+            continue
+        for one, other in spanning_links(_values(rows), blocks):
             a.append(int(ids[one]))
             b.append(int(ids[other]))
         if len(a) > LINKS:
@@ -259,13 +228,125 @@ def in_blocks(rows: DataFrame, count) -> DataFrame:
     return rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
 
 
-def possible_links(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b (a > b): stars that connect what the spanning links of all nodes connect."""
-    key = ["node", "low", "high"]
-    rows = in_blocks(members, F.ceil(F.col("n") / BLOCK)).select(*key, "block", "doc_id")
-    dealt = rows.join(classes.select("doc_id", "signature"), "doc_id")
-    dealt = dealt.repartition(shuffle_partitions(members.sparkSession), *key).sortWithinPartitions(*key, "doc_id")
-    return dealt.select(*key, "block", "doc_id", "signature").mapInArrow(_compare, "a long, b long")
+def connected(values: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Per place the first place of those that possible links or equal labels connect it with."""
+    links = spanning_links(values, np.zeros(len(values), np.int64))
+    _, first, same = np.unique(labels, return_index=True, return_inverse=True)
+    places, least = stars([*range(len(values)), *(a for a, _ in links)], [*first[same].tolist(), *(b for _, b in links)])
+    part = np.arange(len(values))
+    part[places] = least
+    return part
+
+
+CROWD_SCHEMA = (
+    "node long, n long, above long, doc_id long, label long, block int, own boolean, near boolean, star long, signature binary"
+)
+CROWD_ARROW = pa.schema(
+    [
+        *((name, pa.int64()) for name in ("node", "n", "above", "doc_id", "label")),
+        ("block", pa.int32()),
+        ("own", pa.bool_()),
+        ("near", pa.bool_()),
+        ("star", pa.int64()),
+        ("signature", pa.binary()),
+    ]
+)
+
+
+def _crowd(batches):
+    for rows in groups(batches, ("node", "block")):
+        # Sorted by id, so pivots have the same order in all blocks of a node, and the first place is the smallest id.
+        ids, labels, pivots = (rows[name].to_numpy() for name in ("doc_id", "label", "pivot"))
+        values, pivots = _values(rows), np.flatnonzero(pivots)
+        among = connected(values[pivots], labels[pivots])
+        centre = pivots[among == np.argmax(np.bincount(among))]
+        part = connected(values, labels)
+        near = np.isin(part, part[centre])
+        made = {"label": np.where(near, labels[centre].min(), labels), "near": near, "star": ids[part]}
+        columns = [pa.array(made[f.name], f.type) if f.name in made else rows[f.name].combine_chunks() for f in CROWD_ARROW]
+        yield pa.RecordBatch.from_arrays(columns, schema=CROWD_ARROW)
+
+
+def crowds(inside: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of large nodes (node, n, above, least, doc_id, label), each compared within its block and with the pivots.
+
+    The pivots, about ``PIVOTS`` members of a node, are in all blocks of it; in all but one a row is not its member's
+    ``own``. ``star`` is the smallest id that possible links or labels of the block connect a member with. The largest
+    group of linked pivots is the node's centre; what a block connects with it is ``near`` and gets its label.
+    """
+    hashed = F.xxhash64("doc_id", "node")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    home = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    pivot = (F.pmod(hashed, F.ceil(F.col("n") / PIVOTS)) == 0) | (F.col("doc_id") == F.col("least"))
+    rows = inside.withColumns({"home": home, "pivot": pivot})
+    everywhere = F.sequence(F.lit(0), blocks.cast("int") - 1)
+    rows = rows.withColumn("block", F.explode(F.when(F.col("pivot"), everywhere).otherwise(F.array("home"))))
+    rows = rows.withColumn("own", F.col("block") == F.col("home")).drop("home", "least")
+    rows = rows.join(narrowed(classes.select("doc_id", "signature"), inside.select("doc_id")), "doc_id")
+    rows = rows.repartition(shuffle_partitions(inside.sparkSession), "node", "block")
+    return rows.sortWithinPartitions("node", "block", "doc_id").mapInArrow(_crowd, CROWD_SCHEMA)
+
+
+def possible_links(classes: DataFrame, first: int = 0, last: int = TREES * ROOT_BRANCHES) -> DataFrame:
+    """a, b: stars that connect what the possible links in all nodes of roots ``first`` to ``last`` connect.
+
+    ``classes`` has doc_id, label, signature. A node whose classes all have one label is left out; small nodes of the
+    same members are one. In a large node what is not near its centre is compared with all others, or, if that is much,
+    the node branches.
+    """
+    members = land(classes.select("doc_id", "label", "signature").mapInArrow(partial(_roots, first, last), NODE_SCHEMA), "near-level")
+    signed = classes.select("doc_id", "signature")
+    key = ["node", "low", "high", "block", "doc_id"]
+    finals, dealt, links = [], [], []
+    for level in range(1, DEPTH + 1):
+        nodes = members.groupBy("node").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.bit_xor(F.xxhash64("doc_id")).alias("mark"),
+            F.min("doc_id").alias("least"),
+            F.max("above").alias("above"),
+            F.min("label").alias("low"),
+            F.max("label").alias("high"),
+        )
+        counted, small = Observation(), F.col("n") <= LEAF
+        nodes = nodes.where("n > 1 and low < high").observe(counted, F.count_if(~small).alias("large"))
+        nodes = land(nodes, "near-nodes")
+        finals.append((members, nodes.where(small).select(F.lit(level).alias("level"), "node", "n", "mark", "least")))
+        if not counted.get["large"]:
+            break
+        inside = members.select("node", "doc_id", "label").join(nodes.where(~small).select("node", "n", "above", "least"), "node")
+        crowd = land(crowds(land(inside, "near-inside"), signed), "near-crowd")
+        links.append(crowd.where("doc_id <> star").select(F.col("doc_id").alias("a"), F.col("star").alias("b")))
+        own = crowd.where("own")
+        rest = own.where("not near").groupBy("node").agg(F.count(F.lit(1)).alias("rest"))
+        rest = rest.withColumn("few", F.col("rest") <= LEAF)
+        many = Observation()
+        rest = land(rest.observe(many, F.count_if(~F.col("few")).alias("n")), "near-rest")
+        # The rest is a block by its own, -1, and meets every block of what is near.
+        few = own.where("not near").join(rest.where("few").select("node"), "node")
+        few = few.withColumns({"blocks": F.ceil(F.col("n") / BLOCK).cast("int"), "low": F.lit(-1), "block": F.lit(-1)})
+        few = few.withColumn("high", F.explode(F.sequence(F.lit(-1), F.col("blocks") - 1)))
+        near = own.where("near").withColumns({"low": F.lit(-1), "high": F.col("block")})
+        dealt += [few.select(*key, "signature"), near.select(*key, "signature")]
+        if not many.get["n"]:
+            break
+        apart = own.join(rest.where("not few").select("node"), "node")
+        stays = (F.col("n") >= SHRINK * F.col("above")) | F.lit(level == DEPTH)
+        dealt.append(in_blocks(apart.where(stays), F.ceil(F.col("n") / BLOCK)).select(*key, "signature"))
+        on = apart.where(~stays).select("node", "n", "doc_id", "label", "signature")
+        members = land(on.mapInArrow(_branches, NODE_SCHEMA).distinct(), "near-level")
+    # The same members may meet again, at another level too.
+    nodes = reduce(DataFrame.unionByName, [nodes for _, nodes in finals])
+    one = nodes.groupBy("n", "mark", "least").agg(F.min(F.struct("level", "node")).alias("one"))
+    one = land(one.select("one.level", "one.node"), "near-final")
+    parts = [
+        members.select("node", "doc_id").join(one.where(F.col("level") == level).select("node"), "node")
+        for level, (members, _) in enumerate(finals, 1)
+    ]
+    whole = reduce(DataFrame.unionByName, parts).withColumns({name: F.lit(0) for name in ("low", "high", "block")})
+    rows = reduce(DataFrame.unionByName, [whole.join(signed, "doc_id").select(*key, "signature"), *dealt])
+    rows = rows.repartition(shuffle_partitions(classes.sparkSession), *key[:3]).sortWithinPartitions(*key[:3], "doc_id")
+    found = rows.mapInArrow(_compare, "a long, b long")
+    return reduce(DataFrame.unionByName, [found, *links])
 
 
 def possible_clusters(classes: DataFrame) -> DataFrame:
@@ -275,12 +356,12 @@ def possible_clusters(classes: DataFrame) -> DataFrame:
     with the same members once more, only classes of several clusters have something to tell.
     """
     alone = classes.withColumn("label", F.col("doc_id"))
-    first = components(possible_links(final_nodes(alone, 0, FIRST_ROOTS), classes))
+    first = components(possible_links(alone, 0, FIRST_ROOTS))
     first = land(first, "near-first")
     labels = first.withColumnRenamed("node", "doc_id")
     labelled = classes.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     labelled = land(labelled.select("doc_id", "label", "signature"), "near-labelled")
-    more = possible_links(final_nodes(labelled, FIRST_ROOTS), classes)
+    more = possible_links(labelled, FIRST_ROOTS)
     known = first.select(F.col("label").alias("a"), F.col("node").alias("b"))
     return components(more.unionByName(known))
 

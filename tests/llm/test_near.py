@@ -72,6 +72,21 @@ def test_a_large_group_and_a_common_passage(spark, documents, prose, monkeypatch
     check(documents(rows), rows)
 
 
+def test_a_large_group_does_not_branch(documents, prose, monkeypatch):
+    made, land = [], near.land
+    monkeypatch.setattr(near, "land", lambda df, name: made.append((name, land(df, name))) or made[-1][1])
+    monkeypatch.setattr(near, "LEAF", 40)
+    monkeypatch.setattr(near, "BLOCK", 40)
+    base = prose(7, 150)
+    rows = [(k, edited(base, 1 + k % 3, k)) for k in range(160)]
+    # Linked with some copies only, or with nothing.
+    rows += [(1000 + k, edited(rows[k][1], 7, 500 + k)) for k in range(10)]
+    rows += [(2000 + k, prose(3000 + k, 60)) for k in range(30)]
+    check(documents(rows), rows)
+    levels = [df.count() for name, df in made if name == "near-level"]
+    assert sum(levels) == 200 * near.TREES * near.ROOT_BRANCHES
+
+
 def test_links_of_full_sets(prose):
     texts = [prose(1, 80), edited(prose(1, 80), 2, 1), prose(2, 300), prose(3, 6), prose(3, 6)]
     sets = [near.shingles(text.encode()) for text in texts]
